@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import lines, mixing
+from . import lines, minhash, mixing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op4_line_dedup": lines.op4_line_dedup,
+        "op7_simhash": simhash.op7_simhash,
+        "op10_fingerprints": minhash.op10_fingerprints,
     }
 
 
