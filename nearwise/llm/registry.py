@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, simhash
+from . import lines, minhash, mixing, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op4_line_dedup": lines.op4_line_dedup,
+        "op6_packing": packing.op6_packing,
         "op7_simhash": simhash.op7_simhash,
         "op10_fingerprints": minhash.op10_fingerprints,
     }
