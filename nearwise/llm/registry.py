@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, simhash
+import os
+from pathlib import Path
+
+from . import lines, minhash, mixing, neighbours, packing, quality, simhash
 
 
 def queries() -> dict:
+    return {name: _shipped(query) for name, query in _queries().items()}
+
+
+def _shipped(query):
+    """A local session's Python workers find this package too, wherever the session was started."""
+
+    def run(spark, sf_dir):
+        if spark.sparkContext.master.startswith("local["):
+            places = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+            root = str(Path(__file__).resolve().parents[2])
+            if root not in places:
+                spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, places)])
+        return query(spark, sf_dir)
+
+    return run
+
+
+def _queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op3_quality": quality.op3_quality,
         "op4_line_dedup": lines.op4_line_dedup,
         "op6_packing": packing.op6_packing,
         "op7_simhash": simhash.op7_simhash,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op10_fingerprints": minhash.op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op4_line_dedup": lines.OP4_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op4_line_dedup": lines.OP4_SQL, "op8_neighbours": neighbours.OP8_SQL}
