@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from . import lines, minhash, mixing, neighbours, packing, quality, simhash
+import corpus_pipeline
+
+from . import fixity, lines, minhash, mixing, neighbours, packing, quality, simhash, substrings, toxicity
 
 
 def queries() -> dict:
@@ -29,14 +31,24 @@ def _shipped(query):
 def _queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_substring_dedup": substrings.op2_substring_dedup,
         "op3_quality": quality.op3_quality,
         "op4_line_dedup": lines.op4_line_dedup,
+        "op5_merkle_audit": fixity.op5_merkle_audit,
         "op6_packing": packing.op6_packing,
         "op7_simhash": simhash.op7_simhash,
         "op8_neighbours": neighbours.op8_neighbours,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_fingerprints": minhash.op10_fingerprints,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op4_line_dedup": lines.OP4_SQL, "op8_neighbours": neighbours.OP8_SQL}
+    return {
+        "op1_mix_sources": mixing.OP1_SQL,
+        "op2_substring_dedup": substrings.OP2_SQL,
+        "op4_line_dedup": lines.OP4_SQL,
+        "op5_merkle_audit": fixity.OP5_SQL,
+        "op8_neighbours": neighbours.OP8_SQL,
+    }
