@@ -2,10 +2,356 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearwise.functions import geometry as g
+from nearwise.functions import helpers as h
+from nearwise.operators import grid, index, join
+from nearwise.sources import points as text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: Views of points over the tables: id, x, y.
+VIEWS = {
+    "sup": ("supplier", "s_suppkey", "s_acctbal", "CAST(s_nationkey AS DOUBLE) * CAST(400 AS DOUBLE)"),
+    "cus": ("customer", "c_custkey", "c_acctbal", "CAST(c_nationkey AS DOUBLE) * CAST(400 AS DOUBLE)"),
+    "prt": ("part", "p_partkey", "CAST(p_size AS DOUBLE) * CAST(2 AS DOUBLE)", "p_retailprice"),
+    "nat": ("nation", "CAST(n_nationkey AS BIGINT)", "CAST(n_nationkey AS DOUBLE) * CAST(300 AS DOUBLE)", "CAST(n_regionkey AS DOUBLE) * CAST(2000 AS DOUBLE)"),
+    "emb": ("embeddings", "vec_id", "CAST(embedding[{0}] AS DOUBLE)", "CAST(embedding[{1}] AS DOUBLE)"),
+}
+
+
+def points(spark: SparkSession, sf_dir: str, name: str, *more: str) -> DataFrame:
+    file, id_, x, y = VIEWS[name]
+    return spark.read.parquet(f"{sf_dir}/{file}.parquet").selectExpr(f"{id_} AS id", f"{x.format(0, 1)} AS x", f"{y.format(0, 1)} AS y", *more)
+
+
+def with_views(sql: str, first: str = "") -> str:
+    """DuckDB counts list elements from 1."""
+    used = [f"{n} AS (SELECT {i} AS id, {x.format(1, 2)} AS x, {y.format(1, 2)} AS y FROM {t})" for n, (t, i, x, y) in VIEWS.items() if n in sql + first]
+    tables = ", ".join([*used, *([first] if first else [])])
+    return f"WITH {tables} {sql}" if tables else sql
+
+
+def query(name: str, sql: str | None = None, first: str = ""):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = with_views(sql, first)
+        return f
+
+    return add
+
+
+def knn_sql(left: str, right: str, k: int, extra: str = "", where: str = "TRUE") -> str:
+    return f"""
+SELECT {extra}left_id, rank, right_id, distance FROM (
+  SELECT left_id, right_id, sqrt(d2) AS distance, CAST(row_number() OVER (PARTITION BY left_id ORDER BY d2, right_id) AS INTEGER) AS rank
+  FROM (SELECT l.id AS left_id, r.id AS right_id, (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) AS d2 FROM {left} l, {right} r WHERE {where}))
+WHERE rank <= {k}"""
+
+
+def _knn(name: str, left: str, right: str, k: int, **options) -> None:
+    where = "l.id <> r.id" if options.get("exclude_self") else "TRUE"
+    query(name, knn_sql(left, right, k, where=where))(lambda s, d: join.knn_join(points(s, d, left), points(s, d, right), k, output="exploded", **options))
+
+
+_knn("knn_join", "sup", "cus", 10)
+_knn("knn_join_cells", "cus", "prt", 10, direct_pairs=0)
+_knn("knn_join_quadtree", "sup", "cus", 10, index="quadtree", direct_pairs=0)
+_knn("knn_join_kdtree", "sup", "cus", 10, index="kdtree", direct_pairs=0)
+_knn("knn_join_k1", "cus", "sup", 1)
+_knn("knn_join_exploded", "emb", "emb", 5, direct_pairs=0)
+_knn("knn_join_short", "cus", "nat", 40)
+_knn("knn_self_join", "prt", "prt", 4, direct_pairs=0)
+_knn("knn_self_join_others", "prt", "prt", 4, direct_pairs=0, exclude_self=True)
+
+
+@query("all_knn_join", f"SELECT * FROM ({knn_sql('sup', 'cus', 5, extra=chr(39) + 'left' + chr(39) + ' AS direction, ')} UNION ALL {knn_sql('cus', 'sup', 5, extra=chr(39) + 'right' + chr(39) + ' AS direction, ')})")
+def _(s, d):
+    return join.all_knn_join(points(s, d, "sup"), points(s, d, "cus"), 5)
+
+
+@query("knn_point_query", "SELECT CAST(row_number() OVER (ORDER BY d2, right_id) AS INTEGER) AS rank, right_id, sqrt(d2) AS distance FROM (SELECT id AS right_id, (x - 4000.0::DOUBLE) * (x - 4000.0::DOUBLE) + (y - 4100.0::DOUBLE) * (y - 4100.0::DOUBLE) AS d2 FROM cus) ORDER BY d2, right_id LIMIT 10")
+def _(s, d):
+    return join.knn_point_query(points(s, d, "cus"), 4000, 4100, 10)
+
+
+@query("topk_per_group", "SELECT * FROM (SELECT l_suppkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_quantity) AS INTEGER) AS rank, l_extendedprice, l_orderkey, l_linenumber FROM lineitem) WHERE rank <= 3")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return join.topk_per_group(rows, "l_suppkey", ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 3).select("l_suppkey", "rank", "l_extendedprice", "l_orderkey", "l_linenumber")
+
+
+@query(
+    "neighbor_accessors",
+    "SELECT left_id, CAST(count(*) AS INTEGER) AS n, min(distance) AS first_distance, max(distance) AS last_distance, max(CASE WHEN rank = 3 THEN right_id END) AS id_at, CAST(least(count(*), 4) AS INTEGER) AS n_cut FROM k GROUP BY left_id",
+    first=f"k AS ({with_views(knn_sql('sup', 'cus', 10))})",
+)
+def _(s, d):
+    return join.neighbor_accessors(join.knn_join(points(s, d, "sup"), points(s, d, "cus"), 10), 3, 4)
+
+
+@query("find_exact", "SELECT l.id, min(r.id) AS match_id FROM prt l LEFT JOIN prt r ON l.x = r.x AND l.y = r.y GROUP BY l.id")
+def _(s, d):
+    return join.find_exact(points(s, d, "prt"), points(s, d, "prt"))
+
+
+@query("range_join", "SELECT * FROM (SELECT l.id AS left_id, r.id AS right_id, sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) AS distance FROM sup l, cus r) WHERE distance <= 250")
+def _(s, d):
+    return join.range_join(points(s, d, "sup"), points(s, d, "cus"), 250)
+
+
+_PAIRS = "sup l JOIN cus r ON l.y = r.y"
+
+
+@query("distance_pairs", f"SELECT l.id AS left_id, r.id AS right_id, (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) AS d2, sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) AS d FROM {_PAIRS}")
+def _(s, d):
+    l, r = points(s, d, "sup").toDF("left_id", "lx", "ly"), points(s, d, "cus").toDF("right_id", "rx", "ry")
+    both = l.join(r, F.col("ly") == F.col("ry"))
+    at = [F.col(c) for c in ("lx", "ly", "rx", "ry")]
+    return both.select("left_id", "right_id", g.dist2(*at).alias("d2"), g.dist(*at).alias("d"))
+
+
+# -- grid ---------------------------------------------------------------------------------------------------
+
+
+def cell_sql(v: str, size: float) -> str:
+    q = f"({v} / {float(size)}::DOUBLE)"
+    return f"CAST(CASE WHEN {q} < trunc({q}) + 0.5 THEN trunc({q}) ELSE ceil({q}) END AS BIGINT)"
+
+
+def cells_sql(view: str, size: float = 100) -> str:
+    return f"(SELECT *, {cell_sql('x', size)} AS cx, {cell_sql('y', size)} AS cy FROM {view})"
+
+
+def histogram_sql(view: str, size: float = 100) -> str:
+    return f"(SELECT cx, cy, count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM {cells_sql(view, size)} GROUP BY cx, cy)"
+
+
+def _cells(s, d, view="cus", size=100):
+    return grid.histogram(points(s, d, view), size)
+
+
+query("grid_assign", f"SELECT id, cx, cy FROM {cells_sql('cus')}")(lambda s, d: grid.with_cells(points(s, d, "cus"), 100).select("id", "cx", "cy"))
+query("grid_histogram", f"SELECT * FROM {histogram_sql('cus')}")(_cells)
+_SUMMARY = "SELECT CAST(sum(n) AS BIGINT) AS n, max(n) AS max_cell, count(*) AS cells, min(min_x) AS min_x, max(max_x) AS max_x, min(min_y) AS min_y, max(max_y) AS max_y FROM "
+query("right_summary", _SUMMARY + histogram_sql("cus"))(lambda s, d: grid.summary(_cells(s, d)))
+query("left_summary", _SUMMARY + histogram_sql("sup"))(lambda s, d: grid.summary(_cells(s, d, "sup")))
+query("left_cells_distinct", f"SELECT DISTINCT cx, cy FROM {cells_sql('sup')}")(lambda s, d: grid.with_cells(points(s, d, "sup"), 100).select("cx", "cy").distinct())
+query("cells_ordered", f"SELECT cx, cy, n FROM {histogram_sql('sup')} ORDER BY cx, cy")(lambda s, d: _cells(s, d, "sup").select("cx", "cy", "n").orderBy("cx", "cy"))
+query("regrid", f"SELECT cx, cy, n FROM {histogram_sql('cus', 25)}")(lambda s, d: _cells(s, d, size=grid.regrid(100, 160, 10)).select("cx", "cy", "n"))
+
+_PARTS = f"""
+o AS (SELECT cx, cy, n, row_number() OVER (ORDER BY cx, cy) AS i FROM {histogram_sql('cus')}),
+part_cells AS (
+  SELECT i, cx, cy, n, CAST(0 AS BIGINT) AS part_id, CAST(n AS BIGINT) AS held FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.i, o.cx, o.cy, o.n, p.part_id + CASE WHEN p.held >= 60 OR p.held + o.n > 90 THEN 1 ELSE 0 END,
+         CASE WHEN p.held >= 60 OR p.held + o.n > 90 THEN o.n ELSE p.held + o.n END FROM part_cells p JOIN o ON o.i = p.i + 1)"""
+
+
+def _parts(s, d):
+    return grid.assign_partitions(_cells(s, d), 60, 90)
+
+
+def _parts_query(name: str, sql: str, f: Query) -> None:
+    QUERIES[name] = f
+    cus = with_views("cus").split("WITH ")[1].rsplit(" cus", 1)[0]
+    SQL[name] = f"WITH RECURSIVE {cus}, {_PARTS.strip()} {sql}"
+
+
+_parts_query("partition_assign", "SELECT cx, cy, n, part_id FROM part_cells", _parts)
+_parts_query(
+    "partition_mbrs", "SELECT part_id, min(cx) AS min_x, min(cy) AS min_y, max(cx) AS max_x, max(cy) AS max_y, CAST(sum(n) AS BIGINT) AS n FROM part_cells GROUP BY part_id",
+    lambda s, d: _parts(s, d).groupBy("part_id").agg(F.min("cx").alias("min_x"), F.min("cy").alias("min_y"), F.max("cx").alias("max_x"), F.max("cy").alias("max_y"), F.sum("n").alias("n")),
+)
+_parts_query(
+    "right_partition_assign", f"SELECT c.id, p.part_id FROM {cells_sql('cus')} c JOIN part_cells p USING (cx, cy)",
+    lambda s, d: grid.with_cells(points(s, d, "cus"), 100).join(_parts(s, d), ["cx", "cy"]).select("id", "part_id"),
+)
+
+# -- candidates ---------------------------------------------------------------------------------------------
+
+
+def _boxes(s, d, view):
+    box = g.rect(F.min("x"), F.min("y"), F.max("x"), F.max("y")).alias("box")
+    return grid.with_cells(points(s, d, view), 1000).groupBy(F.struct("cx", "cy").alias("cell")).agg(F.count("*").alias("n"), box)
+
+
+_CANDIDATES = f"""
+lc AS (SELECT * FROM {histogram_sql('sup', 1000)}), rc AS (SELECT * FROM {histogram_sql('cus', 1000)}),
+p AS (
+  SELECT lc.cx AS left_cx, lc.cy AS left_cy, rc.cx, rc.cy, rc.n,
+         greatest(0, lc.min_x - rc.max_x, rc.min_x - lc.max_x) * greatest(0, lc.min_x - rc.max_x, rc.min_x - lc.max_x)
+         + greatest(0, lc.min_y - rc.max_y, rc.min_y - lc.max_y) * greatest(0, lc.min_y - rc.max_y, rc.min_y - lc.max_y) AS gap,
+         greatest(lc.max_x - rc.min_x, rc.max_x - lc.min_x) * greatest(lc.max_x - rc.min_x, rc.max_x - lc.min_x)
+         + greatest(lc.max_y - rc.min_y, rc.max_y - lc.min_y) * greatest(lc.max_y - rc.min_y, rc.max_y - lc.min_y) AS reach FROM lc, rc),
+q AS (SELECT *, sum(n) OVER (PARTITION BY left_cx, left_cy ORDER BY reach) AS held FROM p),
+b AS (SELECT *, min(CASE WHEN held >= 10 THEN reach END) OVER (PARTITION BY left_cx, left_cy) AS bound FROM q),
+cand AS (SELECT * FROM b WHERE gap <= coalesce(bound, 'inf'::DOUBLE))"""
+
+
+def _candidates(s, d):
+    """Coarse cells against coarse cells: both sides have few, whatever the number of points."""
+    l, r = _boxes(s, d, "sup").select(F.col("cell").alias("left"), F.col("box").alias("left_box")), _boxes(s, d, "cus")
+    from pyspark.sql import Window
+
+    p = l.crossJoin(r).withColumns({"gap": g.rect_gap2(F.col("left_box"), F.col("box")), "reach": g.rect_reach2(F.col("left_box"), F.col("box"))})
+    p = p.withColumn("held", F.sum("n").over(Window.partitionBy("left").orderBy("reach")))
+    p = p.withColumn("bound", F.min(F.when(F.col("held") >= 10, F.col("reach"))).over(Window.partitionBy("left")))
+    return p.where(F.col("gap") <= F.coalesce("bound", F.lit(float("inf"))))
+
+
+def _candidate_query(name: str, sql: str, f: Query) -> None:
+    QUERIES[name] = f
+    views = with_views("sup cus").split("WITH ")[1].rsplit(" sup cus", 1)[0]
+    SQL[name] = f"WITH {views}, {_CANDIDATES.strip()} {sql}"
+
+
+_candidate_query(
+    "candidate_cells", "SELECT left_cx, left_cy, cx, cy, n, gap FROM cand",
+    lambda s, d: _candidates(s, d).select(F.col("left.cx").alias("left_cx"), F.col("left.cy").alias("left_cy"), F.col("cell.cx").alias("cx"), F.col("cell.cy").alias("cy"), "n", "gap"),
+)
+_STRIPE = "CAST(floor(cx / 4.0) AS BIGINT)"
+_candidate_query(
+    "candidate_partitions", f"SELECT left_cx, left_cy, {_STRIPE} AS part_id, min(gap) AS gap FROM cand GROUP BY ALL",
+    lambda s, d: _candidates(s, d).groupBy(F.col("left.cx").alias("left_cx"), F.col("left.cy").alias("left_cy"), F.floor(F.col("cell.cx") / 4).alias("part_id")).agg(F.min("gap").alias("gap")),
+)
+_candidate_query(
+    "needed_partitions", f"SELECT part_id, count(*) AS left_cells FROM (SELECT DISTINCT left_cx, left_cy, {_STRIPE} AS part_id FROM cand) GROUP BY part_id",
+    lambda s, d: _candidates(s, d).select("left", F.floor(F.col("cell.cx") / 4).alias("part_id")).distinct().groupBy("part_id").agg(F.count("*").alias("left_cells")),
+)
+_candidate_query(
+    "right_partition_pruned", f"SELECT id, part_id FROM (SELECT id, {_STRIPE} AS part_id FROM {cells_sql('cus', 1000)}) WHERE part_id IN (SELECT {_STRIPE} FROM cand)",
+    lambda s, d: grid.with_cells(points(s, d, "cus"), 1000).select("id", F.floor(F.col("cx") / 4).alias("part_id")).join(_candidates(s, d).select(F.floor(F.col("cell.cx") / 4).alias("part_id")).distinct(), "part_id", "left_semi").select("id", "part_id"),
+)
+
+# -- geometry -----------------------------------------------------------------------------------------------
+
+_BY_NATION = "nb AS (SELECT CAST(c_nationkey AS BIGINT) AS nk, min(c_acctbal) AS min_x, min(c_custkey * 1.0::DOUBLE) AS min_y, max(c_acctbal) AS max_x, max(c_custkey * 1.0::DOUBLE) AS max_y FROM customer GROUP BY 1)"
+
+
+def _nation_boxes(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet")
+    x, y = F.col("c_acctbal"), F.col("c_custkey").cast("double")
+    return c.groupBy(F.col("c_nationkey").cast("long").alias("nk")).agg(g.rect(F.min(x), F.min(y), F.max(x), F.max(y)).alias("r"))
+
+
+def _edges(r, prefix=""):
+    return [r[c].alias(prefix + c) for c in ("min_x", "min_y", "max_x", "max_y")]
+
+
+query("mbr_merge", "SELECT * FROM nb", _BY_NATION)(lambda s, d: _nation_boxes(s, d).select("nk", *_edges(F.col("r"))))
+query("mbr_expand", "SELECT nk, min_x - 5 AS min_x, min_y - 5 AS min_y, max_x + 5 AS max_x, max_y + 5 AS max_y FROM nb", _BY_NATION)(
+    lambda s, d: _nation_boxes(s, d).select("nk", (F.col("r.min_x") - 5).alias("min_x"), (F.col("r.min_y") - 5).alias("min_y"), (F.col("r.max_x") + 5).alias("max_x"), (F.col("r.max_y") + 5).alias("max_y"))
+)
+_TWO = "FROM nb a JOIN nb b ON b.nk = a.nk + 1"
+
+
+def _two(s, d):
+    a, b = _nation_boxes(s, d).toDF("nk", "a"), _nation_boxes(s, d).toDF("nk2", "b")
+    return a.join(b, F.col("nk2") == F.col("nk") + 1)
+
+
+query("rect_merge", f"SELECT a.nk, least(a.min_x, b.min_x) AS min_x, least(a.min_y, b.min_y) AS min_y, greatest(a.max_x, b.max_x) AS max_x, greatest(a.max_y, b.max_y) AS max_y {_TWO}", _BY_NATION)(lambda s, d: _two(s, d).select("nk", *_edges(g.rect_merge(F.col("a"), F.col("b")))))
+query("rect_intersects", f"SELECT a.nk, NOT (a.min_x > b.max_x OR a.max_x < b.min_x OR a.min_y > b.max_y OR a.max_y < b.min_y) AS hit {_TWO}", _BY_NATION)(lambda s, d: _two(s, d).select("nk", g.rect_intersects(F.col("a"), F.col("b")).alias("hit")))
+_BOX = g.rect(F.lit(0.0), F.lit(1200.0), F.lit(5000.0), F.lit(4000.0))
+query("rect_contains", "SELECT id, x BETWEEN 0 AND 5000 AND y BETWEEN 1200 AND 4000 AS inside FROM cus")(lambda s, d: points(s, d, "cus").select("id", g.rect_contains(_BOX, F.col("x"), F.col("y")).alias("inside")))
+query("rect_edges", "SELECT id, x - 50 AS min_x, y - 25 AS min_y, x + 50 AS max_x, y + 25 AS max_y FROM cus")(lambda s, d: points(s, d, "cus").select("id", *_edges(g.rect_around(F.col("x"), F.col("y"), F.lit(50.0), F.lit(25.0)))))
+query("circle_edges", "SELECT id, x - 75 AS min_x, y - 75 AS min_y, x + 75 AS max_x, y + 75 AS max_y FROM sup")(lambda s, d: points(s, d, "sup").select("id", *_edges(g.circle_edges(F.col("x"), F.col("y"), F.lit(75.0)))))
+
+
+def _circles(s, d, test):
+    return points(s, d, "sup").crossJoin(F.broadcast(_nation_boxes(s, d))).select("id", "nk", test(F.col("x"), F.col("y"), F.lit(6000.0), F.col("r")).alias("hit"))
+
+
+query("circle_contains_rect", "SELECT id, nk, min_x > x - 6000 AND max_x < x + 6000 AND min_y > y - 6000 AND max_y < y + 6000 AS hit FROM sup, nb", _BY_NATION)(lambda s, d: _circles(s, d, g.circle_contains_rect))
+query("circle_intersects_rect", "SELECT id, nk, min_x <= x + 6000 AND max_x >= x - 6000 AND min_y <= y + 6000 AND max_y >= y - 6000 AS hit FROM sup, nb", _BY_NATION)(lambda s, d: _circles(s, d, g.circle_intersects_rect))
+query("quadrant", "SELECT id, CASE WHEN x <= 4500 THEN CASE WHEN y <= 4800 THEN 0 ELSE 1 END ELSE CASE WHEN y <= 4800 THEN 2 ELSE 3 END END AS quadrant FROM cus")(lambda s, d: points(s, d, "cus").select("id", g.quadrant(F.col("x"), F.col("y"), F.lit(4500.0), F.lit(4800.0)).alias("quadrant")))
+
+# -- index tables -------------------------------------------------------------------------------------------
+
+_EXT = "count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y"
+query(
+    "quad_levels",
+    f"""SELECT level, ix // (8 // (2 ** level)::BIGINT) AS ix, iy // (8 // (2 ** level)::BIGINT) AS iy, {_EXT} FROM q, (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS level) GROUP BY 1, 2, 3""",
+    "q AS (SELECT x, y, CAST(least(floor((x - lx) / ((hx - lx) / 8.0::DOUBLE)), 7) AS BIGINT) AS ix, CAST(least(floor((y - ly) / ((hy - ly) / 8.0::DOUBLE)), 7) AS BIGINT) AS iy FROM cus, (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM cus))",
+)(lambda s, d: index.quad_levels(points(s, d, "cus"), 3))
+
+
+def _kd_sql(depth: int) -> str:
+    out = "k0 AS (SELECT id, x, y, CAST(1 AS BIGINT) AS node FROM cus)"
+    for n in range(depth):
+        a, b = ("x", "y") if n % 2 == 0 else ("y", "x")
+        out += f", k{n + 1} AS (SELECT id, x, y, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY {a}, {b}, id) > (count(*) OVER (PARTITION BY node)) // 2 THEN 1 ELSE 0 END AS node FROM k{n})"
+    return out
+
+
+query(
+    "kd_split",
+    " UNION ALL ".join(
+        f"SELECT node // 2 AS node, count(*) AS n, count(*) FILTER (node % 2 = 0) AS left_n, CASE WHEN max({a}) FILTER (node % 2 = 0) <> min({a}) FILTER (node % 2 = 1) THEN max({a}) FILTER (node % 2 = 0) END AS split FROM k{n + 1} GROUP BY 1" for n, a in enumerate("xyx")
+    )
+    + " /* cus */",
+    _kd_sql(3),
+)(lambda s, d: index.kd_split(points(s, d, "cus"), 3))
+query("kd_leaf_extents", f"SELECT node, {_EXT} FROM k3 GROUP BY node /* cus */", _kd_sql(3))(lambda s, d: index.kd_leaf_extents(points(s, d, "cus"), 3))
+query("axis_histogram", "SELECT CAST(floor((x - low) / 500.0::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM cus, (SELECT min(x) AS low FROM cus) GROUP BY 1")(lambda s, d: index.axis_histogram(points(s, d, "cus"), "x", 500))
+
+# -- planning, text and helpers -----------------------------------------------------------------------------
+
+
+@query("plan_capacity", "SELECT 1::BIGINT AS min_partitions, 19::BIGINT AS max_partitions, n // 19 AS min_points, n AS max_points FROM (SELECT count(*) AS n FROM cus)")
+def _(s, d):
+    plan = grid.capacity(points(s, d, "cus").count(), executors=4, cores=5, memory=4_000_000_000, point_bytes=200)
+    return s.createDataFrame([plan], "min_partitions long, max_partitions long, min_points long, max_points long")
+
+
+query(
+    "estimate_nodes",
+    "SELECT CAST(ceil((n - 4) / 7.0::DOUBLE * 4 + 1) AS BIGINT) AS quadtree, CASE WHEN floor(1.44::DOUBLE * log2(n // 4)) <= 1 THEN 1 ELSE CAST(2 ** (floor(1.44::DOUBLE * log2(n // 4)) + 1) AS BIGINT) - 3 END AS kdtree FROM (SELECT count(*) AS n FROM cus)",
+)(lambda s, d: points(s, d, "cus").agg(F.count("*").alias("n")).select(grid.estimate_nodes(F.col("n"), "quadtree").alias("quadtree"), grid.estimate_nodes(F.col("n"), "kdtree").cast("long").alias("kdtree")))
+query("point_format", "SELECT id, printf('(%.10f,%.10f)', x, y) AS text FROM cus")(lambda s, d: points(s, d, "cus").select("id", g.format_point(F.col("x"), F.col("y")).alias("text")))
+
+
+@query("read_points", "SELECT trunc(x) AS x, trunc(y) AS y, CAST(x AS VARCHAR) || ' ' || CAST(y AS VARCHAR) AS user_data FROM cus")
+def _(s, d):
+    lines = points(s, d, "cus").select(F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("value"))
+    return text.parse_points(lines)
+
+
+@query("format_results", f"SELECT CAST(left_id AS VARCHAR) || ';' || string_agg(printf('%.8f', distance) || ',' || right_id, ';' ORDER BY rank) AS value FROM ({knn_sql('sup', 'cus', 3)}) GROUP BY left_id")
+def _(s, d):
+    return text.format_results(join.knn_join(points(s, d, "sup"), points(s, d, "cus"), 3), F.col("id"))
+
+
+def _helper(name: str, file: str, key: str, spark_column, sql: str) -> None:
+    query(f"helper_{name}", f"SELECT {key} AS id, {sql} AS value FROM {file}")(lambda s, d: s.read.parquet(f"{d}/{file}.parquet").select(F.col(key).alias("id"), spark_column().alias("value")))
+
+
+_bal = lambda: F.col("c_acctbal")
+_helper("round", "customer", "c_custkey", lambda: grid.cell(_bal(), 1), cell_sql("c_acctbal", 1))
+_helper("ceil_str", "customer", "c_custkey", lambda: h.ceil_text(_bal().cast("decimal(12,2)").cast("string")), "CAST(floor(CAST(c_acctbal AS DECIMAL(12,2))) AS BIGINT) + CASE WHEN substr(split_part(CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR), '.', 2), 1, 1) = '0' THEN 0 ELSE 1 END")
+_helper("abs_diff", "part", "p_partkey", lambda: h.abs_diff(F.col("p_retailprice"), F.col("p_size").cast("double")), "abs(p_retailprice - CAST(p_size AS DOUBLE))")
+_helper("min_max", "part", "p_partkey", lambda: F.greatest(F.col("p_size"), F.lit(20)) - F.least(F.col("p_size"), F.lit(20)), "greatest(p_size, 20) - least(p_size, 20)")
+_helper("log", "part", "p_partkey", lambda: F.round(h.log_base(F.col("p_retailprice"), F.lit(2.0)), 9), "round(ln(p_retailprice) / ln(2.0::DOUBLE), 9)")
+_helper("sorted_contains", "part", "p_partkey", lambda: h.in_sorted(F.array(*map(F.lit, (3, 7, 21, 40))), F.col("p_size")), "list_contains([3, 7, 21, 40], p_size)")
+_helper("bool_str", "orders", "o_orderkey", lambda: F.concat(h.truth_text(F.col("o_orderstatus") == "F"), h.truth_text(h.is_truth_text(F.col("o_orderpriority")))), "CASE WHEN o_orderstatus = 'F' THEN 'T' ELSE 'F' END || CASE WHEN upper(substr(o_orderpriority, 1, 1)) IN ('T', 'Y') THEN 'T' ELSE 'F' END")
+_helper("null_or_empty", "customer", "c_custkey", lambda: h.null_or_empty(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("")), "c_mktsegment = 'BUILDING' OR c_mktsegment = ''")
+_helper("floor_str", "customer", "c_custkey", lambda: h.before_point(_bal().cast("decimal(12,2)").cast("string")), "split_part(CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR), '.', 1)")
+_helper("nth_index", "customer", "c_custkey", lambda: h.nth_index(F.col("c_name"), "0", 2), "CASE WHEN instr(c_name, '0') = 0 OR instr(substr(c_name, instr(c_name, '0') + 1), '0') = 0 THEN -1 ELSE instr(c_name, '0') + instr(substr(c_name, instr(c_name, '0') + 1), '0') - 1 END::INTEGER")
+_helper("to_byte", "part", "p_partkey", lambda: h.bytes_of(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("K", "mb", "G", ""))), F.col("p_size") % 4 + 1))), "CAST(p_size AS BIGINT) * [1000, 1000000, 1000000000, 1][p_size % 4 + 1]")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
