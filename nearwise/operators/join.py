@@ -42,7 +42,11 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (p.select(F.col("id").alias(f"{s}_id"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y")) for p, s in ((left, "left"), (right, "right")))
 
 
-_D2 = dist2(F.col("left_x"), F.col("left_y"), F.col("right_x"), F.col("right_y")).alias("d2")
+
+
+def _d2() -> Column:
+    return dist2(F.col("left_x"), F.col("left_y"), F.col("right_x"), F.col("right_y")).alias("d2")
+
 
 
 def candidates(left_cells: DataFrame, right_levels: list[DataFrame], bits: list[int], k: int) -> DataFrame:
@@ -76,7 +80,7 @@ def _cell_join(left: DataFrame, right: DataFrame, k: int, kind: str, n_right: in
     pairs = candidates(nodes(left, plane.depth), levels[::-1], bits[::-1], k)
     reached = pairs.join(right.select(F.col("path").alias("node"), F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y")), "node")
     met = left.select(F.col("path").alias("left_node"), F.col("id").alias("left_id"), F.col("x").alias("left_x"), F.col("y").alias("left_y")).join(reached, "left_node")
-    return met.select("left_id", "right_id", _D2, "bound").where(F.col("d2") <= F.col("bound"))
+    return met.select("left_id", "right_id", _d2(), "bound").where(F.col("d2") <= F.col("bound"))
 
 
 def knn_join(
@@ -99,10 +103,10 @@ def knn_join(
     few = n_right <= DIRECT_ROWS and (index == "brute" or n_right * l.count() <= direct_pairs)
     if few:
         a, b = _sides(l, r)
-        pairs = a.crossJoin(F.broadcast(b)).select("left_id", "right_id", _D2)
+        pairs = a.crossJoin(F.broadcast(b)).select("left_id", "right_id", _d2())
     elif index == "brute":
         a, b = _sides(l, r)
-        pairs = a.crossJoin(b).select("left_id", "right_id", _D2)
+        pairs = a.crossJoin(b).select("left_id", "right_id", _d2())
     else:
         pairs = _cell_join(l, r, wanted, index, n_right, per_leaf)
     if exclude_self:
@@ -154,7 +158,7 @@ def range_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     l = as_points(left).withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
     l = l.select(F.col("id").alias("left_id"), F.col("x").alias("left_x"), F.col("y").alias("left_y"), (cell("x") + F.col("i")).alias("cx"), (cell("y") + F.col("j")).alias("cy"))
     r = as_points(right).select(F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y"), cell("x").alias("cx"), cell("y").alias("cy"))
-    d = l.join(r, ["cx", "cy"]).select("left_id", "right_id", F.sqrt(_D2).alias("distance"))
+    d = l.join(r, ["cx", "cy"]).select("left_id", "right_id", F.sqrt(_d2()).alias("distance"))
     return d.where(F.col("distance") <= F.lit(float(radius)))
 
 

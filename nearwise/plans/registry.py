@@ -261,8 +261,8 @@ def _two(s, d):
 
 query("rect_merge", f"SELECT a.nk, least(a.min_x, b.min_x) AS min_x, least(a.min_y, b.min_y) AS min_y, greatest(a.max_x, b.max_x) AS max_x, greatest(a.max_y, b.max_y) AS max_y {_TWO}", _BY_NATION)(lambda s, d: _two(s, d).select("nk", *_edges(g.rect_merge(F.col("a"), F.col("b")))))
 query("rect_intersects", f"SELECT a.nk, NOT (a.min_x > b.max_x OR a.max_x < b.min_x OR a.min_y > b.max_y OR a.max_y < b.min_y) AS hit {_TWO}", _BY_NATION)(lambda s, d: _two(s, d).select("nk", g.rect_intersects(F.col("a"), F.col("b")).alias("hit")))
-_BOX = g.rect(F.lit(0.0), F.lit(1200.0), F.lit(5000.0), F.lit(4000.0))
-query("rect_contains", "SELECT id, x BETWEEN 0 AND 5000 AND y BETWEEN 1200 AND 4000 AS inside FROM cus")(lambda s, d: points(s, d, "cus").select("id", g.rect_contains(_BOX, F.col("x"), F.col("y")).alias("inside")))
+_box = lambda: g.rect(F.lit(0.0), F.lit(1200.0), F.lit(5000.0), F.lit(4000.0))
+query("rect_contains", "SELECT id, x BETWEEN 0 AND 5000 AND y BETWEEN 1200 AND 4000 AS inside FROM cus")(lambda s, d: points(s, d, "cus").select("id", g.rect_contains(_box(), F.col("x"), F.col("y")).alias("inside")))
 query("rect_edges", "SELECT id, x - 50 AS min_x, y - 25 AS min_y, x + 50 AS max_x, y + 25 AS max_y FROM cus")(lambda s, d: points(s, d, "cus").select("id", *_edges(g.rect_around(F.col("x"), F.col("y"), F.lit(50.0), F.lit(25.0)))))
 query("circle_edges", "SELECT id, x - 75 AS min_x, y - 75 AS min_y, x + 75 AS max_x, y + 75 AS max_y FROM sup")(lambda s, d: points(s, d, "sup").select("id", *_edges(g.circle_edges(F.col("x"), F.col("y"), F.lit(75.0)))))
 
