@@ -63,7 +63,7 @@ def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int
     kept = F.when(F.col("spans").isNull(), text).otherwise(F.array_join(F.flatten(parts), "\n"))
     gone = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s.stop - s.start)
     out = F.struct(kept.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"))
-    return rows.select("row.*", out.alias("line_dedup"))
+    return rows.select("row", out.alias("line_dedup")).select("row.*", "line_dedup")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
