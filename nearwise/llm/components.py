@@ -9,8 +9,8 @@ from .common import save
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) long -> (node, root): root is the smallest node reachable. Nodes without an edge to another
-    node do not appear. Each round is written to the shared folder; the number of rounds grows with the
+    """(a, b) long -> (node, root): root is the smallest node reachable. Roots, and nodes without
+    an edge to another, do not appear as nodes. Each round is written to the shared folder; the number of rounds grows with the
     logarithm of the graph."""
     # node over lower: each edge from its greater end
     edges = save(edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct())
