@@ -52,14 +52,12 @@ def kd_nodes(points: DataFrame, depth: int) -> DataFrame:
 def kd_split(points: DataFrame, depth: int) -> DataFrame:
     """node, n, left_n, split of every inner node: split is the left half's last coordinate, or null where
     the right half begins with the same one."""
-    out = None
-    for d in range(depth):
-        axis = F.col("x" if d % 2 == 0 else "y")
-        side = kd_nodes(points, d + 1).select(F.floor(F.col("node") / 2).alias("node"), (F.col("node") % 2).alias("right"), axis.alias("v"))
-        left, first = F.max(F.when(F.col("right") == 0, F.col("v"))), F.min(F.when(F.col("right") == 1, F.col("v")))
-        level = side.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("right") == 0).alias("left_n"), F.when(left != first, left).alias("split"))
-        out = level if out is None else out.unionByName(level)
-    return out
+    rows = kd_nodes(points, depth).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+    below = F.floor(F.col("node") / F.pow(F.lit(2.0), F.lit(depth - 1) - F.col("level"))).cast("long")
+    axis = F.when(F.col("level") % 2 == 0, F.col("x")).otherwise(F.col("y"))
+    sides = rows.select(F.floor(below / 2).alias("node"), (below % 2).alias("right"), axis.alias("v"))
+    left, first = F.max(F.when(F.col("right") == 0, F.col("v"))), F.min(F.when(F.col("right") == 1, F.col("v")))
+    return sides.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("right") == 0).alias("left_n"), F.when(left != first, left).alias("split"))
 
 
 def kd_leaf_extents(points: DataFrame, depth: int) -> DataFrame:

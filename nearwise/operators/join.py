@@ -32,10 +32,10 @@ def as_points(df: DataFrame, on: tuple[str, str, str] = ("id", "x", "y")) -> Dat
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
-    """left_id, right_id, d2 -> the k nearest of each."""
+    """left_id, right_id, right_x, right_y, d2 -> the k nearest of each, ranked."""
     nearest = Window.partitionBy("left_id").orderBy("d2", "right_id")
     ranked = pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.select("left_id", "rank", "right_id", F.sqrt("d2").alias("distance"))
+    return ranked.select("left_id", "rank", "right_id", F.sqrt("d2").alias("distance"), "right_x", "right_y")
 
 
 def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +80,7 @@ def _cell_join(left: DataFrame, right: DataFrame, k: int, kind: str, n_right: in
     pairs = candidates(nodes(left, plane.depth), levels[::-1], bits[::-1], k)
     reached = pairs.join(right.select(F.col("path").alias("node"), F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y")), "node")
     met = left.select(F.col("path").alias("left_node"), F.col("id").alias("left_id"), F.col("x").alias("left_x"), F.col("y").alias("left_y")).join(reached, "left_node")
-    return met.select("left_id", "right_id", _d2(), "bound").where(F.col("d2") <= F.col("bound"))
+    return met.select("left_id", "right_id", "right_x", "right_y", _d2(), "bound").where(F.col("d2") <= F.col("bound"))
 
 
 def knn_join(
@@ -103,19 +103,19 @@ def knn_join(
     few = n_right <= DIRECT_ROWS and (index == "brute" or n_right * l.count() <= direct_pairs)
     if few:
         a, b = _sides(l, r)
-        pairs = a.crossJoin(F.broadcast(b)).select("left_id", "right_id", _d2())
+        pairs = a.crossJoin(F.broadcast(b)).select("left_id", "right_id", "right_x", "right_y", _d2())
     elif index == "brute":
         a, b = _sides(l, r)
-        pairs = a.crossJoin(b).select("left_id", "right_id", _d2())
+        pairs = a.crossJoin(b).select("left_id", "right_id", "right_x", "right_y", _d2())
     else:
         pairs = _cell_join(l, r, wanted, index, n_right, per_leaf)
     if exclude_self:
         pairs = pairs.where(F.col("left_id") != F.col("right_id"))
     top = _top(pairs, k)
     if output == "exploded":
-        return top
-    located = top.join(r.select(F.col("id").alias("right_id"), "x", "y").dropDuplicates(["right_id"]), "right_id")
-    lists = located.groupBy("left_id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", F.col("right_id").alias("id"), "x", "y"))).alias("ranked"))
+        return top.drop("right_x", "right_y")
+    one = F.struct("rank", "distance", F.col("right_id").alias("id"), F.col("right_x").alias("x"), F.col("right_y").alias("y"))
+    lists = top.groupBy("left_id").agg(F.array_sort(F.collect_list(one)).alias("ranked"))  # k at most
     lists = lists.select("left_id", F.transform("ranked", lambda n: F.struct(n.distance.alias("distance"), n.id.alias("id"), n.x.alias("x"), n.y.alias("y"))).alias("neighbors"))
     empty = F.array().cast(lists.schema["neighbors"].dataType)
     return left.join(lists, left[left_on[0]] == lists["left_id"], "left").select(*[left[c] for c in left.columns], F.coalesce("neighbors", empty).alias("neighbors"))
