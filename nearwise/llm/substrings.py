@@ -12,12 +12,13 @@ So every symbol inside the middle 35 - 2 x 8 words of a repeated window also occ
 3 words or more are held against all others (`repeats`); windows with a symbol in the middle that occurs
 once are unique. The other windows are verified by 80-bit hashes of their 35 words, again against all.
 
-`repeats` moves numbers, not rows: a task sorts its batch's hashes into buckets, one row of packed numbers
-a bucket. What is repeated within the batch is known there and sent once, so a hash in a third of all
-documents costs a bucket one entry a batch. A bucket answers with the places of the hashes that
-occurred twice. Buckets are read one at a time. Text is exchanged only for documents that may have
-repeats: their keys' bitmap (4 MB, whatever the corpus) is broadcast; keys that fall together only cost
-an exchange.
+`repeats` moves numbers, not rows. A task takes its documents in parts of at most PART_WORDS words and
+sorts a part's hashes into buckets, one row of packed numbers a bucket. What is repeated within the part is
+known there and sent once, so a hash in a third of all documents costs its bucket one entry a part. A
+bucket finds the hashes that occurred twice and answers the part with their places, packed again; the
+answers of a part come together once more and give one row for each of its documents. Buckets are as many
+as the session's shuffle partitions. Text is exchanged only for documents that may have repeats: their
+keys' bitmap (4 MB, whatever the corpus) is broadcast; keys that fall together only cost an exchange.
 
 Defined cases: a null text has no words; texts shorter than a window keep all words; rows with the same id
 and text are documents that repeat each other; null ids are allowed; other columns are ignored.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import partitions, save
 from .minhash import mix
 
-WINDOW, ROUNDS, LEAST, FILTER_BITS, SUB_BUCKETS = 35, 3, 3, 25, 8
+WINDOW, ROUNDS, LEAST, FILTER_BITS, PART_WORDS = 35, 3, 3, 25, 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -77,23 +78,34 @@ def witnesses(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return name[use], start[use], size[use]
 
 
-def unsure(n: int, start: np.ndarray, size: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which windows of n words have none of these symbols in their middle."""
-    edge, windows = (1 << ROUNDS), n - window + 1
-    low = np.maximum(start + size - (window - edge), 0)
-    high = np.minimum(start - edge, windows - 1)
+def unsure(starts: np.ndarray, sizes: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Documents of `sizes` words begin at `starts`. Of all their windows those that have none of these
+    symbols (of document `doc`, from word `first` on) in their middle, by their first words."""
+    edge, n = 1 << ROUNDS, int(sizes.sum())
+    low = np.maximum(first + size - (window - edge), starts[doc])
+    high = np.minimum(first - edge, (starts + sizes)[doc] - window)
     ok = low <= high
-    steps = np.bincount(low[ok], minlength=windows + 1) - np.bincount(high[ok] + 1, minlength=windows + 1)
-    return np.cumsum(steps)[:windows] == 0
+    covered = np.cumsum(np.bincount(low[ok], minlength=n + 1) - np.bincount(high[ok] + 1, minlength=n + 1))[:n]
+    fits = np.ones(n + 1, np.int64)
+    fits[:n] -= np.arange(n) > np.repeat(starts + sizes - window, sizes)
+    return np.flatnonzero((covered == 0) & (fits[:n] == 1))
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 16 bits of hash of the windows that start at these words: powers of odd numbers, modulo 2^64."""
+    """64 and 16 bits of hash of the windows that start at these words: sums of powers of odd numbers modulo
+    2^64, put together from spans of 1, 2, 4 ... words."""
     out = []
-    for base, twist in ((_A, _B), (_C, _A)):
-        total, w = np.zeros(len(at), np.uint64), mix(words ^ twist)
-        for j in range(window):
-            total = total * base + w[at + j]
+    for base, twist in ((int(_A), _B), (int(_C), _A)):
+        span, length = mix(words ^ twist), 1
+        total, done = np.zeros(len(at), np.uint64), 0
+        while length <= window:
+            power = np.uint64(pow(base, length, 1 << 64))
+            if window & length:
+                total = total * power + span[at + done]
+                done += length
+            if 2 * length <= window:
+                span = span[:-length] * power + span[length:]
+            length *= 2
         out.append(mix(total))
     return out[0], (out[1] >> np.uint64(48)).astype(np.uint16)
 
@@ -107,118 +119,135 @@ def _unplanes(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64))
 
 
-_ROW = "bucket int, hashes binary, more binary, known binary, places binary, keys binary, starts binary"
-_ROW_SCHEMA = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("hashes", "more", "known", "places", "keys", "starts"))])
+_ROW = "bucket int, origin long, hashes binary, more binary, known binary, places binary, keys binary, starts binary"
+_ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("origin", pa.int64()), *((c, pa.binary()) for c in ("hashes", "more", "known", "places", "keys", "starts"))])
 
 
-def _pack(buckets: int, keys: np.ndarray, starts: np.ndarray, place: np.ndarray, h: np.ndarray, more: np.ndarray) -> pa.RecordBatch | None:
-    """A batch's hashes with their places (counted through the batch's documents, whose places begin at
-    `starts`) -> a row for each bucket, and one with bucket -1: the places known to be repeated."""
-    if not len(h):
-        return None
+def _twice(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes occur more than once; which are the first of theirs."""
     order = np.lexsort((more, h))
     same = (h[order][1:] == h[order][:-1]) & (more[order][1:] == more[order][:-1])
-    twice = np.zeros(len(h), bool)
+    twice, first = np.zeros(len(h), bool), np.ones(len(h), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    first = np.ones(len(h), bool)
     first[order[1:][same]] = False
-    rows = [(-1, np.flatnonzero(twice))]
+    return twice, first
+
+
+def _pack(buckets: int, keys: np.ndarray, starts: np.ndarray, place: np.ndarray, h: np.ndarray, more: np.ndarray, named: np.ndarray) -> pa.RecordBatch:
+    """A part's hashes with their places (counted through its documents, whose places begin at `starts`) -> a
+    row for each bucket, and one with bucket -1: the documents, the places known to be repeated, and the
+    documents to be named in any case."""
+    origin = xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)
+    twice, first = _twice(h, more)
+    out = [(-1, origin, b"", b"", named.astype("<u4").tobytes(), _planes(place[twice]), keys.tobytes(), _planes(starts))]
     bucket = (h >> np.uint64(33)).astype(np.int64) % buckets
     sent = np.flatnonzero(first)
     sent = sent[np.argsort(bucket[sent], kind="stable")]
     cuts = np.searchsorted(bucket[sent], np.arange(buckets + 1))
-    rows += [(b, np.sort(sent[cuts[b] : cuts[b + 1]])) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    out = []
-    for b, rows_ in rows:
-        if len(rows_):
-            at = place[rows_]
-            docs = np.unique(np.searchsorted(starts, at, "right") - 1)
-            out.append((b, h[rows_].tobytes() if b >= 0 else b"", more[rows_].tobytes() if b >= 0 else b"", np.packbits(twice[rows_]).tobytes(), _planes(at), keys[docs].tobytes(), _planes(starts[docs])))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        at = sent[cuts[b] : cuts[b + 1]]
+        out.append((b, origin, h[at].tobytes(), more[at].tobytes(), np.packbits(twice[at]).tobytes(), _planes(place[at]), b"", b""))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ROW_SCHEMA, strict=True)], schema=_ROW_SCHEMA)
 
 
+_ANSWER = "origin long, places binary, named binary, keys binary, starts binary"
+_ANSWER_NAMES = ["origin", "places", "named", "keys", "starts"]
+
+
 def _answers(parts: list[tuple]) -> pa.RecordBatch | None:
-    """A bucket's rows -> (key, places): the places whose hashes occurred twice, by document."""
+    """A bucket's rows -> to each part the places whose hashes occurred twice. Bucket -1 passes through."""
     if not parts:
         return None
     if parts[0][0] < 0:
-        hits = [np.ones(len(p[4]) // 4, bool) for p in parts]
+        rows = [(p[1], p[5], p[4], p[6], p[7]) for p in parts]
     else:
-        h, more = np.concatenate([np.frombuffer(p[1], np.uint64) for p in parts]), np.concatenate([np.frombuffer(p[2], np.uint16) for p in parts])
-        counts = [len(p[1]) // 8 for p in parts]
-        known = np.concatenate([np.unpackbits(np.frombuffer(p[3], np.uint8), count=n).astype(bool) for p, n in zip(parts, counts, strict=True)])
-        order = np.lexsort((more, h))
-        same = (h[order][1:] == h[order][:-1]) & (more[order][1:] == more[order][:-1])
-        twice = np.zeros(len(h), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        hits = np.split(twice & ~known, np.cumsum(counts)[:-1])
-    keys_out, places_out = [], []
-    for p, hit in zip(parts, hits, strict=True):
-        if not hit.any():
-            continue
-        at, starts, keys = _unplanes(p[4])[hit], _unplanes(p[6]), np.frombuffer(p[5], np.int64)
-        doc = np.searchsorted(starts, at, "right") - 1
-        cuts = np.flatnonzero(np.diff(doc)) + 1
-        for low, high in zip([0, *cuts], [*cuts, len(at)], strict=True):
-            keys_out.append(int(keys[doc[low]]))
-            places_out.append((at[low:high] - starts[doc[low]]).astype("<u4").tobytes())
-    if not keys_out:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(keys_out, pa.int64()), pa.array(places_out, pa.binary())], ["key", "places"])
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bucket, parts = None, []
+        counts = [len(p[2]) // 8 for p in parts]
+        h, more = np.frombuffer(b"".join(p[2] for p in parts), np.uint64), np.frombuffer(b"".join(p[3] for p in parts), np.uint16)
+        known = np.concatenate([np.unpackbits(np.frombuffer(p[4], np.uint8), count=n).astype(bool) for p, n in zip(parts, counts, strict=True)])
+        hits = np.split(_twice(h, more)[0] & ~known, np.cumsum(counts)[:-1])
+        rows = [(p[1], _planes(_unplanes(p[5])[hit]), b"", b"", b"") for p, hit in zip(parts, hits, strict=True) if hit.any()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.binary()] * 4], strict=True)], _ANSWER_NAMES)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], finish: Callable, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Calls finish with the rows of each value of the first column, by which they are sorted."""
+    value, parts = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != bucket or (row[0] < 0 and len(parts) >= 64):
-                if (out := _answers(parts)) is not None:
+            if row[0] != value or (row[0] == most and len(parts) >= 64):
+                if (out := finish(parts)) is not None:
                     yield out
-                bucket, parts = row[0], []
+                value, parts = row[0], []
             parts.append(row)
-    if (out := _answers(parts)) is not None:
+    if (out := finish(parts)) is not None:
         yield out
 
 
+def _by_document(rows: list[tuple]) -> pa.RecordBatch | None:
+    """A part's answers -> (key, places) of its documents that have any, and of those named."""
+    if not rows:
+        return None
+    keys, starts, named = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    for r in rows:
+        if r[3]:
+            keys, starts, named = np.frombuffer(r[3], np.int64), _unplanes(r[4]), np.frombuffer(r[2], "<u4").astype(np.int64)
+    at = np.sort(np.concatenate([_unplanes(r[1]) for r in rows]))
+    doc = np.searchsorted(starts, at, "right") - 1
+    wanted = np.union1d(np.unique(doc), named)
+    low, high = np.searchsorted(doc, wanted), np.searchsorted(doc, wanted, "right")
+    places = [(at[a:b] - starts[d]).astype("<u4").tobytes() for d, a, b in zip(wanted.tolist(), low.tolist(), high.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(keys[wanted]), pa.array(places, pa.binary())], ["key", "places"])
+
+
 def repeats(rows: DataFrame, ask: Callable, buckets: int) -> DataFrame:
-    """ask: batch -> (keys, starts, places, hashes, more) -> (key, places): of every document the places
-    whose hashes occur at least twice among all rows."""
+    """ask: batch -> (keys, starts, places, hashes, more hash, documents to name) of each part -> (key,
+    places): of every document the places whose hashes occur at least twice among all rows."""
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked in ask(batch):
-                if (out := _pack(buckets, *asked)) is not None:
-                    yield out
+            for part in ask(batch):
+                yield _pack(buckets, *part)
 
     asked = rows.mapInArrow(asking, _ROW)
-    # what is known already goes back in as many parts as there are buckets
-    spread = F.when(F.col("bucket") < 0, F.crc32("keys") % buckets).otherwise(F.col("bucket")).cast("int")
-    asked = asked.repartition(max(2, buckets // SUB_BUCKETS), spread).sortWithinPartitions("bucket")
-    return asked.mapInArrow(_answer, "key long, places binary")
+    spread = F.when(F.col("bucket") < 0, F.pmod("origin", F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
+    asked = asked.repartition(buckets, spread).sortWithinPartitions("bucket")
+    answered = asked.mapInArrow(lambda batches: _grouped(batches, _answers, -1), _ANSWER)
+    answered = answered.repartition(buckets, "origin").sortWithinPartitions("origin")
+    return answered.mapInArrow(lambda batches: _grouped(batches, _by_document), "key long, places binary")
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], int]]:
-    for row, (id_, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-        words = (text or b"").split()
-        yield row, words, doc_key(id_, text or b"")
-
-
-def _gather(found: list[tuple[int, np.ndarray]]):
-    """(key, word hashes) of some documents -> keys, starts, words, doc of each word."""
-    sizes = [len(w) for _, w in found]
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    return np.array([k for k, _ in found], np.int64), starts, np.concatenate([w for _, w in found]), np.repeat(np.arange(len(found)), sizes)
+    for row, (id_, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+        text = text.as_py() or b""
+        yield row, text.split(), doc_key(id_.as_py(), text)
+
+
+def _parts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, keys, starts, sizes and word hashes of documents that have a window, at most about PART_WORDS
+    words at once (a longer document alone)."""
+    rows, keys, words, held = [], [], [], 0
+    for row, text, key in _documents(batch):
+        if len(text) >= window:
+            rows.append(row)
+            keys.append(key)
+            words.append(word_hashes(text))
+            held += len(text)
+        if held >= PART_WORDS or (row == batch.num_rows - 1 and rows):
+            sizes = np.array([len(w) for w in words], np.int64)
+            yield rows, np.array(keys, np.int64), np.cumsum(sizes) - sizes, sizes, np.concatenate(words)
+            rows, keys, words, held = [], [], [], 0
 
 
 def _ask_symbols(window: int) -> Callable:
     def ask(batch: pa.RecordBatch) -> Iterator[tuple]:
-        found = [(key, word_hashes(words)) for _, words, key in _documents(batch) if len(words) >= window]
-        if found:
-            keys, starts, words, doc = _gather(found)
-            name, at, _ = witnesses(words, doc)
-            yield keys, starts, at, name, np.zeros(len(name), np.uint16)
+        for _, keys, starts, sizes, words in _parts(batch, window):
+            doc = np.repeat(np.arange(len(keys)), sizes)
+            name, at, size = witnesses(words, doc)
+            # windows without any symbol in the middle are verified in any case
+            blind = unsure(starts, sizes, doc[at], at, size, window)
+            yield keys, starts, at, name, np.zeros(len(name), np.uint16), np.unique(doc[blind])
 
     return ask
 
@@ -227,44 +256,20 @@ def _ask_windows(window: int) -> Callable:
     """Rows: id, text, answers (lists of places of symbols that are repeated)."""
 
     def ask(batch: pa.RecordBatch) -> Iterator[tuple]:
-        found, windows = [], []
-        for row, words, key in _documents(batch):
-            if len(words) < window:
-                continue
-            h = word_hashes(words)
-            _, at, size = witnesses(h, np.zeros(len(h), np.int64))
-            answers = batch.column(2)[row].as_py() or []
-            known = np.frombuffer(b"".join(answers), "<u4")
-            single = ~np.isin(at, known)
-            where = np.flatnonzero(unsure(len(h), at[single], size[single], window))
-            if len(where):
-                found.append((key, h))
-                windows.append(where)
-        if found:
-            keys, starts, words, _ = _gather(found)
-            at = np.concatenate([w + s for w, s in zip(windows, starts, strict=True)])
-            yield keys, starts, at, *window_hashes(words, at, window)
+        for rows, keys, starts, sizes, words in _parts(batch, window):
+            doc = np.repeat(np.arange(len(keys)), sizes)
+            _, at, size = witnesses(words, doc)
+            single = np.ones(len(words), bool)
+            for row, start in zip(rows, starts.tolist(), strict=True):
+                for known in batch.column(2)[row].as_py() or []:
+                    single[start + np.frombuffer(known, "<u4").astype(np.int64)] = False
+            at, size = at[single[at]], size[single[at]]
+            where = unsure(starts, sizes, doc[at], at, size, window)
+            yield keys, starts, where, *window_hashes(words, where, window), np.empty(0, np.int64)
 
     return ask
 
 
-def _blind(window: int) -> Callable:
-    """Keys of the documents with windows that have no symbol in the middle at all."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for _, words, key in _documents(batch):
-                if len(words) >= window:
-                    h = word_hashes(words)
-                    _, at, size = witnesses(h, np.zeros(len(h), np.int64))
-                    if unsure(len(h), at, size, window).any():
-                        out.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["key"])
-
-    return of
-
-
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """2^FILTER_BITS bits, those of the keys set."""
     at = F.pmod(F.col("key"), F.lit(1 << FILTER_BITS)) + 1  # Spark counts bitmap places from 1
@@ -305,11 +310,9 @@ def repeated_windows(docs: DataFrame, *, id_col="doc_id", text_col="text", windo
     if window <= 2 << ROUNDS:
         raise ValueError(f"windows have more than {2 << ROUNDS} words")
     spark = docs.sparkSession
-    buckets = partitions(spark) * SUB_BUCKETS
+    buckets = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    symbols = repeats(texts, _ask_symbols(window), buckets)
-    blind = texts.mapInArrow(_blind(window), "key long").select("key", F.lit(None).cast("binary").alias("places"))
-    symbols = save(symbols.unionByName(blind))
+    symbols = save(repeats(texts, _ask_symbols(window), buckets))
     bits = spark.sparkContext.broadcast(_bitmap(symbols))
     answers = symbols.groupBy("key").agg(F.collect_list("places").alias("answers"))
     some = texts.mapInArrow(_some(bits, False, window), _SOME).select("key", "id", "text")
