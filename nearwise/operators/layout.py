@@ -1,8 +1,9 @@
 """Binary space partitions of the plane as paths of bits, with levels of nodes above them.
 
 A path has one bit a split, x and y in turn. Splits are midpoints of the extents ("quadtree", two bits a
-level) or medians of a bounded sample ("kdtree", balanced under skew). Either is a list of numbers, so a
-point's path is a plain expression.
+level) or medians of a bounded sample ("kdtree", balanced under skew), at most KD_DEPTH of those and then
+midpoints of the sample's extents in each leaf. Either way they are a few numbers, so a point's path is a
+plain expression, and points beyond the sample's extents belong to the nearest cell.
 """
 
 from __future__ import annotations
@@ -14,33 +15,31 @@ from pyspark.sql import functions as F
 
 from nearwise.functions.geometry import rect
 
-SAMPLE, DEEPEST = 20_000, 20
+SAMPLE, DEEPEST, KD_DEPTH = 20_000, 40, 12
 
 
 @dataclass
 class Layout:
     depth: int
-    bounds: tuple[float, float, float, float]
-    splits: list[float] | None  # heap order; None: midpoints
+    splits: list[float]  # medians in heap order
+    boxes: list[tuple[float, float, float, float]]  # extents below the medians, leaf by leaf
 
     def path(self, x: Column, y: Column) -> Column:
-        if not self.depth:
-            return F.lit(0).cast("long")
-        if self.splits is not None:
-            table, at = F.array(*map(F.lit, self.splits)), F.lit(0)
-            for d in range(self.depth):
-                at = at * 2 + 1 + F.when((x if d % 2 == 0 else y) > F.get(table, at), 1).otherwise(0)
-            return (at - (2**self.depth - 1)).cast("long")
-        out = F.lit(0).cast("long")
-        min_x, min_y, max_x, max_y = self.bounds
-        bits = [(self.depth + 1) // 2, self.depth // 2]
+        tall = len(self.boxes).bit_length() - 1
+        leaf, table = F.lit(0), F.array(*map(F.lit, self.splits)) if self.splits else None
+        for d in range(tall):
+            leaf = leaf * 2 + 1 + F.when((x if d % 2 == 0 else y) > F.get(table, leaf), 1).otherwise(0)
+        leaf = leaf - (2**tall - 1)
+        out, more = leaf.cast("long"), self.depth - tall
         cells = []
-        for v, low, high, b in ((x, min_x, max_x, bits[0]), (y, min_y, max_y, bits[1])):
-            step = (high - low) / 2**b or 1.0
-            cells.append(F.least(F.greatest(F.floor((v - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(2**b - 1)).cast("long"))
-        for d in range(self.depth):
-            c, b, at = cells[d % 2], bits[d % 2], d // 2
-            out = out * 2 + F.shiftright(c, b - 1 - at).bitwiseAND(F.lit(1).cast("long"))
+        for v, low, high, bits in ((x, 0, 2, (more + 1) // 2), (y, 1, 3, more // 2)):
+            lows = F.get(F.array(*[F.lit(b[low]) for b in self.boxes]), leaf)
+            steps = F.get(F.array(*[F.lit((b[high] - b[low]) / 2**bits or 1.0) for b in self.boxes]), leaf)
+            last = F.lit(float(2**bits - 1))
+            cells.append(F.least(F.greatest(F.floor((v - lows) / steps).cast("double"), F.lit(0.0)), last).cast("long"))
+        for d in range(more):
+            bits = (more + 1) // 2 if d % 2 == 0 else more // 2
+            out = out * 2 + F.shiftright(cells[d % 2], bits - 1 - d // 2).bitwiseAND(F.lit(1).cast("long"))
         return out
 
 
@@ -49,22 +48,19 @@ def layout(points: DataFrame, kind: str, n: int, per_leaf: int) -> Layout:
     depth = 0
     while n > per_leaf << depth and depth < DEEPEST:
         depth += 1
-    b = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    if b[0] is None:
-        return Layout(0, (0.0, 0.0, 0.0, 0.0), None)
     if kind == "quadtree":
-        return Layout(depth, tuple(map(float, b)), None)
-    depth = min(depth, 12)
+        b = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+        return Layout(depth if b[0] is not None else 0, [], [tuple(map(float, b)) if b[0] is not None else (0.0, 0.0, 0.0, 0.0)])
     sample = points.select("x", "y").sample(fraction=min(1.0, 2 * SAMPLE / max(1, n)), seed=7).limit(SAMPLE).toPandas()
     groups, splits = [sample], []
-    for d in range(depth):
+    for d in range(min(depth, KD_DEPTH)):
         axis, below = "xy"[d % 2], []
         for g in groups:
             cut = float(g[axis].sort_values().iloc[(len(g) - 1) // 2]) if len(g) else 0.0
             splits.append(cut)
             below += [g[g[axis] <= cut], g[g[axis] > cut]]
         groups = below
-    return Layout(depth, tuple(map(float, b)), splits)
+    return Layout(depth, splits, [(float(g.x.min()), float(g.y.min()), float(g.x.max()), float(g.y.max())) if len(g) else (0.0, 0.0, 0.0, 0.0) for g in groups])
 
 
 def nodes(points: DataFrame, depth: int) -> DataFrame:

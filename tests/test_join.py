@@ -64,6 +64,13 @@ def test_any_points(spark, places, k, index):
     assert joined(spark, rows, rows, k, index=index, direct_pairs=-1, per_leaf=2) == brute(rows, rows, k)
 
 
+def test_midpoints_below_the_medians(spark, monkeypatch):
+    monkeypatch.setattr("nearwise.operators.layout.KD_DEPTH", 2)
+    monkeypatch.setattr("nearwise.operators.layout.SAMPLE", 30)
+    left, right = cloud(8, 50), cloud(9, 400)
+    assert joined(spark, left, right, 6, direct_pairs=0, per_leaf=2) == brute(left, right, 6)
+
+
 def test_null_and_nan(spark):
     rows = [(1, None, 1.0), (2, float("nan"), 1.0), (3, 0.0, 0.0)]
     assert joined(spark, rows, rows, 2) == {1: [], 2: [], 3: [(3, 0.0)]}
