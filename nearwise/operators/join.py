@@ -103,6 +103,8 @@ def knn_join(
     few = n_right <= DIRECT_ROWS and (index == "brute" or n_right * l.count() <= direct_pairs)
     if few:
         a, b = _sides(l, r)
+        # a small left side may be one file; dealt by id, its pairs need no exchange before they are ranked
+        a = a.repartition("left_id")
         pairs = a.crossJoin(F.broadcast(b)).select("left_id", "right_id", "right_x", "right_y", _d2())
     elif index == "brute":
         a, b = _sides(l, r)

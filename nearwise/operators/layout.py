@@ -25,22 +25,30 @@ class Layout:
     boxes: list[tuple[float, float, float, float]]  # extents below the medians, leaf by leaf
 
     def path(self, x: Column, y: Column) -> Column:
+        # lambdas bind what is used more than once; written out, it would double with every split
         tall = len(self.boxes).bit_length() - 1
-        leaf, table = F.lit(0), F.array(*map(F.lit, self.splits)) if self.splits else None
-        for d in range(tall):
-            leaf = leaf * 2 + 1 + F.when((x if d % 2 == 0 else y) > F.get(table, leaf), 1).otherwise(0)
-        leaf = leaf - (2**tall - 1)
-        out, more = leaf.cast("long"), self.depth - tall
-        cells = []
-        for v, low, high, bits in ((x, 0, 2, (more + 1) // 2), (y, 1, 3, more // 2)):
-            lows = F.get(F.array(*[F.lit(b[low]) for b in self.boxes]), leaf)
-            steps = F.get(F.array(*[F.lit((b[high] - b[low]) / 2**bits or 1.0) for b in self.boxes]), leaf)
-            last = F.lit(float(2**bits - 1))
-            cells.append(F.least(F.greatest(F.floor((v - lows) / steps).cast("double"), F.lit(0.0)), last).cast("long"))
-        for d in range(more):
-            bits = (more + 1) // 2 if d % 2 == 0 else more // 2
-            out = out * 2 + F.shiftright(cells[d % 2], bits - 1 - d // 2).bitwiseAND(F.lit(1).cast("long"))
-        return out
+        more, leaf = self.depth - tall, F.lit(0)
+        if tall:
+            table = F.array(*map(F.lit, self.splits))
+            right = lambda at, d: F.when(F.when(d % 2 == 0, x).otherwise(y) > F.get(table, at), 1).otherwise(0)
+            leaf = F.aggregate(F.sequence(F.lit(0), F.lit(tall - 1)), F.lit(0), lambda at, d: at * 2 + 1 + right(at, d)) - (2**tall - 1)
+        if not more:
+            return leaf.cast("long")
+
+        def cell(v: Column, at: Column, low: int, high: int, bits: int) -> Column:
+            lows = F.get(F.array(*[F.lit(b[low]) for b in self.boxes]), at)
+            steps = F.get(F.array(*[F.lit((b[high] - b[low]) / 2**bits or 1.0) for b in self.boxes]), at)
+            return F.least(F.greatest(F.floor((v - lows) / steps).cast("double"), F.lit(0.0)), F.lit(float(2**bits - 1))).cast("long")
+
+        def woven(c: Column) -> Column:
+            out = c.leaf
+            for d in range(more):
+                bits = (more + 1) // 2 if d % 2 == 0 else more // 2
+                out = out * 2 + F.shiftright(c.i if d % 2 == 0 else c.j, bits - 1 - d // 2).bitwiseAND(F.lit(1).cast("long"))
+            return out
+
+        placed = lambda at: F.struct(at.cast("long").alias("leaf"), cell(x, at, 0, 2, (more + 1) // 2).alias("i"), cell(y, at, 1, 3, more // 2).alias("j"))
+        return F.get(F.transform(F.transform(F.array(leaf), placed), woven), 0)
 
 
 def layout(points: DataFrame, kind: str, n: int, per_leaf: int) -> Layout:
