@@ -78,3 +78,12 @@ def rect_reach2(a: Column, b: Column) -> Column:
 def format_point(x: Column, y: Column, payload: Column | None = None) -> Column:
     parts = F.format_string("(%.10f,%.10f", x, y)
     return F.concat(parts, F.lit(")")) if payload is None else F.concat(parts, F.lit(","), F.coalesce(payload.cast("string"), F.lit("")), F.lit(")"))
+
+
+def format_circle(x: Column, y: Column, radius: Column) -> Column:
+    return F.format_string("%,.8f,%,.8f,%,.8f", x, y, radius)
+
+
+def format_mbr(r: Column, part: Column) -> Column:
+    """Whole edges and the partition, with thousands marked, between tabs."""
+    return F.format_string("%,d\t%,d\t%,d\t%,d\t%,d", *[r[c].cast("long") for c in ("min_x", "min_y", "max_x", "max_y")], part)

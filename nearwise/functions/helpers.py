@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,6 +32,14 @@ def abs_diff(a: Column, b: Column) -> Column:
     return F.abs(a - b)
 
 
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
 def log_base(n: Column, base: Column) -> Column:
     return F.ln(n) / F.ln(base)
 
@@ -72,3 +83,14 @@ def bytes_of(s: Column) -> Column:
     unit = F.upper(F.regexp_extract(s, r"^\d+([A-Za-z]?)", 1))
     scale = F.when(unit.isin("", "B"), F.lit(1).cast("long")).when(unit == "K", F.lit(1000).cast("long")).when(unit == "M", F.lit(1000000).cast("long")).when(unit == "G", F.lit(1000000000).cast("long"))
     return F.when(scale.isNull(), F.raise_error(F.concat(F.lit("unknown unit: "), s)).cast("long")).otherwise(number * scale)
+
+
+def random_output_dir(base: str, draw: Callable[[int], int] = random.randrange) -> str:
+    """A folder below `base` that a number from 0 to 998 names."""
+    return f"{base if base.endswith('/') else base + '/'}{draw(999)}"
+
+
+def log_if(on: bool, source: object, message: Callable[[], object]) -> None:
+    """The message, which is only made if `on`, to the log of the source's class."""
+    if on:
+        logging.getLogger(type(source).__qualname__).info("%s", message())

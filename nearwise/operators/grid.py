@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearwise.functions.geometry import rect
 from nearwise.functions.helpers import round_half_up_from_zero
 
+from .index import axis_histogram
+from .layout import parents
+
 
 def cell(v: Column, size: float) -> Column:
     """The cell of a coordinate: its multiple of the cell size, rounded half up from zero."""
@@ -29,6 +33,35 @@ def histogram(points: DataFrame, size: float) -> DataFrame:
     return with_cells(points, size).groupBy("cx", "cy").agg(F.count("*").alias("n"), *extents())
 
 
+def levels(cells: DataFrame, step: int = 4) -> tuple[list[DataFrame], list[int]]:
+    """Of a histogram: (levels of nodes over its cells, root first; bits of each step down), for
+    `join.candidates`. The bits of cx and cy are woven, so a node is a square of cells; leaves keep cx and cy."""
+    low = cells.agg(F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy")).first()
+    bits = 0 if low[0] is None else max(low[2] - low[0], low[3] - low[1]).bit_length()
+    bit = lambda c, at, b: F.shiftleft(F.shiftright(F.col(c) - at, b).bitwiseAND(F.lit(1).cast("long")), 2 * b + (c == "cx"))
+    node = F.lit(0).cast("long")
+    for b in range(bits):
+        node = node + bit("cx", low[0], b) + bit("cy", low[1], b)
+    found, steps, left = [cells.select(node.alias("node"), "n", rect(*map(F.col, ("min_x", "min_y", "max_x", "max_y"))).alias("box"), "cx", "cy")], [], 2 * bits
+    while left:
+        steps.append(min(step, left))
+        found.append(parents(found[-1], steps[-1]))
+        left -= steps[-1]
+    return found[::-1], steps[::-1]
+
+
+def renumbered(assigned: DataFrame, needed: DataFrame, column: str = "part_id") -> DataFrame:
+    """Rows of the needed partitions, which are numbered anew without gaps, in order. `needed` has one row a
+    partition."""
+    new = needed.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias("new"))
+    return assigned.join(new, column).withColumn(column, F.col("new")).drop("new")
+
+
+def distinct_bins(points: DataFrame, axis: str, width: float) -> DataFrame:
+    """bins: how many bins of a width, from the least coordinate on, have points."""
+    return axis_histogram(points, axis, width).agg(F.count("*").alias("bins"))
+
+
 def summary(cells: DataFrame) -> DataFrame:
     """Of a histogram: number of points, most in a cell, cells, extents."""
     return cells.agg(F.sum("n").alias("n"), F.max("n").alias("max_cell"), F.count("*").alias("cells"), *[f(c).alias(c) for f, c in ((F.min, "min_x"), (F.max, "max_x"), (F.min, "min_y"), (F.max, "max_y"))])
@@ -44,7 +77,8 @@ def regrid(size: float, most: int, least_capacity: int) -> float:
 def assign_partitions(cells: DataFrame, least: int, most: int) -> DataFrame:
     """Cells in order of (cx, cy), dealt to partitions: a new one begins where the current one has `least`
     points or would exceed `most`. The rule looks back at where its partition began, so it is one pass
-    over the cells (not the points), a batch at a time in one task that holds two numbers."""
+    over the cells (not the points), a batch at a time in one task that holds two numbers. The cells are counted
+    before they meet there."""
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, held = -1, 0
@@ -58,7 +92,7 @@ def assign_partitions(cells: DataFrame, least: int, most: int) -> DataFrame:
                 ids.append(part)
             yield batch.assign(part_id=pd.Series(ids, index=batch.index, dtype="int64"))
 
-    ordered = cells.select("cx", "cy", "n").coalesce(1).sortWithinPartitions("cx", "cy")
+    ordered = cells.select("cx", "cy", "n").repartition(1).sortWithinPartitions("cx", "cy")
     return ordered.mapInPandas(sweep, "cx long, cy long, n long, part_id long")
 
 

@@ -1,26 +1,35 @@
 """The k-nearest-neighbour join and its relatives.
 
-Small inputs are joined directly. Otherwise both sides are put into the cells of one binary partition of
-the plane, and every left cell finds the right cells that can hold a neighbour, from the root down: each
-level replaces the kept nodes by their children (an equi-join), takes as bound the least reach within
-which the nodes hold k points, and drops the nodes whose gap is beyond it. Points then meet by equi-joins
-on cells, a point farther than its cell's bound is dropped at once, and the k nearest are kept by rank,
-which Spark limits before its exchange. The bound uses true extents, so the result is exact; ties go to
-the smaller right id.
+What is asked are the distinct places of the left rows; every left row then gets its place's list, so
+repeated rows, ids that repeat and rows without an id all have their own. Small inputs are compared
+directly. Otherwise each side is laid out by its own points: the left into cells of about LEFT_CELL places,
+the right into a tree. Cells look for right nodes from the root down: each level replaces the kept nodes by
+their children (an equi-join), takes as bound the least reach within which the nodes hold k points, and
+drops the nodes whose gap is beyond it. A cell that still meets more than SPREAD nodes is too wide for the
+right side's density there, as where the sides lie apart; it stops, and its places go on down by themselves. At
+the leaves all places have a bound of their own. Places then meet points by equi-joins on leaves, a point
+beyond its place's bound is dropped at once, and the k nearest are kept by rank, which Spark limits before
+its exchange. Bounds use true extents, so the result is exact; ties go to the smaller right id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearwise.functions.geometry import dist2, rect_gap2, rect_reach2
+from nearwise.functions.geometry import dist2, rect, rect_gap2, rect_reach2
+from nearwise.plans.tables import save
 
 from .layout import layout, nodes, parents
 
 #: Pairs up to which points are compared directly, and right rows up to which those are broadcast for it.
-DIRECT_PAIRS, DIRECT_ROWS, PER_LEAF = 60_000_000, 200_000, 64
+DIRECT_PAIRS, DIRECT_ROWS = 1_000_000, 200_000
+#: Right points a leaf; places a left cell; nodes a cell may meet; bits a step down.
+PER_LEAF, LEFT_CELL, SPREAD, STEP = 32, 64, 16, 3
+#: Bytes of a point (id, x, y) that the byte limit of a leaf counts with.
+POINT_BYTES = 24
 INDEXES = ("quadtree", "kdtree", "brute")
 
 
@@ -31,56 +40,100 @@ def as_points(df: DataFrame, on: tuple[str, str, str] = ("id", "x", "y")) -> Dat
     return rows.where(finite[0] & finite[1])
 
 
-def _top(pairs: DataFrame, k: int) -> DataFrame:
-    """left_id, right_id, right_x, right_y, d2 -> the k nearest of each, ranked."""
-    nearest = Window.partitionBy("left_id").orderBy("d2", "right_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.select("left_id", "rank", "right_id", F.sqrt("d2").alias("distance"), "right_x", "right_y")
-
-
-def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return (p.select(F.col("id").alias(f"{s}_id"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y")) for p, s in ((left, "left"), (right, "right")))
+def _places(points: DataFrame) -> DataFrame:
+    """The distinct places of points, as px and py."""
+    return points.select(F.col("x").alias("px"), F.col("y").alias("py")).distinct()
 
 
+def _right(points: DataFrame) -> DataFrame:
+    return points.select(F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y"))
 
 
 def _d2() -> Column:
-    return dist2(F.col("left_x"), F.col("left_y"), F.col("right_x"), F.col("right_y")).alias("d2")
-
-
-
-def candidates(left_cells: DataFrame, right_levels: list[DataFrame], bits: list[int], k: int) -> DataFrame:
-    """Left cells (node, box) and the right side's levels, root first -> left_node, node, bound: for each left
-    cell the right leaves that may hold one of its points' k nearest. `bits`: of each step down."""
-    pairs = left_cells.select(F.col("node").alias("left_node"), F.col("box").alias("left_box")).crossJoin(F.broadcast(right_levels[0]))  # the root is one row
-    for n, level in enumerate(right_levels):
-        if n:
-            below = level.withColumn("up", F.shiftright("node", bits[n - 1]))
-            pairs = pairs.select("left_node", "left_box", F.col("node").alias("up")).join(below, "up").drop("up")
-        gap, reach = rect_gap2(F.col("left_box"), F.col("box")), rect_reach2(F.col("left_box"), F.col("box"))
-        pairs = pairs.withColumns({"gap": gap, "reach": reach})
-        near = Window.partitionBy("left_node").orderBy("reach")
-        pairs = pairs.withColumn("held", F.sum("n").over(near))
-        bound = F.min(F.when(F.col("held") >= k, F.col("reach"))).over(Window.partitionBy("left_node"))
-        pairs = pairs.withColumn("bound", F.coalesce(bound, F.lit(float("inf")))).where(F.col("gap") <= F.col("bound"))
-    return pairs.select("left_node", "node", "bound")
-
-
-def _cell_join(left: DataFrame, right: DataFrame, k: int, kind: str, n_right: int, per_leaf: int) -> DataFrame:
-    plane = layout(right, kind, n_right, max(per_leaf, k))
-    path = plane.path(F.col("x"), F.col("y"))
-    left, right = left.withColumn("path", path), right.withColumn("path", path)
-    levels, bits = [nodes(right, plane.depth)], []
-    depth = plane.depth
+    return dist2(F.col("px"), F.col("py"), F.col("right_x"), F.col("right_y")).alias("d2")
+
+
+def _pruned(pairs: DataFrame, asker: Sequence[str], box: Column, k: int) -> DataFrame:
+    """Pairs of an asker with nodes (node, n, node_box) -> those that may hold one of its k nearest, with
+    `bound` and `met`, the number of the asker's nodes before the pruning."""
+    own = Window.partitionBy(*asker)
+    pairs = pairs.withColumns({"gap": rect_gap2(box, F.col("node_box")), "reach": rect_reach2(box, F.col("node_box"))})
+    pairs = pairs.withColumn("held", F.sum("n").over(own.orderBy("reach")))
+    bound = F.min(F.when(F.col("held") >= k, F.col("reach"))).over(own)
+    pairs = pairs.withColumn("bound", F.coalesce(bound, F.lit(float("inf")))).where(F.col("gap") <= F.col("bound"))
+    return pairs.drop("gap", "reach", "held")
+
+
+def _level(table: DataFrame, bits: int) -> DataFrame:
+    """A level's nodes (node, n, box) under their parents."""
+    return table.select(F.shiftright("node", bits).alias("up"), "node", "n", F.col("box").alias("node_box"))
+
+
+def _down(pairs: DataFrame, level: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return pairs.select(*keep, F.col("node").alias("up")).join(level, "up").drop("up")
+
+
+def candidates(left_cells: DataFrame, right_levels: list[DataFrame], bits: list[int], k: int, spread: int | None = None) -> list[DataFrame]:
+    """Left cells (node, box) and the right side's levels, root first; `bits`: of each step down. For each
+    level the pairs of left cells with the nodes (left_node, left_box, node, n, node_box, bound) that may hold one of
+    a cell's points' k nearest, of the cells that stop there: with more than `spread` nodes, or at the leaves
+    (the last level), where all do that are left. Without `spread` only the last level has pairs."""
+    asks = left_cells.select(F.col("node").alias("left_node"), F.col("box").alias("left_box"))
+    pairs = asks.crossJoin(F.broadcast(right_levels[0].select("node", "n", F.col("box").alias("node_box"))))  # the root is one row
+    stopped = []
+    for depth, level in enumerate(right_levels):
+        if depth:
+            pairs = _down(pairs, _level(level, bits[depth - 1]), ("left_node", "left_box"))
+        pairs = _pruned(pairs, ["left_node"], F.col("left_box"), k)
+        if spread is None or depth == len(right_levels) - 1:
+            stopped.append(pairs)
+            continue
+        pairs = save(pairs.withColumn("met", F.count("*").over(Window.partitionBy("left_node"))))
+        stopped.append(pairs.where(F.col("met") > spread).drop("met"))
+        pairs = pairs.where(F.col("met") <= spread).drop("met")
+    return stopped
+
+
+def leaf_size(n: int, points: DataFrame, k: int, per_leaf: int, grid_dim: float | None, max_bytes: int) -> int:
+    """Points a leaf: `per_leaf`, or what a grid cell of size `grid_dim` holds on average if that is given, at
+    most what `max_bytes` holds if that is positive; at least 1, and k where it is greater."""
+    if grid_dim is not None:
+        if not grid_dim > 0:
+            raise ValueError("grid_dim must be positive")
+        wide = points.agg((F.max("x") - F.min("x")).alias("x"), (F.max("y") - F.min("y")).alias("y")).first()
+        cells = max(1.0, (wide["x"] or 0.0) / grid_dim) * max(1.0, (wide["y"] or 0.0) / grid_dim)
+        per_leaf = int(min(max(n / cells, 8.0), 4096.0))
+    if max_bytes > 0:
+        per_leaf = min(per_leaf, max_bytes // POINT_BYTES)
+    return max(per_leaf, k, 1)
+
+
+def meetings(places: DataFrame, right: DataFrame, k: int, kind: str, n_places: int, n_right: int, per_leaf: int) -> DataFrame:
+    """px, py, bound and the right points (right_id, right_x, right_y) of the leaves that may hold one of the
+    place's k nearest: what the cell join compares."""
+    plane = layout(right, kind, n_right, per_leaf)
+    right = right.withColumn("path", plane.path(F.col("x"), F.col("y")))
+    levels, bits, depth = [save(nodes(right, plane.depth))], [], plane.depth
     while depth:
-        step = min(4, depth)
+        step = min(STEP, depth)
         levels.append(parents(levels[-1], step))
         bits.append(step)
         depth -= step
-    pairs = candidates(nodes(left, plane.depth), levels[::-1], bits[::-1], k)
-    reached = pairs.join(right.select(F.col("path").alias("node"), F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y")), "node")
-    met = left.select(F.col("path").alias("left_node"), F.col("id").alias("left_id"), F.col("x").alias("left_x"), F.col("y").alias("left_y")).join(reached, "left_node")
-    return met.select("left_id", "right_id", "right_x", "right_y", _d2(), "bound").where(F.col("d2") <= F.col("bound"))
+    levels, bits = levels[::-1], bits[::-1]
+    own = layout(places.toDF("x", "y"), "kdtree", n_places, LEFT_CELL)
+    asks = save(places.withColumn("left_node", own.path(F.col("px"), F.col("py"))))
+    cells = asks.groupBy(F.col("left_node").alias("node")).agg(rect(F.min("px"), F.min("py"), F.max("px"), F.max("py")).alias("box"))
+    found = None
+    for depth, stopped in enumerate(candidates(cells, levels, bits, k, SPREAD)):
+        if depth < len(levels) - 1 and stopped.isEmpty():
+            continue
+        point = rect(F.col("px"), F.col("py"), F.col("px"), F.col("py"))
+        pairs = _pruned(asks.join(stopped.drop("left_box", "bound"), "left_node").drop("left_node"), ["px", "py"], point, k)
+        for below in range(depth + 1, len(levels)):
+            pairs = _pruned(_down(pairs, _level(levels[below], bits[below - 1]), ("px", "py")), ["px", "py"], point, k)
+        pairs = pairs.select("px", "py", "node", "bound")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.join(right.select(F.col("path").alias("node"), F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y")), "node").drop("node")
 
 
 def knn_join(
@@ -90,37 +143,45 @@ def knn_join(
     """For every left row the k nearest right rows: all left columns and `neighbors`, an array of (distance,
     id, x, y) in order (output "nested"), or left_id, rank, right_id, distance ("exploded").
 
-    Left ids are unique. Left rows without finite coordinates, or when right has none, keep an empty
-    list; such right rows are left out. `index` chooses how cells are laid out, never the result;
-    `grid_dim` and `partition_max_bytes` are accepted as hints and Spark sizes partitions itself."""
+    Every left row has its own result, whether its id is null or repeats; right rows at one place, or with one
+    id, are separate neighbours, and a null right id comes first among equals. With `exclude_self` right rows
+    with the left row's id are left out. Left rows without finite coordinates, or when right has none, keep an
+    empty list; such right rows are left out. `index` chooses how cells are laid out, never the result; nor do
+    `grid_dim` and `partition_max_bytes`, from which the leaves' size follows (`leaf_size`). "brute" compares all
+    pairs and is refused beyond DIRECT_ROWS right rows."""
     if k < 1:
         raise ValueError("k must be at least 1")
     if index not in INDEXES:
         raise ValueError(f"index must be one of {INDEXES}")
-    l, r = as_points(left, left_on), as_points(right, right_on)
-    n_right = r.count()
-    wanted = k + 1 if exclude_self else k
-    few = n_right <= DIRECT_ROWS and (index == "brute" or n_right * l.count() <= direct_pairs)
-    if few:
-        a, b = _sides(l, r)
-        # a small left side may be one file; dealt by id, its pairs need no exchange before they are ranked
-        a = a.repartition("left_id")
-        pairs = a.crossJoin(F.broadcast(b)).select("left_id", "right_id", "right_x", "right_y", _d2())
-    elif index == "brute":
-        a, b = _sides(l, r)
-        pairs = a.crossJoin(b).select("left_id", "right_id", "right_x", "right_y", _d2())
+    r = as_points(right, right_on)
+    places = _places(as_points(left, left_on))
+    n_right, wanted = r.count(), k
+    if exclude_self:
+        most = r.where(F.col("id").isNotNull()).groupBy("id").count().agg(F.max("count")).first()[0]
+        wanted = k + (most or 0)
+    if index == "brute" and n_right > DIRECT_ROWS:
+        raise ValueError(f"brute force takes at most {DIRECT_ROWS} right rows")
+    n_places = places.count()
+    if n_right <= DIRECT_ROWS and (index == "brute" or n_right * n_places <= direct_pairs):
+        pairs = places.crossJoin(F.broadcast(_right(r))).withColumn("d2", _d2())
     else:
-        pairs = _cell_join(l, r, wanted, index, n_right, per_leaf)
+        size = leaf_size(n_right, r, wanted, per_leaf, grid_dim, partition_max_bytes)
+        pairs = meetings(places, r, wanted, index, n_places, n_right, size).withColumn("d2", _d2()).where(F.col("d2") <= F.col("bound"))
+    near = Window.partitionBy("px", "py").orderBy("d2", "right_id")
+    top = pairs.select("px", "py", "d2", "right_id", "right_x", "right_y").withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= wanted)
+    one = F.struct("rank", F.sqrt("d2").alias("distance"), F.col("right_id").alias("id"), F.col("right_x").alias("x"), F.col("right_y").alias("y"))
+    lists = top.groupBy("px", "py").agg(F.array_sort(F.collect_list(one)).alias("ranked"))  # `wanted` at most
+    lists = lists.select("px", "py", F.transform("ranked", lambda n: F.struct(n.distance.alias("distance"), n.id.alias("id"), n.x.alias("x"), n.y.alias("y"))).alias("list"))
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"), *[F.col(f"`{c}`").alias(a) for c, a in zip(left_on, ("left_id", "left_x", "left_y"), strict=True)])
+    same = (F.col("left_x").cast("double") == F.col("px")) & (F.col("left_y").cast("double") == F.col("py"))
+    found = F.coalesce("list", F.array().cast(lists.schema["list"].dataType))
     if exclude_self:
-        pairs = pairs.where(F.col("left_id") != F.col("right_id"))
-    top = _top(pairs, k)
+        found = F.slice(F.filter(found, lambda n: ~n.id.eqNullSafe(F.col("left_id")) | n.id.isNull()), 1, k)
+    rows = rows.join(lists, same, "left").withColumn("found", found)
     if output == "exploded":
-        return top.drop("right_x", "right_y")
-    one = F.struct("rank", "distance", F.col("right_id").alias("id"), F.col("right_x").alias("x"), F.col("right_y").alias("y"))
-    lists = top.groupBy("left_id").agg(F.array_sort(F.collect_list(one)).alias("ranked"))  # k at most
-    lists = lists.select("left_id", F.transform("ranked", lambda n: F.struct(n.distance.alias("distance"), n.id.alias("id"), n.x.alias("x"), n.y.alias("y"))).alias("neighbors"))
-    empty = F.array().cast(lists.schema["neighbors"].dataType)
-    return left.join(lists, left[left_on[0]] == lists["left_id"], "left").select(*[left[c] for c in left.columns], F.coalesce("neighbors", empty).alias("neighbors"))
+        rows = rows.select("left_id", F.posexplode("found").alias("at", "one"))
+        return rows.select("left_id", (F.col("at") + 1).alias("rank"), F.col("one.id").alias("right_id"), F.col("one.distance").alias("distance"))
+    return rows.select("row.*", F.col("found").alias("neighbors"))
 
 
 def all_knn_join(left: DataFrame, right: DataFrame, k: int, **options) -> DataFrame:
@@ -158,7 +219,7 @@ def range_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
     around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
     l = as_points(left).withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
-    l = l.select(F.col("id").alias("left_id"), F.col("x").alias("left_x"), F.col("y").alias("left_y"), (cell("x") + F.col("i")).alias("cx"), (cell("y") + F.col("j")).alias("cy"))
+    l = l.select(F.col("id").alias("left_id"), F.col("x").alias("px"), F.col("y").alias("py"), (cell("x") + F.col("i")).alias("cx"), (cell("y") + F.col("j")).alias("cy"))
     r = as_points(right).select(F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y"), cell("x").alias("cx"), cell("y").alias("cy"))
     d = l.join(r, ["cx", "cy"]).select("left_id", "right_id", F.sqrt(_d2()).alias("distance"))
     return d.where(F.col("distance") <= F.lit(float(radius)))

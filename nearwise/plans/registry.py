@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nearwise.functions import geometry as g
 from nearwise.functions import helpers as h
 from nearwise.operators import grid, index, join
+from nearwise.plans import tables
 from nearwise.sources import points as text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,7 @@ VIEWS = {
     "sup": ("supplier", "s_suppkey", "s_acctbal", "CAST(s_nationkey AS DOUBLE) * CAST(400 AS DOUBLE)"),
     "cus": ("customer", "c_custkey", "c_acctbal", "CAST(c_nationkey AS DOUBLE) * CAST(400 AS DOUBLE)"),
     "prt": ("part", "p_partkey", "CAST(p_size AS DOUBLE) * CAST(2 AS DOUBLE)", "p_retailprice"),
+    "rep": ("customer", "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey % 7 END", "CAST(c_nationkey % 5 AS DOUBLE) * CAST(1500 AS DOUBLE)", "CAST(c_nationkey AS DOUBLE) * CAST(300 AS DOUBLE)"),
     "nat": ("nation", "CAST(n_nationkey AS BIGINT)", "CAST(n_nationkey AS DOUBLE) * CAST(300 AS DOUBLE)", "CAST(n_regionkey AS DOUBLE) * CAST(2000 AS DOUBLE)"),
     "emb": ("embeddings", "vec_id", "CAST(embedding[{0}] AS DOUBLE)", "CAST(embedding[{1}] AS DOUBLE)"),
 }
@@ -72,6 +74,19 @@ _knn("knn_self_join", "prt", "prt", 4, direct_pairs=0)
 _knn("knn_self_join_others", "prt", "prt", 4, direct_pairs=0, exclude_self=True)
 
 
+@query(
+    "knn_join_repeats",
+    """SELECT coalesce(left_id, -1) AS left_id, rank, right_id, distance FROM (
+  SELECT left_id, right_id, sqrt(d2) AS distance, CAST(row_number() OVER (PARTITION BY i ORDER BY d2, right_id) AS INTEGER) AS rank
+  FROM (SELECT i, l.id AS left_id, r.id AS right_id, (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) AS d2 FROM (SELECT *, row_number() OVER () AS i FROM rep) l, sup r))
+WHERE rank <= 6""",
+)
+def _(s, d):
+    """Left ids repeat and are null, and so are places."""
+    found = join.knn_join(points(s, d, "rep"), points(s, d, "sup"), 6, output="exploded", direct_pairs=0)
+    return found.withColumn("left_id", F.coalesce("left_id", F.lit(-1)))
+
+
 @query("all_knn_join", f"SELECT * FROM ({knn_sql('sup', 'cus', 5, extra=chr(39) + 'left' + chr(39) + ' AS direction, ')} UNION ALL {knn_sql('cus', 'sup', 5, extra=chr(39) + 'right' + chr(39) + ' AS direction, ')})")
 def _(s, d):
     return join.all_knn_join(points(s, d, "sup"), points(s, d, "cus"), 5)
@@ -147,13 +162,18 @@ query("left_cells_distinct", f"SELECT DISTINCT cx, cy FROM {cells_sql('sup')}")(
 query("cells_ordered", f"SELECT cx, cy, n FROM {histogram_sql('sup')} ORDER BY cx, cy")(lambda s, d: _cells(s, d, "sup").select("cx", "cy", "n").orderBy("cx", "cy"))
 query("regrid", f"SELECT cx, cy, n FROM {histogram_sql('cus', 25)}")(lambda s, d: _cells(s, d, size=grid.regrid(100, 160, 10)).select("cx", "cy", "n"))
 
-_PARTS = f"""
-o AS (SELECT cx, cy, n, row_number() OVER (ORDER BY cx, cy) AS i FROM {histogram_sql('cus')}),
+def _parts_sql(size: float, least: int, most: int) -> str:
+    new = f"p.held >= {least} OR p.held + o.n > {most}"
+    return f"""
+o AS (SELECT cx, cy, n, row_number() OVER (ORDER BY cx, cy) AS i FROM {histogram_sql('cus', size)}),
 part_cells AS (
   SELECT i, cx, cy, n, CAST(0 AS BIGINT) AS part_id, CAST(n AS BIGINT) AS held FROM o WHERE i = 1
   UNION ALL
-  SELECT o.i, o.cx, o.cy, o.n, p.part_id + CASE WHEN p.held >= 60 OR p.held + o.n > 90 THEN 1 ELSE 0 END,
-         CASE WHEN p.held >= 60 OR p.held + o.n > 90 THEN o.n ELSE p.held + o.n END FROM part_cells p JOIN o ON o.i = p.i + 1)"""
+  SELECT o.i, o.cx, o.cy, o.n, p.part_id + CASE WHEN {new} THEN 1 ELSE 0 END, CASE WHEN {new} THEN o.n ELSE p.held + o.n END
+  FROM part_cells p JOIN o ON o.i = p.i + 1)"""
+
+
+_PARTS = _parts_sql(100, 60, 90)
 
 
 def _parts(s, d):
@@ -167,9 +187,17 @@ def _parts_query(name: str, sql: str, f: Query) -> None:
 
 
 _parts_query("partition_assign", "SELECT cx, cy, n, part_id FROM part_cells", _parts)
+
+
+def _part_mbrs(s, d):
+    return _parts(s, d).groupBy("part_id").agg(F.min("cx").alias("min_x"), F.min("cy").alias("min_y"), F.max("cx").alias("max_x"), F.max("cy").alias("max_y"), F.sum("n").alias("n"))
+
+
+_MBRS = "SELECT part_id, min(cx) AS min_x, min(cy) AS min_y, max(cx) AS max_x, max(cy) AS max_y, CAST(sum(n) AS BIGINT) AS n FROM part_cells GROUP BY part_id"
+_parts_query("partition_mbrs", _MBRS, _part_mbrs)
 _parts_query(
-    "partition_mbrs", "SELECT part_id, min(cx) AS min_x, min(cy) AS min_y, max(cx) AS max_x, max(cy) AS max_y, CAST(sum(n) AS BIGINT) AS n FROM part_cells GROUP BY part_id",
-    lambda s, d: _parts(s, d).groupBy("part_id").agg(F.min("cx").alias("min_x"), F.min("cy").alias("min_y"), F.max("cx").alias("max_x"), F.max("cy").alias("max_y"), F.sum("n").alias("n")),
+    "mbr_format", f"SELECT part_id, format('{{:,}}\t{{:,}}\t{{:,}}\t{{:,}}\t{{:,}}', min_x, min_y, max_x, max_y, part_id) AS text FROM ({_MBRS})",
+    lambda s, d: _part_mbrs(s, d).select("part_id", g.format_mbr(F.struct("min_x", "min_y", "max_x", "max_y"), F.col("part_id")).alias("text")),
 )
 _parts_query(
     "right_partition_assign", f"SELECT c.id, p.part_id FROM {cells_sql('cus')} c JOIN part_cells p USING (cx, cy)",
@@ -178,12 +206,6 @@ _parts_query(
 
 # -- candidates ---------------------------------------------------------------------------------------------
 
-
-def _boxes(s, d, view):
-    box = g.rect(F.min("x"), F.min("y"), F.max("x"), F.max("y")).alias("box")
-    return grid.with_cells(points(s, d, view), 1000).groupBy(F.struct("cx", "cy").alias("cell")).agg(F.count("*").alias("n"), box)
-
-
 _CANDIDATES = f"""
 lc AS (SELECT * FROM {histogram_sql('sup', 1000)}), rc AS (SELECT * FROM {histogram_sql('cus', 1000)}),
 p AS (
@@ -194,42 +216,47 @@ p AS (
          + greatest(lc.max_y - rc.min_y, rc.max_y - lc.min_y) * greatest(lc.max_y - rc.min_y, rc.max_y - lc.min_y) AS reach FROM lc, rc),
 q AS (SELECT *, sum(n) OVER (PARTITION BY left_cx, left_cy ORDER BY reach) AS held FROM p),
 b AS (SELECT *, min(CASE WHEN held >= 10 THEN reach END) OVER (PARTITION BY left_cx, left_cy) AS bound FROM q),
-cand AS (SELECT * FROM b WHERE gap <= coalesce(bound, 'inf'::DOUBLE))"""
+cand AS (SELECT left_cx, left_cy, cx, cy, n, gap, part_id FROM b JOIN part_cells USING (cx, cy, n) WHERE gap <= coalesce(bound, 'inf'::DOUBLE))"""
+
+
+def _coarse_parts(s, d):
+    return grid.assign_partitions(_cells(s, d, size=1000), 60, 90)
 
 
 def _candidates(s, d):
-    """Coarse cells against coarse cells: both sides have few, whatever the number of points."""
-    l, r = _boxes(s, d, "sup").select(F.col("cell").alias("left"), F.col("box").alias("left_box")), _boxes(s, d, "cus")
-    from pyspark.sql import Window
+    """left_cx, left_cy, cx, cy, n, gap, found from the root of the right side's levels down."""
+    found, steps = grid.levels(_cells(s, d, size=1000))
+    l = _cells(s, d, "sup", 1000).select(F.struct("cx", "cy").alias("node"), g.rect(*map(F.col, ("min_x", "min_y", "max_x", "max_y"))).alias("box"))
+    pairs = join.candidates(l, [t.select("node", "n", "box") for t in found], steps, 10)[-1]
+    pairs = pairs.join(found[-1].select("node", "cx", "cy"), "node")
+    return pairs.select(F.col("left_node.cx").alias("left_cx"), F.col("left_node.cy").alias("left_cy"), "cx", "cy", "n", g.rect_gap2(F.col("left_box"), F.col("node_box")).alias("gap"))
+
+
+def _candidate_parts(s, d):
+    return _candidates(s, d).join(_coarse_parts(s, d).select("cx", "cy", "part_id"), ["cx", "cy"])
 
-    p = l.crossJoin(r).withColumns({"gap": g.rect_gap2(F.col("left_box"), F.col("box")), "reach": g.rect_reach2(F.col("left_box"), F.col("box"))})
-    p = p.withColumn("held", F.sum("n").over(Window.partitionBy("left").orderBy("reach")))
-    p = p.withColumn("bound", F.min(F.when(F.col("held") >= 10, F.col("reach"))).over(Window.partitionBy("left")))
-    return p.where(F.col("gap") <= F.coalesce("bound", F.lit(float("inf"))))
+
+def _needed(s, d):
+    pairs = _candidate_parts(s, d).select("left_cx", "left_cy", "part_id").distinct()
+    return pairs.groupBy("part_id").agg(F.count("*").alias("left_cells"))
 
 
 def _candidate_query(name: str, sql: str, f: Query) -> None:
     QUERIES[name] = f
     views = with_views("sup cus").split("WITH ")[1].rsplit(" sup cus", 1)[0]
-    SQL[name] = f"WITH {views}, {_CANDIDATES.strip()} {sql}"
+    SQL[name] = f"WITH RECURSIVE {views}, {_parts_sql(1000, 60, 90).strip()}, {_CANDIDATES.strip()} {sql}"
 
 
+_candidate_query("candidate_cells", "SELECT left_cx, left_cy, cx, cy, n, gap FROM cand", _candidates)
 _candidate_query(
-    "candidate_cells", "SELECT left_cx, left_cy, cx, cy, n, gap FROM cand",
-    lambda s, d: _candidates(s, d).select(F.col("left.cx").alias("left_cx"), F.col("left.cy").alias("left_cy"), F.col("cell.cx").alias("cx"), F.col("cell.cy").alias("cy"), "n", "gap"),
-)
-_STRIPE = "CAST(floor(cx / 4.0) AS BIGINT)"
-_candidate_query(
-    "candidate_partitions", f"SELECT left_cx, left_cy, {_STRIPE} AS part_id, min(gap) AS gap FROM cand GROUP BY ALL",
-    lambda s, d: _candidates(s, d).groupBy(F.col("left.cx").alias("left_cx"), F.col("left.cy").alias("left_cy"), F.floor(F.col("cell.cx") / 4).alias("part_id")).agg(F.min("gap").alias("gap")),
+    "candidate_partitions", "SELECT left_cx, left_cy, part_id, min(gap) AS gap FROM cand GROUP BY ALL",
+    lambda s, d: _candidate_parts(s, d).groupBy("left_cx", "left_cy", "part_id").agg(F.min("gap").alias("gap")),
 )
+_candidate_query("needed_partitions", "SELECT part_id, count(*) AS left_cells FROM (SELECT DISTINCT left_cx, left_cy, part_id FROM cand) GROUP BY part_id", _needed)
 _candidate_query(
-    "needed_partitions", f"SELECT part_id, count(*) AS left_cells FROM (SELECT DISTINCT left_cx, left_cy, {_STRIPE} AS part_id FROM cand) GROUP BY part_id",
-    lambda s, d: _candidates(s, d).select("left", F.floor(F.col("cell.cx") / 4).alias("part_id")).distinct().groupBy("part_id").agg(F.count("*").alias("left_cells")),
-)
-_candidate_query(
-    "right_partition_pruned", f"SELECT id, part_id FROM (SELECT id, {_STRIPE} AS part_id FROM {cells_sql('cus', 1000)}) WHERE part_id IN (SELECT {_STRIPE} FROM cand)",
-    lambda s, d: grid.with_cells(points(s, d, "cus"), 1000).select("id", F.floor(F.col("cx") / 4).alias("part_id")).join(_candidates(s, d).select(F.floor(F.col("cell.cx") / 4).alias("part_id")).distinct(), "part_id", "left_semi").select("id", "part_id"),
+    "right_partition_pruned",
+    f"SELECT c.id, k.new AS part_id FROM {cells_sql('cus', 1000)} c JOIN part_cells p USING (cx, cy) JOIN (SELECT part_id, row_number() OVER (ORDER BY part_id) - 1 AS new FROM (SELECT DISTINCT part_id FROM cand)) k ON k.part_id = p.part_id",
+    lambda s, d: grid.renumbered(grid.with_cells(points(s, d, "cus"), 1000).join(_coarse_parts(s, d), ["cx", "cy"]).select("id", "part_id"), _needed(s, d)),
 )
 
 # -- geometry -----------------------------------------------------------------------------------------------
@@ -273,6 +300,7 @@ def _circles(s, d, test):
 
 query("circle_contains_rect", "SELECT id, nk, min_x > x - 6000 AND max_x < x + 6000 AND min_y > y - 6000 AND max_y < y + 6000 AS hit FROM sup, nb", _BY_NATION)(lambda s, d: _circles(s, d, g.circle_contains_rect))
 query("circle_intersects_rect", "SELECT id, nk, min_x <= x + 6000 AND max_x >= x - 6000 AND min_y <= y + 6000 AND max_y >= y - 6000 AS hit FROM sup, nb", _BY_NATION)(lambda s, d: _circles(s, d, g.circle_intersects_rect))
+query("circle_format", "SELECT id, format('{:,.8f},{:,.8f},{:,.8f}', x, y, 75.5::DOUBLE) AS text FROM sup")(lambda s, d: points(s, d, "sup").select("id", g.format_circle(F.col("x"), F.col("y"), F.lit(75.5)).alias("text")))
 query("quadrant", "SELECT id, CASE WHEN x <= 4500 THEN CASE WHEN y <= 4800 THEN 0 ELSE 1 END ELSE CASE WHEN y <= 4800 THEN 2 ELSE 3 END END AS quadrant FROM cus")(lambda s, d: points(s, d, "cus").select("id", g.quadrant(F.col("x"), F.col("y"), F.lit(4500.0), F.lit(4800.0)).alias("quadrant")))
 
 # -- index tables -------------------------------------------------------------------------------------------
@@ -304,6 +332,8 @@ query(
 query("kd_leaf_extents", f"SELECT node, {_EXT} FROM k3 GROUP BY node /* cus */", _kd_sql(3))(lambda s, d: index.kd_leaf_extents(points(s, d, "cus"), 3))
 query("axis_histogram", "SELECT CAST(floor((x - low) / 500.0::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM cus, (SELECT min(x) AS low FROM cus) GROUP BY 1")(lambda s, d: index.axis_histogram(points(s, d, "cus"), "x", 500))
 
+query("axis_bins_distinct", "SELECT count(DISTINCT floor((y - low) / 500.0::DOUBLE)) AS bins FROM cus, (SELECT min(y) AS low FROM cus)")(lambda s, d: grid.distinct_bins(points(s, d, "cus"), "y", 500))
+
 # -- planning, text and helpers -----------------------------------------------------------------------------
 
 
@@ -322,13 +352,18 @@ query("point_format", "SELECT id, printf('(%.10f,%.10f)', x, y) AS text FROM cus
 
 @query("read_points", "SELECT trunc(x) AS x, trunc(y) AS y, CAST(x AS VARCHAR) || ' ' || CAST(y AS VARCHAR) AS user_data FROM cus")
 def _(s, d):
-    lines = points(s, d, "cus").select(F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("value"))
-    return text.parse_points(lines)
+    """Through a file: written as text, read as points."""
+    at = tables.work_dir(s)
+    points(s, d, "cus").select(F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("value")).write.text(at)
+    return text.read_points(s, at)
 
 
 @query("format_results", f"SELECT CAST(left_id AS VARCHAR) || ';' || string_agg(printf('%.8f', distance) || ',' || right_id, ';' ORDER BY rank) AS value FROM ({knn_sql('sup', 'cus', 3)}) GROUP BY left_id")
 def _(s, d):
-    return text.format_results(join.knn_join(points(s, d, "sup"), points(s, d, "cus"), 3), F.col("id"))
+    """Through a file: written as gzip text, read as lines."""
+    at = tables.work_dir(s)
+    text.write_results(text.format_results(join.knn_join(points(s, d, "sup"), points(s, d, "cus"), 3), F.col("id")), at)
+    return s.read.text(at)
 
 
 def _helper(name: str, file: str, key: str, spark_column, sql: str) -> None:
@@ -339,7 +374,7 @@ _bal = lambda: F.col("c_acctbal")
 _helper("round", "customer", "c_custkey", lambda: grid.cell(_bal(), 1), cell_sql("c_acctbal", 1))
 _helper("ceil_str", "customer", "c_custkey", lambda: h.ceil_text(_bal().cast("decimal(12,2)").cast("string")), "CAST(floor(CAST(c_acctbal AS DECIMAL(12,2))) AS BIGINT) + CASE WHEN substr(split_part(CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR), '.', 2), 1, 1) = '0' THEN 0 ELSE 1 END")
 _helper("abs_diff", "part", "p_partkey", lambda: h.abs_diff(F.col("p_retailprice"), F.col("p_size").cast("double")), "abs(p_retailprice - CAST(p_size AS DOUBLE))")
-_helper("min_max", "part", "p_partkey", lambda: F.greatest(F.col("p_size"), F.lit(20)) - F.least(F.col("p_size"), F.lit(20)), "greatest(p_size, 20) - least(p_size, 20)")
+_helper("min_max", "part", "p_partkey", lambda: h.larger(F.col("p_size"), F.lit(20)) - h.smaller(F.col("p_size"), F.lit(20)), "greatest(p_size, 20) - least(p_size, 20)")
 _helper("log", "part", "p_partkey", lambda: F.round(h.log_base(F.col("p_retailprice"), F.lit(2.0)), 9), "round(ln(p_retailprice) / ln(2.0::DOUBLE), 9)")
 _helper("sorted_contains", "part", "p_partkey", lambda: h.in_sorted(F.array(*map(F.lit, (3, 7, 21, 40))), F.col("p_size")), "list_contains([3, 7, 21, 40], p_size)")
 _helper("bool_str", "orders", "o_orderkey", lambda: F.concat(h.truth_text(F.col("o_orderstatus") == "F"), h.truth_text(h.is_truth_text(F.col("o_orderpriority")))), "CASE WHEN o_orderstatus = 'F' THEN 'T' ELSE 'F' END || CASE WHEN upper(substr(o_orderpriority, 1, 1)) IN ('T', 'Y') THEN 'T' ELSE 'F' END")

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from nearwise.operators import join
 from nearwise.operators.join import all_knn_join, find_exact, knn_join, knn_point_query, range_join
 
 SCHEMA = "id long, x double, y double"
@@ -85,19 +86,74 @@ def test_exclude_self_and_both_directions(spark):
     assert {r["direction"]: r["count"] for r in both} == {"left": 30, "right": 40}
 
 
+@pytest.mark.parametrize("options", [{}, {"direct_pairs": -1, "per_leaf": 2}])
+def test_left_ids_that_repeat_or_are_null(spark, options):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (1, 100.0, 0.0), (1, 0.0, 0.0), (None, 3.0, 0.0), (None, None, 0.0)], SCHEMA)
+    right = [(7, 1.0, 0.0), (8, 99.0, 0.0), (9, 2.0, 0.0), (10, 101.0, 0.0)]
+    rows = knn_join(left, spark.createDataFrame(right, SCHEMA), 2, **options).collect()
+    got = sorted((r["id"] or 0, r["x"] if r["x"] is not None else -1.0, [(n["id"], n["distance"]) for n in r["neighbors"]]) for r in rows)
+    origin = (1, 0.0, [(7, 1.0), (9, 2.0)])
+    assert got == [(0, -1.0, []), (0, 3.0, [(9, 1.0), (7, 2.0)]), origin, origin, (1, 100.0, [(8, 1.0), (10, 1.0)])]
+    flat = knn_join(left, spark.createDataFrame(right, SCHEMA), 2, output="exploded", **options).collect()
+    assert len(flat) == 8 and sorted(r["rank"] for r in flat) == [1] * 4 + [2] * 4
+
+
+def test_exclude_self_with_right_ids_that_repeat(spark):
+    right = [(1, 0.0, 0.0), (1, 0.5, 0.0), (1, 0.6, 0.0), (2, 1.0, 0.0), (3, 2.0, 0.0), (None, 3.0, 0.0)]
+    left = [(1, 0.0, 0.0), (None, 3.0, 0.0)]
+    got = joined(spark, left, right, 3, exclude_self=True, direct_pairs=-1, per_leaf=1)
+    assert got == {1: [(2, 1.0), (3, 2.0), (None, 3.0)], None: [(None, 0.0), (3, 1.0), (2, 2.0)]}
+
+
+def test_columns_that_clash(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0, 5, 6, 7)], SCHEMA + ", px long, list long, left_id long")
+    row = knn_join(left, spark.createDataFrame([(4, 3.0, 4.0)], SCHEMA), 1).first()
+    assert row[:6] == (1, 0.0, 0.0, 5, 6, 7) and row["neighbors"][0]["distance"] == 5.0
+
+
+@pytest.mark.parametrize("place", ["apart", "nested", "skewed", "same"])
+def test_few_pairs_whatever_the_extents(spark, monkeypatch, place):
+    """Far fewer than all pairs meet, and the result is that of brute force."""
+    monkeypatch.setattr(join, "LEFT_CELL", 16)
+    right = cloud(11, 1500, 10.0, first=10_000)
+    left = {
+        "apart": [(i, x + 5000, y - 3000) for i, x, y in cloud(12, 300, 2000.0)],
+        "nested": cloud(13, 300, 1000.0),
+        "skewed": [(i, x**3, y) for i, x, y in cloud(14, 300, 10.0)],
+        "same": cloud(15, 300, 10.0),
+    }[place]
+    l, r = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    places = join._places(join.as_points(l))
+    met = join.meetings(places, join.as_points(r), 5, "kdtree", places.count(), 1500, 16).count()
+    assert met < 0.1 * len(left) * len(right), met
+    assert joined(spark, left, right, 5, direct_pairs=0, per_leaf=16) == brute(left, right, 5)
+
+
+def test_hints_size_the_leaves(spark):
+    df = join.as_points(spark.createDataFrame([(i, float(i % 100), float(i // 100)) for i in range(5000)], SCHEMA))
+    assert join.leaf_size(5000, df, 3, 32, None, 0) == 32
+    assert join.leaf_size(5000, df, 3, 32, 10.0, 0) == pytest.approx(5000 / (9.9 * 4.9), abs=1)
+    assert join.leaf_size(5000, df, 3, 32, 10.0, 480) == 20
+    with pytest.raises(ValueError):
+        join.leaf_size(5000, df, 3, 32, 0, 0)
+
+
 def test_plan_has_no_pairs_of_points(spark):
     df = spark.createDataFrame(cloud(6, 100), SCHEMA)
     plan = knn_join(df, df, 3, direct_pairs=0, per_leaf=4, output="exploded")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan.split("== Physical Plan ==")[1]
 
 
-def test_bad_arguments(spark):
+def test_bad_arguments(spark, monkeypatch):
     df = spark.createDataFrame(cloud(7, 3), SCHEMA)
     for options in ({"k": 0}, {"k": 1, "index": "none"}):
         with pytest.raises(ValueError):
             knn_join(df, df, **options)
     with pytest.raises(ValueError):
         range_join(df, df, 0)
+    monkeypatch.setattr(join, "DIRECT_ROWS", 2)
+    with pytest.raises(ValueError):
+        knn_join(df, df, 1, index="brute")
 
 
 def test_point_exact_and_range(spark):

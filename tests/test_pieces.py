@@ -62,3 +62,21 @@ def test_stream(spark, tmp_path):
     query = stream_knn(stream, rows, 2, lambda df, n: got.extend(df.collect()), output="exploded").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert len(got) == 12 and {r["right_id"] for r in got if r["left_id"] == 0} == {0, 1}
+
+
+def test_output_dirs_and_logs(caplog):
+    from nearwise.functions import helpers
+
+    assert helpers.random_output_dir("/a", lambda n: n - 1) == "/a/998" and helpers.random_output_dir("/a/").startswith("/a/")
+    with caplog.at_level("INFO"):
+        helpers.log_if(False, [], lambda: 1 / 0)
+        helpers.log_if(True, [], lambda: "found 3")
+    assert caplog.messages == ["found 3"]
+
+
+def test_partitions_are_numbered_anew(spark):
+    from nearwise.operators import grid
+
+    rows = spark.createDataFrame([(1, 4), (2, 9), (3, 4), (4, 2)], "id long, part_id long")
+    needed = spark.createDataFrame([(4,), (9,)], "part_id long")
+    assert sorted(map(tuple, grid.renumbered(rows, needed).select("id", "part_id").collect())) == [(1, 0), (2, 1), (3, 0)]
