@@ -93,31 +93,60 @@ def pages(spark):
     return spark.createDataFrame(rows, PAGES)
 
 
+def differing(rows):
+    return sorted((r["id"], r["status"], r["records"]) for r in rows if r["status"] != "intact")
+
+
 def test_audit_finds_what_differs(spark, pages):
     good = fixity.leaves(pages)
-    assert good.count() == pages.count()
+    assert good.agg(F.sum("copies")).first()[0] == pages.count()
     same = fixity.audit(good, fixity.leaves(pages.repartition(7)))
     assert same.count() == 0
-    html = F.when(F.col("page_id").isin(3, 1700), F.lit("changed")).otherwise(F.col("html"))
-    bad = fixity.leaves(pages.withColumn("html", html))
-    rows = fixity.audited(good, bad).collect()
-    assert len(rows) == pages.count()
-    assert {r["id"] for r in rows if r["status"] == "corrupt"} == {3, 1700}
-    # a record less: the last place of its archive is missing there
-    rows = fixity.audited(good, fixity.leaves(pages.where("page_id is null or page_id <> 2599"))).collect()
-    assert [r["id"] for r in rows if r["status"] != "intact"] == [2599]
-    more = fixity.audited(good, fixity.leaves(pages.union(spark.createDataFrame([(2600, "u", "h", 1, "x")], PAGES)))).collect()
-    assert [(r["id"], r["status"]) for r in more if r["status"] != "intact"] == [(2600, "extra")]
+    assert sum(r["records"] for r in fixity.audited(good, good).collect()) == pages.count()
+
+
+@pytest.mark.parametrize("many", [64, 1])
+def test_audit_in_the_middle_of_an_archive(spark, pages, many, monkeypatch):
+    """A changed, a lost and an added record are one row each, and the records after them are intact."""
+    monkeypatch.setattr(fixity, "MANY", many)
+    good = fixity.leaves(pages)
+    html = F.when(F.col("page_id").isin(3, 1700), F.lit("longer than it was before")).otherwise(F.col("html"))
+    assert differing(fixity.audited(good, fixity.leaves(pages.withColumn("html", html))).collect()) == [(3, "corrupt", 1), (1700, "corrupt", 1)]
+    assert differing(fixity.audited(good, fixity.leaves(pages.where("page_id is null or page_id <> 300"))).collect()) == [(300, "missing", 1)]
+    less = fixity.leaves(pages.where("page_id is null or page_id <> 1300"))
+    assert differing(fixity.audited(less, good).collect()) == [(1300, "extra", 1)]
+    more = pages.union(spark.createDataFrame([(-5, "u", "h", 1, "x"), (9_000_000, "u", "h", 1, "x"), (5, "again", "é", 1, "x"), (5, "new", "é", 1, "x")], PAGES))
+    assert differing(fixity.audited(good, fixity.leaves(more)).collect()) == [(-5, "extra", 1), (5, "extra", 1), (5, "extra", 1), (9_000_000, "extra", 1)]
+    fewer = fixity.leaves(more.where("not (page_id <=> 5 and url = 'again')"))
+    assert differing(fixity.audited(fixity.leaves(more), fewer).collect()) == [(5, "missing", 3)]
+    # of an id's records some are changed, one is lost
+    swapped = more.where("not (page_id <=> 5 and url = 'new')").withColumn("url", F.when(F.col("url") == "again", "other").otherwise(F.col("url")))
+    found = differing(fixity.audited(fixity.leaves(more), fixity.leaves(swapped)).collect())
+    assert {i for i, _, _ in found} == {5} and sum(n for _, s, n in found if s == "corrupt") == 3 and sum(n for _, s, n in found if s == "missing") == 1
+    rows = fixity.audited(good, fixity.leaves(pages.where("page_id is not null or url is not null"))).collect()
+    assert [(r["id"], r["archive"], r["status"]) for r in rows if r["status"] != "intact"] == [(None, None, "missing")]
 
 
 def test_audit_of_nothing(spark, pages):
     none = fixity.leaves(pages.limit(0))
     assert fixity.audited(none, none).count() == 0
-    assert {r["status"] for r in fixity.audited(fixity.leaves(pages.limit(9)), none).collect()} == {"missing"}
+    some = fixity.leaves(pages.limit(9))
+    assert {r["status"] for r in fixity.audited(some, none).collect()} == {"missing"}
+    assert {(r["status"], r["start"]) for r in fixity.audited(none, some).collect()} == {("extra", None)}
 
 
 def test_records_and_offsets(pages):
-    leaf = {r["idx"]: r for r in fixity.leaves(pages.where("page_id between 1000 and 1003")).collect()}
+    leaf = {r["id"]: r for r in fixity.offsets(fixity.leaves(pages.where("page_id between 1000 and 1003"))).collect()}
     record = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:1001>\r\nWARC-Target-URI: http://h/1001\r\nContent-Length: 11\r\n\r\n<p>7007</p>\r\n\r\n"
-    assert leaf[1]["hash"] == hashlib.sha256(record.encode()).hexdigest()
-    assert leaf[1]["start"] == leaf[0]["stop"] and leaf[1]["stop"] - leaf[1]["start"] == len(record)
+    assert leaf[1001]["hash"] == hashlib.sha256(record.encode()).hexdigest()
+    assert leaf[1000]["start"] == 0 and leaf[1001]["start"] == leaf[1000]["stop"] and leaf[1001]["stop"] - leaf[1001]["start"] == len(record)
+
+
+def test_nodes_hash_offsets_and_hashes(spark):
+    """One range of ids by hand."""
+    pages = spark.createDataFrame([(i, "u", "x" * i) for i in range(3)], "page_id long, url string, html string")
+    rows = fixity.offsets(fixity.leaves(pages)).orderBy("id").collect()
+    text = "".join(f"{r['start']}:{r['stop']}:{r['hash']}\n" for r in rows)
+    level = fixity.leaves(pages).withColumn("side", F.lit(0)).withColumn("prefix", F.lit(""))
+    node = fixity._fold(level, {"place": F.floor(F.col("place") / 16).cast("long")}).first()
+    assert node["hash"] == hashlib.sha256(text.encode()).hexdigest() and node["size"] == rows[-1]["stop"]
