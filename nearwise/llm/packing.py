@@ -9,9 +9,10 @@ sequence), a knapsack dynamic program prices new ones, and solving stops when no
 pattern, are filled greedily into patterns of their own. Pieces are ranked within their class by task and
 order (counts of each task, summed up; no global sort), and a rank falls into one range of one pattern.
 
-Defined cases: a null text is an empty one, a single end id; rows are packed one by one, so repeated
-rows are packed repeatedly, and a null id stays null; an empty table gives no rows; other columns are
-ignored. A special token's string in a text is that token, as the vocabulary's own library has it.
+Defined cases: a null text is an empty one, a single end id; bytes that are no UTF-8 are read as U+FFFD; rows
+are packed one by one, so repeated rows are packed repeatedly, and a null id stays null; ids are whole
+numbers (of another type they are cast, and text that is none raises an error); an empty table gives no
+rows; other columns are ignored. A special token's string in a text is that token, as the vocabulary's own library has it.
 """
 
 from __future__ import annotations
@@ -55,7 +56,10 @@ def _coder(vocabulary: str):
     def ids(text: str) -> list[int]:
         if _SETTLED.search(text):
             return slow.encode(text, add_special_tokens=False).ids
-        return fast.encode(text, allowed_special="all")
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:  # its pattern gives up on a long run of blanks
+            return slow.encode(text, add_special_tokens=False).ids
 
     return ids
 
@@ -72,7 +76,7 @@ def _cut(vocabulary: str, length: int, unit: int, end: int, with_ids: bool):
         for batch in batches:
             columns = [[] for _ in range(8 + with_ids)]
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*ids_of(text or ""), end], "<u4")
+                ids = np.array([*ids_of((text or b"").decode(errors="replace")), end], "<u4")
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length]
                     size_class = -(-len(piece) // unit)
@@ -176,7 +180,7 @@ def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", vocabulary: str |
     spark = docs.sparkSession
     schema = _SCHEMA + ", ids array<int>" * with_ids
     cut = _cut(vocabulary or default_vocabulary(), length, unit, end, with_ids)
-    pieces = save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(cut, schema))
+    pieces = save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary")).mapInArrow(cut, schema))
     each = save(pieces.groupBy("task", "size_class").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in each.groupBy("size_class").agg(F.sum("n")).collect()}  # length / unit rows at most
     earlier = F.sum("n").over(Window.partitionBy("size_class").orderBy("task")) - F.col("n")

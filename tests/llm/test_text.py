@@ -183,6 +183,19 @@ def test_packing(odd, odd_rows, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_long_runs_and_bad_bytes(spark):
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(packing.default_vocabulary())
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bad = df.limit(0).union(spark.sql("SELECT 9L, CAST(X'61FF62' AS STRING)"))
+    got = packing.pack(df.union(bad), with_ids=True).collect()
+    for i, text in [*enumerate(texts), (9, "a\ufffdb")]:
+        mine = sorted((r["start"], r["ids"]) for r in got if r["id"] == i)
+        assert [x for _, ids in mine for x in ids] == [*tokens.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_fast_ids_are_the_library_s():
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
