@@ -1,15 +1,16 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A document classifier (logistic regression on measures of the whole text, fitted on at most `max_train`
-labelled rows, those with the least hash) gives each document a log-likelihood ratio. Its host and its
-path (the host and a second column) have good-document rates of their own. Grouped aggregation gives
-each path the number and the sum of its documents' probabilities; the spread of rates over hosts, and of
-paths within hosts, gives the strength of the priors by the method of moments. A host's rate is shrunk
-towards the global rate and a path's towards its host's, so a sparse site hardly moves its documents. A
-document's posterior is its likelihood ratio on the prior odds of its path, from which its own share is
-taken out. It is kept if the posterior reaches `keep_at`.
-
-Defined cases: a null text is an empty one; null host or path values are values of their own; labels that
+labelled rows, those with the least hash) gives each document a log-likelihood ratio. Its sites, one within
+the other, have good-document rates of their own: host and path, which are two columns, or the host and each
+directory of a url down to `depth` levels (a document in a higher directory is in a site of its own below
+that). Grouped aggregation gives each site the number and the sum of its documents' probabilities; the spread
+of rates over the sites of a level within those above gives the strength of the level's prior by the method of
+moments. A host's rate is shrunk towards the global rate and each site's towards that of the one above, so a
+sparse site hardly moves its documents. A document's posterior is its likelihood ratio on the prior odds of its
+last site, from all levels of which its own share is taken out. It is kept if the posterior reaches `keep_at`.
+
+Defined cases: a null text is an empty one; null host, path or url values are values of their own; labels that
 are null do not count, of several for an id the least holds; without labels of both kinds the classifier
 is constant and the rates alone decide; an empty table gives no rows; other columns are passed on.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import attach, save
 from .logistic import Logistic, fit, sigmoid
 
-MAX_TRAIN, KEEP_AT = 20_000, 0.5
+MAX_TRAIN, KEEP_AT, DEPTH = 20_000, 0.5, 4
 _UPPER, _LOWER, _DIGIT, _BLANK = (np.isin(np.arange(256), list(s)) for s in (range(65, 91), range(97, 123), range(48, 58), (32, 9, 10, 11, 12, 13)))
 _PLAIN = np.isin(np.arange(256), list(b".,;:'\"-()?")) | _UPPER | _LOWER | _DIGIT | _BLANK | (np.arange(256) >= 128)
 MEASURES = ["log_words", "upper", "symbols", "marked_words", "digits", "distinct_words", "top_word", "stutter", "word_length", "sentences", "repeated_lines"]
@@ -89,47 +90,83 @@ def _strength(between: float, within: float, mean: float) -> float:
     return float(np.clip(mean * (1 - mean) / variance - 1, 1.0, 1e4))
 
 
-def posteriors(scored: DataFrame, share: float) -> DataFrame:
-    """Rows with columns host, path, logit -> with host_rate, path_rate and posterior as well."""
+def nested(*columns: str) -> Column:
+    """An array of sites, each within the one before, of columns from the widest to the narrowest."""
+    names = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]
+    return F.array(*[F.concat_ws("\0", *names[: n + 1]) for n in range(len(names))])
+
+
+def url_sites(url: Column, depth: int) -> Column:
+    """The host and the directories of a url, as `depth` sites one within the other."""
+    plain = F.regexp_replace(F.coalesce(F.concat(F.lit("="), url), F.lit("null")), r"^=[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
+    parts = F.split(plain, "/", -1)
+    steps = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")  # the last part is the document
+    site = lambda n: F.concat_ws("/", F.lower(F.get(parts, 0)), F.slice(steps, 1, n), F.when(F.size(steps) < n, F.lit("")))
+    return F.array(*[site(n) for n in range(depth)])
+
+
+def posteriors(scored: DataFrame, share: float, levels: int) -> DataFrame:
+    """Rows with columns sites (an array of `levels` names) and logit -> with host_rate, path_rate and posterior
+    as well: of the first and the last site, and the document's."""
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))
     scored = save(scored.withColumn("p", p))
-    paths = save(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
-    hosts = save(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s")))
-    total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s"), F.count("*").alias("groups")).first()
+    last = save(scored.groupBy("sites").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
+    total = last.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     n, mean = total["n"] or 1, float(np.clip((total["s"] or 0.0) / (total["n"] or 1), 1e-3, 1 - 1e-3))
-    rate = F.col("host_s") / F.col("host_n")
-    spread = hosts.agg(F.sum(F.col("host_n") * (rate - mean) * (rate - mean)).alias("v")).first()["v"] or 0.0
-    host_strength = _strength(spread / n, mean * (1 - mean) * (total["groups"] or 0) / n, mean)
-    hosts = hosts.withColumn("host_rate", (F.lit(host_strength * mean) + F.col("host_s")) / (F.lit(host_strength) + F.col("host_n")))
-    both = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    own = F.col("s") / F.col("n") - F.col("host_rate")
-    moved = both.agg(F.sum(F.col("n") * own * own).alias("v"), F.count("*").alias("groups")).first()
-    path_strength = _strength((moved["v"] or 0.0) / n, mean * (1 - mean) * moved["groups"] / n, mean)
-    both = save(both.select(F.struct("host", "path").alias("site"), "n", "s", "host_rate"))
-    rows = attach(scored.withColumn("site", F.struct("host", "path")), both, ["site"])
-    prior = (F.lit(path_strength) * F.col("host_rate") + F.col("s") - F.col("p")) / (F.lit(path_strength) + F.col("n") - 1)
+    site, strengths, above = last.select("sites"), [], None
+    for level in range(levels):
+        name = F.get("sites", level).alias("site")
+        up = F.get("sites", level - 1).alias("up") if level else F.lit("").alias("up")
+        rates = last.groupBy(name, up).agg(F.sum("n").alias(f"n{level}"), F.sum("s").alias(f"s{level}"))
+        rates = rates.join(above, "up") if level else rates.withColumn("above", F.lit(mean))
+        own = F.col(f"s{level}") / F.col(f"n{level}") - F.col("above")
+        moved = rates.agg(F.sum(F.col(f"n{level}") * own * own).alias("v"), F.count("*").alias("groups")).first()
+        strength = _strength((moved["v"] or 0.0) / n, mean * (1 - mean) * moved["groups"] / n, mean)
+        strengths.append(strength)
+        rate = (F.lit(strength) * F.col("above") + F.col(f"s{level}")) / (F.lit(strength) + F.col(f"n{level}"))
+        rates = save(rates.select("site", f"n{level}", f"s{level}", rate.alias(f"rate{level}")))
+        above = rates.select(F.col("site").alias("up"), F.col(f"rate{level}").alias("above"))
+        site = site.withColumn("site", F.get("sites", level)).join(rates, "site").drop("site")
+    rows = attach(scored, save(site), ["sites"])
+    prior = F.lit(mean)
+    for level, strength in enumerate(strengths):
+        prior = (F.lit(strength) * prior + F.col(f"s{level}") - F.col("p")) / (F.lit(strength) + F.col(f"n{level}") - 1)
     prior = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), prior))
     odds = F.col("logit") - float(np.log(share / (1 - share))) + F.log(prior / (1 - prior))
-    path_rate = (F.lit(path_strength) * F.col("host_rate") + F.col("s")) / (F.lit(path_strength) + F.col("n"))
-    return rows.withColumn("path_rate", path_rate).withColumn("posterior", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).drop("site", "n", "s", "p")
+    rows = rows.withColumns({"host_rate": F.col("rate0"), "path_rate": F.col(f"rate{levels - 1}"), "posterior": F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))})
+    return rows.select(*[c for c in scored.columns if c != "p"], "host_rate", "path_rate", "posterior")
+
+
+def _sites(host_col: str, path_col: str, url_col: str | None, depth: int) -> tuple[Column, int]:
+    return (url_sites(F.col(url_col), depth), depth) if url_col else (nested(host_col, path_col), 2)
+
+
+def _keys(id_col: str, text_col: str, sites: Column) -> list[Column]:
+    """128 bits of hash of what a row is judged by, and its id."""
+    return [F.xxhash64(id_col, text_col, sites).alias("key"), F.xxhash64(F.lit("more"), sites, text_col, id_col).alias("more")]
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", host_col="source", path_col="lang", label_col="quality", max_train: int = MAX_TRAIN) -> DataFrame:
-    """id, key (hash of id and text), host, path, logit, host_rate, path_rate, posterior for every row."""
+def classify(
+    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", host_col="source", path_col="lang", url_col: str | None = None, depth: int = DEPTH, label_col="quality", max_train: int = MAX_TRAIN
+) -> DataFrame:
+    """id, key and more (hashes of what the row is judged by), sites, logit, host_rate, path_rate, posterior for
+    every row. With `url_col` sites come from that column, else from host and path."""
     model, share = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_train=max_train)
-    text = F.col(text_col)
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    scored = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), name(host_col).alias("host"), name(path_col).alias("path"), _evidence(text, model).alias("logit"))
-    return posteriors(scored, share)
+    sites, levels = _sites(host_col, path_col, url_col, depth)
+    scored = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col, sites), sites.alias("sites"), _evidence(F.col(text_col), model).alias("logit"))
+    return posteriors(scored, share, levels)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", keep_at: float = KEEP_AT, **options) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", host_col="source", path_col="lang", url_col: str | None = None, depth: int = DEPTH, keep_at: float = KEEP_AT, **options
+) -> DataFrame:
     """The rows whose posterior reaches `keep_at`, with their columns as they are. The keys of the rejected
     rows, the smaller part, are what the rows are held against."""
-    rejected = save(classify(docs, labels, id_col=id_col, text_col=text_col, **options).where(F.col("posterior") < keep_at).select("key").distinct())
+    found = classify(docs, labels, id_col=id_col, text_col=text_col, host_col=host_col, path_col=path_col, url_col=url_col, depth=depth, **options)
+    rejected = save(found.where(F.col("posterior") < keep_at).select("key", "more").distinct())
     one = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), one)
-    return attach(rows, rejected, ["key"], "left_anti", 1_000_000).select("row.*")
+    rows = docs.select(*_keys(id_col, text_col, _sites(host_col, path_col, url_col, depth)[0]), one)
+    return attach(rows, rejected, ["key", "more"], "left_anti", 1_000_000).select("row.*")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

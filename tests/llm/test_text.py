@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from nearwise.llm import minhash, packing, quality, simhash, substrings, toxicity
 from tests.llm.conftest import SCHEMA, rows_of, words
@@ -249,13 +250,60 @@ def test_quality(labelled, odd, odd_rows, none):
     assert quality.classify(odd, labels.limit(0)).where("posterior is null").count() == 0
 
 
-def test_shrinking(spark):
-    """A host of one bad document hardly moves; a large bad host does."""
-    rows = [("h0", "p", 2.0)] * 400 + [("h1", "p", -2.0)] * 400 + [("h2", "p", -2.0)] + [(f"g{i}", "p", 2.0) for i in range(50)]
-    got = {r["host"]: r for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, logit double"), 0.5).collect()}
-    assert got["h1"]["host_rate"] < 0.2 < 0.8 < got["h0"]["host_rate"]
-    assert got["h1"]["host_rate"] < got["h2"]["host_rate"] < got["h0"]["host_rate"]
-    assert got["h1"]["posterior"] < got["h2"]["posterior"]
+def plain_posteriors(rows, share):
+    """[(sites, logit)] -> [(host_rate, path_rate, posterior)], by sums over all rows for each row."""
+    p = [1 / (1 + np.exp(-z)) for _, z in rows]
+    n, levels = len(rows), len(rows[0][0])
+    mean = min(max(sum(p) / n, 1e-3), 1 - 1e-3)
+    counts = [Counter(sites[level] for sites, _ in rows) for level in range(levels)]
+    sums = [{site: sum(x for x, (sites, _) in zip(p, rows, strict=True) if sites[level] == site) for site in c} for level, c in enumerate(counts)]
+    rates, strengths = [], []
+    for level in range(levels):
+        ups = {sites[level]: rates[level - 1][sites[level - 1]] if level else mean for sites, _ in rows}
+        spread = sum(counts[level][x] * (sums[level][x] / counts[level][x] - ups[x]) ** 2 for x in ups) / n
+        variance = max(spread - mean * (1 - mean) * len(ups) / n, 1e-9)
+        k = min(max(mean * (1 - mean) / variance - 1, 1.0), 1e4)
+        strengths.append(k)
+        rates.append({x: (k * ups[x] + sums[level][x]) / (k + counts[level][x]) for x in ups})
+    out = []
+    for own, (sites, z) in zip(p, rows, strict=True):
+        prior = mean
+        for level, k in enumerate(strengths):
+            prior = (k * prior + sums[level][sites[level]] - own) / (k + counts[level][sites[level]] - 1)
+        prior = min(max(prior, 1e-6), 1 - 1e-6)
+        odds = z - np.log(share / (1 - share)) + np.log(prior / (1 - prior))
+        out.append((rates[0][sites[0]], rates[-1][sites[-1]], 1 / (1 + np.exp(-odds))))
+    return out
+
+
+@pytest.mark.parametrize("levels", [2, 3])
+def test_posteriors(spark, levels):
+    rng = random.Random(levels)
+    rows = [(["alone"] * levels, 1.0)]
+    for h in range(40):
+        good = rng.choice([-2.0, 2.0])
+        for _ in range(rng.choice([1, 2, 30])):
+            parts = [f"h{h}", rng.choice("ab"), rng.choice("xyz")][:levels]
+            rows.append((["/".join(parts[: n + 1]) for n in range(levels)], rng.gauss(good, 2)))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, sites array<string>, logit double").repartition(3)
+    got = sorted((r["id"], r["host_rate"], r["path_rate"], r["posterior"]) for r in quality.posteriors(df, 0.4, levels).collect())
+    assert len(got) == len(rows)
+    for (_, *found), want in zip(got, plain_posteriors(rows, 0.4), strict=True):
+        assert np.allclose(found, want, rtol=0, atol=1e-9)
+
+
+def test_own_share_is_no_evidence(spark):
+    """A document alone in its host, among as many good hosts as bad ones, has the global prior."""
+    rows = [(["alone", "alone/a"], 1.0)] + [([f"h{h}", f"h{h}/a"], 6.0 if h % 2 else -6.0) for h in range(40) for _ in range(20)]
+    alone = [r for r in quality.posteriors(spark.createDataFrame(rows, "sites array<string>, logit double"), 0.5, 2).collect() if r["sites"][0] == "alone"]
+    assert abs(alone[0]["posterior"] - 1 / (1 + np.exp(-1))) < 0.005
+
+
+def test_sites_of_urls(spark):
+    urls = ["https://A.org/x/Y/doc.html?q=/1", "https://a.org/x/", "http://b.net", None, "", "c.org/one#/two"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(quality.url_sites(F.col("u"), 3)).collect()]
+    assert got[0] == ["a.org", "a.org/x", "a.org/x/Y"] and got[1] == ["a.org", "a.org/x", "a.org/x/"] and got[2] == ["b.net", "b.net/", "b.net/"]
+    assert len({g[0] for g in got}) == 5 and all(len(g) == 3 and None not in g for g in got)
 
 
 def test_toxicity(labelled, odd, odd_rows, none):
