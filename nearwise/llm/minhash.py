@@ -9,17 +9,18 @@ Likeness of two fingerprints: the share m of equal codes, freed of chance matche
 
 Defined cases: fewer words than a shingle form one shingle; a null text counts as empty; a text without
 words has the fingerprint of zeros (no other text's codes are all zero but by a chance of 2^-2048), whose
-likeness is 1 to another such text and 0 to any other.
+likeness is 1 to another such text and 0 to any other; bytes that are no UTF-8 are read as U+FFFD; ids may be of
+any type that has an order.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-BINS, BITS, SHINGLE = 256, 8, 5
+BINS, BITS, SHINGLE, RANGE_SAMPLE = 256, 8, 5, 100
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -97,22 +98,24 @@ def pack(codes: np.ndarray, bits: int = BITS) -> str:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every row in a range of ids (column `range`, rows sorted by id and text hash), and the row after
+    """Every row in a range of places (column `range`, rows sorted by place: id and text hash), and the row after
     each range's last also there, marked `after`: so a task finds each row's successor in its own rows.
-    The texts are shuffled once. The ranges come from the ids alone; there are as many as partitions."""
+    The texts are shuffled once, each range to a task of its own. Ranges are cut at the quantiles of a
+    sample of places, about RANGE_SAMPLE a range, so neither null ids nor an id that repeats are one range."""
     spark = docs.sparkSession
     n = partitions(spark)
     id_ = F.col(id_col)
     order = F.struct(id_.isNotNull().alias("some"), id_.alias("id"), F.xxhash64(text_col).alias("hash"))
-    cuts = docs.select(F.percentile_approx(id_, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+    placed = docs.select(order.alias("place"), text_col)
+    share = min(1.0, n * RANGE_SAMPLE / max(1, docs.count()))
+    sample = sorted(placed.select("place.*").sample(share, seed=11).limit(2 * n * RANGE_SAMPLE).collect(), key=_order)
+    cuts = sorted({_order(sample[len(sample) * i // n]) for i in range(1, n)}) if sample else []
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        # a null id is in the first range
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(cuts, ids.fillna(0).astype("int64"), "right")), dtype="int32")
+    @F.arrow_udf("int")
+    def range_of(places: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(cuts, _order(p.values())) for p in places.to_pylist()], pa.int32())
 
-    ranged = docs.select(range_of(id_).alias("range"), order.alias("place"), text_col)
+    ranged = placed.select(range_of("place").alias("range"), "place", text_col)
     firsts = ranged.groupBy("range").agg(F.min("place").alias("place")).collect()  # one row a range
     firsts.sort(key=lambda r: r["range"])
     known = [(r["range"], r["place"], firsts[i - 1]["range"]) for i, r in enumerate(firsts)]
@@ -121,10 +124,16 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     more = F.struct(F.col("before").alias("range"), F.lit(True).alias("after"))
     homes = F.when(F.col("place").eqNullSafe(F.col("first")), F.array(own, more)).otherwise(F.array(own))
     rows = ranged.join(F.broadcast(known), "range").select(F.explode(homes).alias("home"), "place", text_col)
-    return rows.select("home.*", "place", text_col).repartition(n, "range").sortWithinPartitions("range", "after", "place")
+    return rows.select("home.*", "place", text_col).repartitionById(n, F.col("range")).sortWithinPartitions("range", "after", "place")
 
 
-SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _order(place) -> tuple:
+    """A place in Spark's order: rows without id first."""
+    some, id_, text_hash = place
+    return some, 0 if id_ is None else id_, text_hash is not None, text_hash or 0
+
+
+SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def edited(text: str, after: str) -> str:
@@ -140,14 +149,14 @@ def _prints(bins: int, bits: int, size: int):
         return id_, len(text), hashlib.sha256(changed).hexdigest(), pack(codes, bits), pack(new, bits), likeness(codes, new, bits), likeness(codes, after[2], bits)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+        rest = pa.schema([("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
         held = None  # the row whose successor is still to come
         for batch in batches:
-            out = []
+            out, schema = [], pa.schema([batch.schema.field(2).with_name("id"), *rest])
             for at, after, id_, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if after and held is None:
                     continue  # another row with the same place
-                text = text or ""
+                text = (text or b"").decode(errors="replace")
                 doc = id_, text, fingerprint(text.encode(), bins, bits, size)
                 if held is not None:
                     out.append(row(held, doc))
@@ -163,8 +172,8 @@ def print_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", bins:
     row's start), and the likenesses of the fingerprint to the edited text's and to the next row's.
     Rows are in the order of their ids, null first, rows of one id by the hash of their texts; the first
     comes after the last."""
-    rows = with_next(docs, id_col, text_col).select("range", "after", F.col("place.id").cast("long").alias("id"), text_col)
-    return rows.mapInArrow(_prints(bins, bits, size), SCHEMA)
+    rows = with_next(docs, id_col, text_col).select("range", "after", F.col("place.id").alias("id"), F.col(text_col).cast("binary"))
+    return rows.mapInArrow(_prints(bins, bits, size), f"id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -143,6 +143,47 @@ def test_fingerprints(odd, odd_rows, none):
     assert minhash.print_documents(none).count() == 0
 
 
+def plain_codes(text, bins=256, bits=8):
+    """A fingerprint from the definition: hash once, bin by the high bits, draw for empty bins, mix, cut."""
+    hashes = [int(h) for h in minhash.shingle_hashes((text or "").encode())]
+    if not hashes:
+        return [0] * bins
+    least = {}
+    for h in hashes:
+        least[h >> 56] = min(h, least.get(h >> 56, h))
+    drawn = minhash.draws(bins, 20_000)
+    values = [least[b] if b in least else least[next(int(d) for d in drawn[:, b] if int(d) in least)] for b in range(bins)]
+    return [int(minhash.mix(np.array([(v + b * int(minhash._ODD[2])) % 2**64], np.uint64))[0]) & (1 << bits) - 1 for b, v in enumerate(values)]
+
+
+def plain_likeness(a, b):
+    if not any(a) or not any(b):
+        return float(not any(a) and not any(b))
+    m = sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    return min(1.0, max(0.0, (m - 2**-8) / (1 - 2**-8)))
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_all_columns_of_fingerprints(spark, odd_rows, ids):
+    """Nulls, repeated ids and the wrap from the last row to the first, by definition."""
+    texts = [t for _, t, *_ in odd_rows if len(t or "") < 3000]
+    rows = [(None if n % 9 == 4 else n // 2, t) for n, t in enumerate(texts)]
+    if ids == "string":
+        rows = [(None if i is None else f"d{i:03}", t) for i, t in rows]
+    df = spark.createDataFrame(rows, f"doc_id {ids}, text string").repartition(3)
+    hashed = {r[0]: r[1] for r in df.select("text", F.xxhash64("text")).collect()}
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or ("" if ids == "string" else 0), hashed[r[1]]))
+    want = []
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, after = text or "", after or ""
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        a, b, c = plain_codes(text), plain_codes(new), plain_codes(after)
+        want.append((i, len(text), hashlib.sha256(new.encode()).hexdigest(), bytes(a).hex(), bytes(b).hex(), plain_likeness(a, b), plain_likeness(a, c)))
+    got = [tuple(r) for r in minhash.print_documents(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_likeness_has_no_bias():
     rng, off = random.Random(2), []
     for n in (6, 30, 200, 1500):
