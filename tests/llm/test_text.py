@@ -347,6 +347,80 @@ def test_sites_of_urls(spark):
     assert len({g[0] for g in got}) == 5 and all(len(g) == 3 and None not in g for g in got)
 
 
+def plain_evidence(rows):
+    """[(different words, toxic)] -> what is known (a beginning, or a word and True) -> its evidence, from counts in
+    dictionaries and the formulas of interpolated Kneser-Ney."""
+    counts = {}
+    for text, toxic in rows:
+        for w in set(text):
+            for node in [(w[:k], False) for k in range(1, min(len(w), 8) + 1)] + [(w, True)]:
+                counts.setdefault(node, [0, 0])[toxic] += 1
+    up = lambda node: (node[0][:8], False) if node[1] else (node[0][:-1], False)
+    below, types = {}, Counter()
+    for node in counts:
+        below.setdefault(up(node), []).append(node)
+        types["rest" if node[1] and len(node[0]) > 8 else "end" if node[1] else node[0][-1]] += 1
+    low = lambda node: 1 / (types["rest"] + 1) if node[1] and len(node[0]) > 8 else types["end" if node[1] else node[0][-1]] / (types.total() - types["rest"])
+    so_far, out, todo = {(b"", False): 0.0}, {}, [(b"", False)]
+    while todo:
+        at = todo.pop()
+        next_ = below.get(at, [])
+        total = [sum(counts[n][c] for n in next_) for c in (0, 1)]
+        rest = [max(1e-6, 1 - sum(max(counts[n][c] - 3.0, 0) for n in next_) / total[c]) if total[c] else 1.0 for c in (0, 1)]
+        shared_rest = 1 - sum(max(sum(counts[n]) - 0.75, 0) for n in next_) / sum(total) if sum(total) else 1.0
+        out[at] = so_far[at] + np.log(rest[1] / rest[0])
+        for n in next_:
+            shared = max(sum(counts[n]) - 0.75, 0) / sum(total) + shared_rest * low(n)
+            own = [(max(counts[n][c] - 3.0, 0) / total[c] if total[c] else 0.0) + rest[c] * shared for c in (0, 1)]
+            so_far[n] = so_far[at] + np.log(own[1] / own[0])
+            if n[1]:
+                out[n] = so_far[n]
+            else:
+                todo.append(n)
+    return out
+
+
+def plain_measures(known, words, least):
+    def of(w):
+        if (w, True) in known:
+            return known[(w, True)]
+        return next(known[(w[:k], False)] for k in range(min(len(w), 8), -1, -1) if (w[:k], False) in known)
+
+    found = [(e, n) for w, n in Counter(words).items() if abs(e := of(w)) >= least]
+    top = sorted((max(e, 0.0) for e, _ in found), reverse=True)[:3]
+    return [max(top, default=0.0), sum(top) / 3, sum(e * n for e, n in found) / max(1, len(words)), sum(e for e, _ in found) / max(1, len(set(words)))]
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_kneser_ney_by_definition(spark, least):
+    """Evidence and measures, against sums over dictionaries; all documents are labelled and none is held out."""
+    rng = random.Random(7)
+    stems = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 9))) for _ in range(12)]
+    texts = []
+    for i in range(120):
+        toxic = i % 3 == 0
+        picked = [rng.choice(stems[:9] if not toxic or rng.random() < 0.7 else stems[6:]) + rng.choice(["", "x", "yz", "longending"]) for _ in range(rng.randrange(0, 30))]
+        texts.append((i, " ".join(picked).upper() if i % 5 == 0 else " ".join(picked), int(toxic)))
+    df = spark.createDataFrame(texts, "id long, text string, y int").repartition(3)
+    rows = df.select(F.col("text").cast("binary").alias("text"), (F.when(F.col("id") % 2 == 0, 0).otherwise(2) + F.col("y")).alias("group"))
+    known = toxicity.evidence(toxicity.counted_nodes(rows)).cache()
+    split = lambda t: t.lower().encode().split()
+    plain = [plain_evidence([(split(t), y) for i, t, y in texts if i % 2 in use]) for use in ((1,), (0,), (0, 1))]
+    got = {(r["kind"], r["key"]): r["e2"] for r in known.collect()}
+    assert len(got) == len(plain[2])
+    for (start, whole), e in plain[2].items():
+        key = toxicity.keys_of([start])[0 if whole else 1].view(np.int64)[0] if start or whole else 0
+        assert abs(got[(9 if whole else len(start), int(key))] - e) < 1e-9
+    docs = df.union(spark.createDataFrame([(200, None, 0), (201, "", 0), (202, "unseen abcunseen", 0)], df.schema))
+    keyed = toxicity._keyed(docs, "id", "text")
+    ids = {(r["key"], r["more"]): (r["id"], r["text"]) for r in keyed.collect()}
+    found = {(ids[(r["key"], r["more"])][0], r["model"]): r["x"] for r in toxicity.measures(keyed, known, least).collect()}
+    for i, text in ids.values():
+        for m in range(3):
+            want = plain_measures(plain[m], split((text or b"").decode()), max(least, 1e-12))
+            assert np.allclose(found.get((i, m), [0.0] * 4), want, rtol=0, atol=1e-9), (i, m)
+
+
 def test_toxicity(labelled, odd, odd_rows, none):
     docs, labels = labelled
     known = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null and doc_id is not null").collect()}
