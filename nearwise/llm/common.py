@@ -46,6 +46,12 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """128 bits of hash of a row's id and text, as 32 digits."""
+    halves = F.xxhash64(id_, text), F.xxhash64(F.lit("more"), text, id_)
+    return F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves])
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -7,7 +7,8 @@ occurrence go. Windows are judged on the input. Each line's content survives at
 Defined cases: a null text stays null (no lines); a text of one or two lines has no window and stays
 as it is; an empty text is one empty line; rows with the same id and text are one document, so each
 gets the same result; rows with the same id and another text are documents of their own, in the order
-of their text hashes. Window keys are 128 bits of hash. Other columns are passed on unchanged.
+of their text hashes. Window keys are 128 bits, put together from 64-bit hashes of
+the lines. Other columns are passed on unchanged.
 """
 
 from __future__ import annotations
@@ -49,10 +50,11 @@ def _key(id_: Column, text: Column) -> list[Column]:
     return [F.xxhash64(id_, text).alias("ka"), F.xxhash64(F.lit("b"), text, id_).alias("kb")]
 
 
-def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int = SPAN) -> DataFrame:
-    """The rows with struct column `line_dedup`: text (what stays), n_lines, n_removed."""
+def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int = SPAN, out_col="line_dedup") -> DataFrame:
+    """The rows with struct column `out_col`: text (what stays), n_lines, n_removed. A column of that name is
+    replaced."""
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, span=span)
-    one = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    one = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != out_col]).alias("row")
     rows = docs.select(one, *_key(F.col(id_col), F.col(text_col))).join(spans, ["ka", "kb"], "left")
     text = F.col("row").getField(text_col)
     lines = F.split(text, "\n", -1)
@@ -63,7 +65,7 @@ def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int
     kept = F.when(F.col("spans").isNull(), text).otherwise(F.array_join(F.flatten(parts), "\n"))
     gone = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s.stop - s.start)
     out = F.struct(kept.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"))
-    return rows.select("row", out.alias("line_dedup")).select("row.*", "line_dedup")
+    return rows.select("row", out.alias("out")).select("row.*", F.col("out").alias(out_col))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

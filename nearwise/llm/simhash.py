@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, save
+from .common import partitions, row_key, save
 from .components import components
 
 BYTES, MAX_BITS, TILE, SEED = 8, 3, 2048, 42
@@ -153,10 +153,10 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> Da
 
 
 def simhash_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """id, key (hash of id and text), fp, component_id, first_key: the smallest id that links reach from
+    """id, key (128 bits of hash of id and text), fp, component_id, first_key: the smallest id that links reach from
     the row, and the key of the row that bears it."""
     id_, text = F.col(id_col), F.col(text_col)
-    prints = save(docs.select(id_.alias("id"), F.xxhash64(id_, text).alias("key"), fingerprints(text, size).alias("fp")))
+    prints = save(docs.select(id_.alias("id"), row_key(id_, text).alias("key"), fingerprints(text, size).alias("fp")))
     low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("low")
     distinct = save(prints.groupBy("fp").agg(low))
     parts = components(links(distinct.select("fp"), max_bits))
@@ -171,7 +171,7 @@ def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text", **options) ->
     groups = simhash_groups(docs, id_col=id_col, text_col=text_col, **options)
     keys = groups.where("key = first_key").select("key").distinct()
     one = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), one)
+    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), one)
     return rows.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 

@@ -80,6 +80,7 @@ def test_lines(odd, odd_rows, none):
         else:
             assert r["line_dedup"]["text"] == want[(r["doc_id"], r["text"])]
     assert any(r["line_dedup"]["n_removed"] for r in rows)
+    assert lines.dedup_lines(got).columns == got.columns
     assert lines.dedup_lines(none).count() == 0
 
 

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearwise.llm import mixing
@@ -67,3 +68,17 @@ def test_run_and_registry(spark, folder):
     assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and found.count() > 0
     assert {int(q[2:].split("_")[0]) for q in queries() if q != "pipeline"} == set(range(1, 11))
     assert set(oracle_sql()) < set(queries())
+
+
+def test_no_rows_and_clashing_columns(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    more = docs.limit(60)
+    for name in ("line_dedup", "key", "row", "set", "n", "low", "sites", "place"):
+        more = more.withColumn(name, F.lit(name))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        more = corpus_pipeline.save(stage(spark, more, folder))
+        assert all(r[name] == name for r in more.collect() for name in ("line_dedup", "key", "row", "set", "n", "low", "sites", "place"))
+    assert corpus_pipeline.STAGES[-1][1](spark, more, folder).count() > 0
