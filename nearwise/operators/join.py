@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearwise.functions.geometry import dist2, rect, rect_gap2, rect_reach2
@@ -192,6 +192,12 @@ def all_knn_join(left: DataFrame, right: DataFrame, k: int, **options) -> DataFr
     return one.withColumn("direction", F.lit("left")).unionByName(two.withColumn("direction", F.lit("right")))
 
 
+def knn_view(spark: SparkSession, name: str, left: str, right: str, k: int, **options) -> None:
+    """A temporary view for SQL with the neighbours of two tables or views, one row each unless `output` says else."""
+    options.setdefault("output", "exploded")
+    knn_join(spark.table(left), spark.table(right), k, **options).createOrReplaceTempView(name)
+
+
 def knn_point_query(points: DataFrame, x: float, y: float, k: int) -> DataFrame:
     """rank, right_id, distance of the k points nearest to one."""
     if k < 1:

@@ -4,20 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder for this application's work tables, below spark.checkpoint.dir. Only a local session may
-    lack that setting. When the application is over, its folder can go."""
+@lru_cache
+def _temporary(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="nearwise-")
+
+
+def base_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session may lack that setting, and gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="nearwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/nearwise-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _temporary(spark.sparkContext.applicationId)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder for this application's work tables. When the application is over, its folder can go."""
+    return f"{base_dir(spark)}/nearwise-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's work tables. Results that were not written elsewhere cannot be read after it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark)).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def save(df: DataFrame, **options: str) -> DataFrame:

@@ -138,6 +138,14 @@ def test_hints_size_the_leaves(spark):
         join.leaf_size(5000, df, 3, 32, 0, 0)
 
 
+def test_view_for_sql(spark):
+    spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], SCHEMA).createOrReplaceTempView("asks")
+    spark.createDataFrame([(5, 3.0, 4.0), (6, 9.0, 9.0)], SCHEMA).createOrReplaceTempView("fixed")
+    join.knn_view(spark, "near", "asks", "fixed", 1)
+    rows = spark.sql("SELECT left_id, right_id, distance FROM near WHERE rank = 1 ORDER BY left_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 5, 5.0), (2, 6, 0.0)]
+
+
 def test_plan_has_no_pairs_of_points(spark):
     df = spark.createDataFrame(cloud(6, 100), SCHEMA)
     plan = knn_join(df, df, 3, direct_pairs=0, per_leaf=4, output="exploded")._jdf.queryExecution().toString()

@@ -80,3 +80,12 @@ def test_partitions_are_numbered_anew(spark):
     rows = spark.createDataFrame([(1, 4), (2, 9), (3, 4), (4, 2)], "id long, part_id long")
     needed = spark.createDataFrame([(4,), (9,)], "part_id long")
     assert sorted(map(tuple, grid.renumbered(rows, needed).select("id", "part_id").collect())) == [(1, 0), (2, 1), (3, 0)]
+
+
+def test_work_tables_go(spark, tmp_path, monkeypatch):
+    from nearwise.plans import tables
+
+    monkeypatch.setattr(tables, "base_dir", lambda spark: f"file://{tmp_path}")
+    assert tables.save(spark.range(3)).count() == 3 and len(list(tmp_path.iterdir())) == 1
+    tables.clear(spark)
+    assert not list(tmp_path.iterdir())
