@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearwise.plans.tables import save
+
+__all__ = ["WORD", "BROADCAST_ROWS", "attach", "n_words", "partitions", "row_key", "save", "table"]
+
 #: A word is a run of characters other than space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest number of rows that `attach` broadcasts; its rows are narrow (keys and a few numbers).
 BROADCAST_ROWS = 100_000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder for this application's work tables, below spark.checkpoint.dir. Only a local session may
-    lack that setting. When the application is over, its folder can go."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="nearwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/nearwise-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, **options: str) -> DataFrame:
-    """The rows, written once to the shared folder and read from there: lineage ends here, and a lost
-    executor costs only the reading again."""
-    spark = df.sparkSession
-    path = work_dir(spark)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a written table of few, narrow rows: broadcast if a count shows that it has at most
     `limit` rows; beyond that a sort-merge join, whose hot keys adaptive execution splits."""

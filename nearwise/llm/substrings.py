@@ -21,7 +21,8 @@ as the session's shuffle partitions. Text is exchanged only for documents that m
 keys' bitmap (4 MB, whatever the corpus) is broadcast; keys that fall together only cost an exchange.
 
 Defined cases: a null text has no words; texts shorter than a window keep all words; rows with the same id
-and text are documents that repeat each other; null ids are allowed; other columns are ignored.
+and text are documents that repeat each other; null ids are allowed; ids are whole numbers (text that is none raises an error); other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -262,7 +263,8 @@ def _ask_windows(window: int) -> Callable:
             single = np.ones(len(words), bool)
             for row, start in zip(rows, starts.tolist(), strict=True):
                 for known in batch.column(2)[row].as_py() or []:
-                    single[start + np.frombuffer(known, "<u4").astype(np.int64)] = False
+                    at_ = start + np.frombuffer(known, "<u4").astype(np.int64)
+                    single[at_[at_ < len(words)]] = False
             at, size = at[single[at]], size[single[at]]
             where = unsure(starts, sizes, doc[at], at, size, window)
             yield keys, starts, where, *window_hashes(words, where, window), np.empty(0, np.int64)
@@ -341,6 +343,7 @@ def _finish(window: int, with_text: bool) -> Callable:
                 if digest is None:
                     words = (text or b"").split()
                     at = np.frombuffer(b"".join(answers or []), "<u4").astype(np.int64)
+                    at = at[at <= n - window]  # a document with the same key may be longer
                     steps = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + window, n), minlength=n + 1)
                     gone = np.cumsum(steps)[:n] > 0
                     removed = int(gone.sum())
