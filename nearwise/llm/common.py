@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearwise.plans.tables import save
 
-__all__ = ["WORD", "BROADCAST_ROWS", "attach", "n_words", "partitions", "row_key", "save", "table"]
+__all__ = ["WORD", "BROADCAST_ROWS", "attach", "batches_of", "n_words", "partitions", "row_key", "save", "table"]
 
 #: A word is a run of characters other than space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +29,18 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written inside goes to workers in batches of that many rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def row_key(id_: Column, text: Column) -> Column:
     """128 bits of hash of a row's id and text, as 32 digits."""
     halves = F.xxhash64(id_, text), F.xxhash64(F.lit("more"), text, id_)

@@ -36,10 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, save
+from .common import batches_of, partitions, save
 from .minhash import mix
 
-WINDOW, ROUNDS, LEAST, FILTER_BITS, PART_WORDS = 35, 3, 3, 25, 1 << 19
+WINDOW, ROUNDS, LEAST, FILTER_BITS, PART_WORDS, BATCH = 35, 3, 3, 25, 1 << 19, 2000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -176,7 +176,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], finish: Callable, most: int | No
     """Calls finish with the rows of each value of the first column, by which they are sorted."""
     value, parts = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() for c in batch.columns)
             if row[0] != value or (row[0] == most and len(parts) >= 64):
                 if (out := finish(parts)) is not None:
                     yield out
@@ -314,11 +315,12 @@ def repeated_windows(docs: DataFrame, *, id_col="doc_id", text_col="text", windo
     spark = docs.sparkSession
     buckets = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    symbols = save(repeats(texts, _ask_symbols(window), buckets))
-    bits = spark.sparkContext.broadcast(_bitmap(symbols))
-    answers = symbols.groupBy("key").agg(F.collect_list("places").alias("answers"))
-    some = texts.mapInArrow(_some(bits, False, window), _SOME).select("key", "id", "text")
-    return save(repeats(some.join(answers, "key").select("id", "text", "answers"), _ask_windows(window), buckets))
+    with batches_of(spark, BATCH):
+        symbols = save(repeats(texts, _ask_symbols(window), buckets))
+        bits = spark.sparkContext.broadcast(_bitmap(symbols))
+        answers = symbols.groupBy("key").agg(F.collect_list("places").alias("answers"))
+        some = texts.mapInArrow(_some(bits, False, window), _SOME).select("key", "id", "text")
+        return save(repeats(some.join(answers, "key").select("id", "text", "answers"), _ask_windows(window), buckets))
 
 
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
