@@ -10,18 +10,20 @@ change one symbol at either end, 1 + 1 + 2 + 4 = 8 words in three rounds.
 
 So every symbol inside the middle 35 - 2 x 8 words of a repeated window also occurs elsewhere. Symbols of
 3 words or more are held against all others (`repeats`); windows with a symbol in the middle that occurs
-once are unique. The other windows are verified by 80-bit hashes of their 35 words, again against all.
+once are unique. The other windows are verified by 96-bit hashes of their 35 words, again against all.
 
 `repeats` moves numbers, not rows. A task takes its documents in parts of at most PART_WORDS words and
 sorts a part's hashes into buckets, one row of packed numbers a bucket. What is repeated within the part is
 known there and sent once, so a hash in a third of all documents costs its bucket one entry a part. A
 bucket finds the hashes that occurred twice and answers the part with their places, packed again; the
-answers of a part come together once more and give one row for each of its documents. Buckets are as many
-as the session's shuffle partitions. Text is exchanged only for documents that may have repeats: their
-keys' bitmap (4 MB, whatever the corpus) is broadcast; keys that fall together only cost an exchange.
+answers of a part come together once more and give one row for each of its documents. The texts' bytes are
+summed first: there is a bucket for every BUCKET_BYTES of them, and at least one a shuffle partition, so what a
+task holds at once does not grow with the corpus. Documents are known by 128 bits of hash of id and text. Text is
+exchanged only for documents that may have repeats: their keys' bitmap (4 MB, whatever the corpus) is broadcast;
+keys that fall together only cost an exchange.
 
 Defined cases: a null text has no words; texts shorter than a window keep all words; rows with the same id
-and text are documents that repeat each other; null ids are allowed; ids are whole numbers (text that is none raises an error); other
+and text are documents that repeat each other; ids may be null and of any type that workers can read; other
 columns are ignored.
 """
 
@@ -39,13 +41,18 @@ from pyspark.sql import functions as F
 from .common import batches_of, partitions, save
 from .minhash import mix
 
-WINDOW, ROUNDS, LEAST, FILTER_BITS, PART_WORDS, BATCH = 35, 3, 3, 25, 1 << 19, 2000
+WINDOW, ROUNDS, LEAST, FILTER_BITS, PART_WORDS, BUCKET_BYTES, BATCH = 35, 3, 3, 25, 1 << 19, 1 << 25, 2000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def doc_key(id_: object, text: bytes) -> int:
-    """Signed 64 bits; null and no id differ."""
-    return xxhash.xxh3_64_intdigest(text, xxhash.xxh3_64_intdigest(repr(id_))) - (1 << 63)
+def doc_key(id_: object, text: bytes) -> bytes:
+    """128 bits; null and no id differ."""
+    return xxhash.xxh3_128_digest(text, xxhash.xxh3_64_intdigest(repr(id_)))
+
+
+def _halves(keys: bytes) -> np.ndarray:
+    """Keys, one after the other -> two columns of whole numbers."""
+    return np.frombuffer(keys, "<i8").reshape(-1, 2)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -93,7 +100,7 @@ def unsure(starts: np.ndarray, sizes: np.ndarray, doc: np.ndarray, first: np.nda
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 16 bits of hash of the windows that start at these words: sums of powers of odd numbers modulo
+    """64 and 32 bits of hash of the windows that start at these words: sums of powers of odd numbers modulo
     2^64, put together from spans of 1, 2, 4 ... words."""
     out = []
     for base, twist in ((int(_A), _B), (int(_C), _A)):
@@ -108,7 +115,7 @@ def window_hashes(words: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tu
                 span = span[:-length] * power + span[length:]
             length *= 2
         out.append(mix(total))
-    return out[0], (out[1] >> np.uint64(48)).astype(np.uint16)
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -125,9 +132,11 @@ _ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("origin", pa.int64()), *((c, p
 
 
 def _twice(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which hashes occur more than once; which are the first of theirs."""
-    order = np.lexsort((more, h))
-    same = (h[order][1:] == h[order][:-1]) & (more[order][1:] == more[order][:-1])
+    """Which hashes occur more than once; which are the first of theirs. `more` may be empty."""
+    order = np.lexsort((more, h)) if len(more) else np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    if len(more):
+        same &= more[order][1:] == more[order][:-1]
     twice, first = np.zeros(len(h), bool), np.ones(len(h), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -137,7 +146,7 @@ def _twice(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pack(buckets: int, keys: np.ndarray, starts: np.ndarray, place: np.ndarray, h: np.ndarray, more: np.ndarray, named: np.ndarray) -> pa.RecordBatch:
     """A part's hashes with their places (counted through its documents, whose places begin at `starts`) -> a
-    row for each bucket, and one with bucket -1: the documents, the places known to be repeated, and the
+    row for each bucket, and one with bucket -1: the documents' keys, the places known to be repeated, and the
     documents to be named in any case."""
     origin = xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)
     twice, first = _twice(h, more)
@@ -148,7 +157,7 @@ def _pack(buckets: int, keys: np.ndarray, starts: np.ndarray, place: np.ndarray,
     cuts = np.searchsorted(bucket[sent], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         at = sent[cuts[b] : cuts[b + 1]]
-        out.append((b, origin, h[at].tobytes(), more[at].tobytes(), np.packbits(twice[at]).tobytes(), _planes(place[at]), b"", b""))
+        out.append((b, origin, h[at].tobytes(), more[at].tobytes() if len(more) else b"", np.packbits(twice[at]).tobytes(), _planes(place[at]), b"", b""))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ROW_SCHEMA, strict=True)], schema=_ROW_SCHEMA)
 
 
@@ -164,7 +173,7 @@ def _answers(parts: list[tuple]) -> pa.RecordBatch | None:
         rows = [(p[1], p[5], p[4], p[6], p[7]) for p in parts]
     else:
         counts = [len(p[2]) // 8 for p in parts]
-        h, more = np.frombuffer(b"".join(p[2] for p in parts), np.uint64), np.frombuffer(b"".join(p[3] for p in parts), np.uint16)
+        h, more = np.frombuffer(b"".join(p[2] for p in parts), np.uint64), np.frombuffer(b"".join(p[3] for p in parts), np.uint32)
         known = np.concatenate([np.unpackbits(np.frombuffer(p[4], np.uint8), count=n).astype(bool) for p, n in zip(parts, counts, strict=True)])
         hits = np.split(_twice(h, more)[0] & ~known, np.cumsum(counts)[:-1])
         rows = [(p[1], _planes(_unplanes(p[5])[hit]), b"", b"", b"") for p, hit in zip(parts, hits, strict=True) if hit.any()]
@@ -188,24 +197,24 @@ def _grouped(batches: Iterator[pa.RecordBatch], finish: Callable, most: int | No
 
 
 def _by_document(rows: list[tuple]) -> pa.RecordBatch | None:
-    """A part's answers -> (key, places) of its documents that have any, and of those named."""
+    """A part's answers -> (key, more, places) of its documents that have any, and of those named."""
     if not rows:
         return None
-    keys, starts, named = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, starts, named = _halves(b""), np.empty(0, np.int64), np.empty(0, np.int64)
     for r in rows:
         if r[3]:
-            keys, starts, named = np.frombuffer(r[3], np.int64), _unplanes(r[4]), np.frombuffer(r[2], "<u4").astype(np.int64)
+            keys, starts, named = _halves(r[3]), _unplanes(r[4]), np.frombuffer(r[2], "<u4").astype(np.int64)
     at = np.sort(np.concatenate([_unplanes(r[1]) for r in rows]))
     doc = np.searchsorted(starts, at, "right") - 1
     wanted = np.union1d(np.unique(doc), named)
     low, high = np.searchsorted(doc, wanted), np.searchsorted(doc, wanted, "right")
     places = [(at[a:b] - starts[d]).astype("<u4").tobytes() for d, a, b in zip(wanted.tolist(), low.tolist(), high.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(keys[wanted]), pa.array(places, pa.binary())], ["key", "places"])
+    return pa.RecordBatch.from_arrays([pa.array(keys[wanted, 0]), pa.array(keys[wanted, 1]), pa.array(places, pa.binary())], ["key", "more", "places"])
 
 
 def repeats(rows: DataFrame, ask: Callable, buckets: int) -> DataFrame:
     """ask: batch -> (keys, starts, places, hashes, more hash, documents to name) of each part -> (key,
-    places): of every document the places whose hashes occur at least twice among all rows."""
+    more, places): of every document the places whose hashes occur at least twice among all rows."""
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,10 +226,10 @@ def repeats(rows: DataFrame, ask: Callable, buckets: int) -> DataFrame:
     asked = asked.repartition(buckets, spread).sortWithinPartitions("bucket")
     answered = asked.mapInArrow(lambda batches: _grouped(batches, _answers, -1), _ANSWER)
     answered = answered.repartition(buckets, "origin").sortWithinPartitions("origin")
-    return answered.mapInArrow(lambda batches: _grouped(batches, _by_document), "key long, places binary")
+    return answered.mapInArrow(lambda batches: _grouped(batches, _by_document), "key long, more long, places binary")
 
 
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], int]]:
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], bytes]]:
     for row, (id_, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
         text = text.as_py() or b""
         yield row, text.split(), doc_key(id_.as_py(), text)
@@ -238,7 +247,7 @@ def _parts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[list[int], np.n
             held += len(text)
         if held >= PART_WORDS or (row == batch.num_rows - 1 and rows):
             sizes = np.array([len(w) for w in words], np.int64)
-            yield rows, np.array(keys, np.int64), np.cumsum(sizes) - sizes, sizes, np.concatenate(words)
+            yield rows, _halves(b"".join(keys)), np.cumsum(sizes) - sizes, sizes, np.concatenate(words)
             rows, keys, words, held = [], [], [], 0
 
 
@@ -249,7 +258,7 @@ def _ask_symbols(window: int) -> Callable:
             name, at, size = witnesses(words, doc)
             # windows without any symbol in the middle are verified in any case
             blind = unsure(starts, sizes, doc[at], at, size, window)
-            yield keys, starts, at, name, np.zeros(len(name), np.uint16), np.unique(doc[blind])
+            yield keys, starts, at, name, np.empty(0, np.uint32), np.unique(doc[blind])
 
     return ask
 
@@ -285,42 +294,56 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _some(bits, with_text_of_all: bool, window: int) -> Callable:
-    """Rows id, text -> key, id, text, n_words, kept_sha256. Without its bit a document has no repeat: its
+    """Rows id, text -> key, more, id, text, n_words, kept_sha256. Without its bit a document has no repeat: its
     text is left out, and the row itself, or else its digest is complete."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row, words, key in _documents(batch):
-                at = key % (1 << FILTER_BITS)
+                halves = _halves(key)[0].tolist()
+                at = halves[0] % (1 << FILTER_BITS)
                 maybe = len(words) >= window and bits.value[at >> 3] >> (at & 7) & 1
                 if maybe:
-                    out.append((key, batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), len(words), None))
+                    out.append((*halves, batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), len(words), None))
                 elif with_text_of_all:
-                    out.append((key, batch.column(0)[row].as_py(), None, len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "id", "text", "n_words", "kept_sha256"])
+                    out.append((*halves, batch.column(0)[row].as_py(), None, len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            types = [pa.int64(), pa.int64(), batch.column(0).type, pa.binary(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "more", "id", "text", "n_words", "kept_sha256"])
 
     return of
 
 
-_SOME = "key long, id long, text binary, n_words long, kept_sha256 string"
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """id, text as bytes; and the type of ids."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return texts, texts.schema["id"].dataType.simpleString()
+
+
+def _some_schema(id_type: str) -> str:
+    return f"key long, more long, id {id_type}, text binary, n_words long, kept_sha256 string"
+
+
+def _buckets(texts: DataFrame) -> int:
+    """By the texts' bytes."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(texts.sparkSession), -(-total // BUCKET_BYTES))
 
 
 def repeated_windows(docs: DataFrame, *, id_col="doc_id", text_col="text", window: int = WINDOW) -> DataFrame:
-    """(key, places): of each document with repeated windows, the first words of those. Written."""
+    """(key, more, places): of each document with repeated windows, the first words of those. Written."""
     if window <= 2 << ROUNDS:
         raise ValueError(f"windows have more than {2 << ROUNDS} words")
     spark = docs.sparkSession
-    buckets = partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts, id_type = _texts(docs, id_col, text_col)
+    buckets = _buckets(texts)
     with batches_of(spark, BATCH):
         symbols = save(repeats(texts, _ask_symbols(window), buckets))
         bits = spark.sparkContext.broadcast(_bitmap(symbols))
-        answers = symbols.groupBy("key").agg(F.collect_list("places").alias("answers"))
-        some = texts.mapInArrow(_some(bits, False, window), _SOME).select("key", "id", "text")
-        return save(repeats(some.join(answers, "key").select("id", "text", "answers"), _ask_windows(window), buckets))
+        answers = symbols.groupBy("key", "more").agg(F.collect_list("places").alias("answers"))
+        some = texts.mapInArrow(_some(bits, False, window), _some_schema(id_type)).select("key", "more", "id", "text")
+        return save(repeats(some.join(answers, ["key", "more"]).select("id", "text", "answers"), _ask_windows(window), buckets))
 
 
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -329,10 +352,10 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window:
     spark = docs.sparkSession
     places = repeated_windows(docs, id_col=id_col, text_col=text_col, window=window)
     bits = spark.sparkContext.broadcast(_bitmap(places) if not with_text else np.full((1 << FILTER_BITS) // 8, 255, np.uint8))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    some = texts.mapInArrow(_some(bits, True, 0 if with_text else window), _SOME)
-    rows = some.join(places.groupBy("key").agg(F.collect_list("places").alias("answers")), "key", "left")
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    texts, id_type = _texts(docs, id_col, text_col)
+    some = texts.mapInArrow(_some(bits, True, 0 if with_text else window), _some_schema(id_type))
+    rows = some.join(places.groupBy("key", "more").agg(F.collect_list("places").alias("answers")), ["key", "more"], "left")
+    schema = f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return rows.select("id", "text", "n_words", "kept_sha256", "answers").mapInArrow(_finish(window, with_text), schema)
 
 
@@ -345,7 +368,7 @@ def _finish(window: int, with_text: bool) -> Callable:
                 if digest is None:
                     words = (text or b"").split()
                     at = np.frombuffer(b"".join(answers or []), "<u4").astype(np.int64)
-                    at = at[at <= n - window]  # a document with the same key may be longer
+                    at = at[at <= n - window]  # windows that begin in the text's last words would end beyond it
                     steps = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + window, n), minlength=n + 1)
                     gone = np.cumsum(steps)[:n] > 0
                     removed = int(gone.sum())
@@ -353,7 +376,7 @@ def _finish(window: int, with_text: bool) -> Callable:
                     digest = hashlib.sha256(kept).hexdigest()
                 out.append((id_, n, removed, digest, *([kept.decode()] if with_text else ())))
             columns = zip(*out, strict=True) if out else [[]] * (4 + with_text)
-            types = [pa.int64()] * 3 + [pa.string()] * 2
+            types = [batch.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["id", "n_words", "n_removed", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names[: 4 + with_text])
 

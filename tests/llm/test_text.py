@@ -60,6 +60,27 @@ def test_substrings_of_few_words(spark):
     check_substrings(spark.createDataFrame(rows, SCHEMA).repartition(4), rows)
 
 
+def test_substrings_of_any_ids_in_many_buckets(spark, odd, odd_rows, monkeypatch):
+    """Text as ids; more buckets than shuffle partitions."""
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 500)
+    assert substrings._buckets(substrings._texts(odd, "doc_id", "text")[0]) > 30
+    named = odd.withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    rows = [(None if r[0] is None else f"doc {r[0]}", *r[1:]) for r in odd_rows]
+    assert dict(substrings.remove_repeats(named).dtypes)["id"] == "string"
+    check_substrings(named, rows)
+
+
+def test_window_hashes_tell_windows_apart(spark):
+    """Both hashes, by definition equal for equal windows only."""
+    rng = random.Random(8)
+    text = substrings.word_hashes([rng.choice([b"a", b"b"]) for _ in range(3000)] + [b"c", b"d"] * 40)
+    at = np.arange(len(text) - 34)
+    h, more = substrings.window_hashes(text, at)
+    windows = {i: text[i : i + 35].tobytes() for i in at.tolist()}
+    assert more.dtype == np.uint32 and len(set(windows.values())) == len(set(h.tolist())) == len(set(more.tolist()))
+    assert len(set(zip(windows.values(), h.tolist(), more.tolist(), strict=True))) == len(set(windows.values()))
+
+
 def test_kept_text(odd):
     for r in substrings.remove_repeats(odd, with_text=True).collect():
         assert hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"]
