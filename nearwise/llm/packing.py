@@ -10,9 +10,8 @@ pattern, are filled greedily into patterns of their own. Pieces are ranked withi
 order (counts of each task, summed up; no global sort), and a rank falls into one range of one pattern.
 
 Defined cases: a null text is an empty one, a single end id; bytes that are no UTF-8 are read as U+FFFD; rows
-are packed one by one, so repeated rows are packed repeatedly, and a null id stays null; ids are whole
-numbers (of another type they are cast, and text that is none raises an error); an empty table gives no
-rows; other columns are ignored. A special token's string in a text is that token, as the vocabulary's own library has it.
+are packed one by one, so repeated rows are packed repeatedly, and a null id stays null; ids are of any type that
+workers can read; an empty table gives no rows; other columns are ignored. A special token's string in a text is that token, as the vocabulary's own library has it.
 """
 
 from __future__ import annotations
@@ -84,14 +83,14 @@ def _cut(vocabulary: str, length: int, unit: int, end: int, with_ids: bool):
                     row = (id_, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), task, size_class, rank, *([piece.view("<i4")] if with_ids else ()))
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=False)], _NAMES[: len(columns)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.column(0).type, *_TYPES], strict=False)], _NAMES[: len(columns)])
 
     return of
 
 
 _NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "task", "size_class", "rank", "ids"]
-_TYPES = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.list_(pa.int32())]
-_SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, task int, size_class int, rank long"
+_TYPES = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64(), pa.list_(pa.int32())]
+_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, task int, size_class int, rank long"
 
 
 def _price(sizes: np.ndarray, value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -178,9 +177,10 @@ def _ranges(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, i
 def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", vocabulary: str | None = None, length: int = LENGTH, unit: int = UNIT, end: int = END, with_ids: bool = False) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its ids)."""
     spark = docs.sparkSession
-    schema = _SCHEMA + ", ids array<int>" * with_ids
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, {_SCHEMA}" + ", ids array<int>" * with_ids
     cut = _cut(vocabulary or default_vocabulary(), length, unit, end, with_ids)
-    pieces = save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary")).mapInArrow(cut, schema))
+    pieces = save(texts.mapInArrow(cut, schema))
     each = save(pieces.groupBy("task", "size_class").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in each.groupBy("size_class").agg(F.sum("n")).collect()}  # length / unit rows at most
     earlier = F.sum("n").over(Window.partitionBy("size_class").orderBy("task")) - F.col("n")

@@ -232,6 +232,9 @@ def test_packing(odd, odd_rows, none):
         ids = [*tokens.encode(text or "", add_special_tokens=False).ids, 1]
         assert [x for r in mine for x in r["ids"]] == ids and all(r["doc_tokens"] == len(ids) for r in mine)
         assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["length"] == len(r["ids"]) for r in mine)
+    # rows of one id, with one piece each
+    short = Counter((r[0], (*tokens.encode(r[1] or "", add_special_tokens=False).ids, 1)) for r in odd_rows if len(r[1] or "") < 3000)
+    assert Counter((r["id"], tuple(r["ids"])) for r in got if r["id"] != 15) == short
     sequences = {}
     for r in got:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -244,6 +247,8 @@ def test_packing(odd, odd_rows, none):
     total = sum(r["length"] for r in got)
     assert len(sequences) <= -(-total // 2048) + 1
     assert packing.pack(none).count() == 0
+    named = packing.pack(odd.withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))).collect()
+    assert Counter((r["id"], r["ids_crc32"]) for r in named) == Counter((None if r["id"] is None else f"doc {r['id']}", r["ids_crc32"]) for r in got)
 
 
 def test_packing_of_long_runs_and_bad_bytes(spark):
