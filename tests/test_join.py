@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from nearwise.operators import join
 from nearwise.operators.join import all_knn_join, find_exact, knn_join, knn_point_query, range_join
+from nearwise.plans.registry import queries
 
 SCHEMA = "id long, x double, y double"
 
@@ -170,3 +172,24 @@ def test_point_exact_and_range(spark):
     assert [tuple(r) for r in knn_point_query(df, 0, 0, 3).orderBy("rank").collect()] == [(1, 1, 0.0), (2, 2, 5.0), (3, 3, 5.0)]
     assert {r["id"]: r["match_id"] for r in find_exact(df, df).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
     assert sorted((r[0], r[1]) for r in range_join(df, df, 5).collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2), (3, 3), (3, 4), (4, 2), (4, 3), (4, 4)]
+
+
+def test_equal_pairs_deals_one_key_to_many_tasks(spark):
+    left = [(i, 1.5 if i % 10 else [-0.0, None, float("nan")][i // 10 % 3]) for i in range(300)] + [(7, 1.5)] * 3
+    right = [(i, [1.5, 1.5, 0.0, None, float("nan"), 9.0][i % 6]) for i in range(600)]
+    l, r = spark.createDataFrame(left, "left_id long, ly double"), spark.createDataFrame(right, "right_id long, ry double")
+    same = lambda a, b: a is not None and b is not None and (a == b or a != a and b != b)
+    want = sorted((i, j) for i, a in left for j, b in right if same(a, b))
+    found = join.equal_pairs(l, r, "ly", "ry", tile=32)
+    assert sorted((x["left_id"], x["right_id"]) for x in found.collect()) == want
+    own = found.where("ly = 1.5").groupBy(F.spark_partition_id()).count().collect()
+    assert len(own) > 1 and max(x["count"] for x in own) < len(want) / 2
+    assert join.equal_pairs(l, r.limit(0), "ly", "ry").count() == 0
+
+
+def test_distance_pairs_reads_no_key_in_one_task(spark, tmp_path):
+    """The registered query, with all points on one line."""
+    spark.range(3000).selectExpr("id AS s_suppkey", "CAST(id AS DOUBLE) AS s_acctbal", "1 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(5000).selectExpr("id AS c_custkey", "CAST(id AS DOUBLE) AS c_acctbal", "1 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = queries()["distance_pairs"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum(F.abs(F.col("left_id") - F.col("right_id")) - F.col("d"))).collect()
+    assert sum(x[1] for x in found) == 15_000_000 and len(found) > 1 and all(x[2] == 0 for x in found)
