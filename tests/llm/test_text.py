@@ -448,6 +448,21 @@ def test_kneser_ney_by_definition(spark, least):
             assert np.allclose(found.get((i, m), [0.0] * 4), want, rtol=0, atol=1e-9), (i, m)
 
 
+def test_every_word_counts(spark, monkeypatch):
+    """Words of little evidence move the measures of a default run, and few held rows change nothing."""
+    texts = [(i, f"alpha beta {'gamma' if i % 4 < (2 if i % 3 else 3) else 'delta'} w{i % 7}", int(i % 3 == 0)) for i in range(180)]
+    df = spark.createDataFrame(texts, "id long, text string, y int").repartition(3)
+    rows = df.select(F.col("text").cast("binary").alias("text"), (F.when(F.col("id") % 2 == 0, 0).otherwise(2) + F.col("y")).alias("group"))
+    known = toxicity.evidence(*toxicity.counted(rows)).cache()
+    of = lambda: {(r["key"], r["more"], r["model"]): r["x"] for r in toxicity.measures(toxicity._keyed(df, "id", "text"), known, toxicity.LEAST).collect()}
+    all_held = of()
+    assert len(all_held) == 180 * 3 and all(x[2] != 0 and x[3] != 0 for x in all_held.values()) and max(x[0] for x in all_held.values()) < 3
+    for most in (0, 12):
+        monkeypatch.setattr(toxicity, "MAX_HELD", most)
+        few = of()
+        assert few.keys() == all_held.keys() and all(np.allclose(few[k], all_held[k], rtol=0, atol=1e-9) for k in few)
+
+
 def test_toxicity(labelled, odd, odd_rows, none):
     docs, labels = labelled
     known = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null and doc_id is not null").collect()}
