@@ -1,4 +1,9 @@
-"""Near dedup by the Jaccard likeness of shingle sets: an exact prefix-filter join.
+"""Near dedup by the Jaccard likeness of shingle sets: SimHash's byte-position index, then an exact join for the rest.
+
+First the texts' SimHash fingerprints (of the same shingles) go through the index of `simhash`: postings by bytes at
+their positions, shared bytes tallied, pairs under the guaranteed minimum dropped, the rest verified, first by bits
+and then by the sets themselves. A likeness of 4/5 often means more than the 3 bits for which the index guarantees
+matches, so an exact prefix-filter join follows, which finds every pair that the index cannot promise.
 
 A text is the set of its five-word shingles (of lower-cased words, as 64-bit hashes). Sets of which 4/5 or
 more are alike share an element among the first n - ceil(4n/5) + 1 of each, n being its size, in whatever
@@ -6,8 +11,8 @@ order all sets keep to; postings are kept for those. The order puts shingles las
 often has; the sample changes the lengths of lists, never what is found. Equal sets are one entry. Postings are
 exchanged once, and only lists of two sets or more are written; lists of frequent elements are cut into chunks.
 
-Each list has a hub, its least set. First each set is verified against the hub that it shares most postings
-with, so a large group of near copies is linked by as many pairs as it has sets; then, within each list, the
+Each list has a hub, its least set. Each set that the index has not linked to it is verified against the hub that it
+shares most postings with, so a large group of near copies is linked by as many pairs as it has sets; then, within each list, the
 pairs whose sets are still in different components and whose sizes and places allow the likeness. Every pair of
 the likeness is in one component after that. Long lists are cut into tiles that separate tasks compare. Before
 texts are fetched, pairs whose sketches differ too much go: a sketch holds the parity of the set's elements by
@@ -33,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from . import simhash
 from .common import attach, batches_of, partitions, row_key, save
 from .components import components
 from .minhash import mix, shingle_hashes
@@ -74,17 +80,17 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
-_SET = "key string, set long, n int, small binary, sketch binary, first binary, id "
+_SET = "key string, set long, n int, small binary, sketch binary, first binary, fp long, id "
 
 
 def _sets(size: int, often):
-    """Rows: id, key, text -> the text's set: its name and size, its sketches, and the elements that postings are
-    kept for, in their order."""
+    """Rows: id, key, text -> the text's set: its name and size, its sketches, the elements that postings are
+    kept for, in their order, and the text's SimHash fingerprint."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count, _ = often.value
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for text in batch.column(2):
                 s = shingle_set(text.as_py(), size)
                 name, n, sketch = name_of(s), len(s), sketch_of(s)
@@ -92,10 +98,10 @@ def _sets(size: int, often):
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                     s = s[np.argsort(np.where(token[at] == s, count[at], 0), kind="stable")]
                 first = s[: n + (-4 * n // 5) + 1] if n else s
-                for column, value in zip(out, (name, n, folded(sketch, SMALL // 8).tobytes(), sketch, first.tobytes()), strict=True):
+                for column, value in zip(out, (name, n, folded(sketch, SMALL // 8).tobytes(), sketch, first.tobytes(), simhash.fingerprint(text.as_py(), size)), strict=True):
                     column.append(value)
-            columns = [batch.column(1), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)), batch.column(0)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "set", "n", "small", "sketch", "first", "id"])
+            columns = [batch.column(1), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64()), strict=True)), batch.column(0)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "set", "n", "small", "sketch", "first", "fp", "id"])
 
     return of
 
@@ -278,10 +284,22 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def indexed(distinct: DataFrame) -> DataFrame:
+    """set, fp -> pairs (a, b) of sets that the byte-position index links: of each fingerprint the least set with its
+    others, and with that of the fingerprints linked to it. Written."""
+    named = save(distinct.groupBy("fp").agg(F.min("set").alias("a"), F.count("*").alias("sets")))
+    equal = distinct.select(F.col("set").alias("b"), "fp").join(named.where("sets > 1"), "fp").where("a <> b").select("a", "b")
+    near = simhash.links(named.select("fp")).withColumnsRenamed({"a": "fp", "b": "fp_b"})
+    near = near.join(named.select("fp", "a"), "fp").join(named.select(F.col("fp").alias("fp_b"), F.col("a").alias("b")), "fp_b")
+    return save(equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+
+
 def links(docs: DataFrame, distinct: DataFrame, often, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """docs: key, text; distinct: set, n, small, sketch, first, low -> (node, root) of the sets that have a link
+    """docs: key, text; distinct: set, n, small, sketch, first, fp, low -> (node, root) of the sets that have a link
     and are not their component's least."""
     n = partitions(docs.sparkSession)
+    edges = _verified(_near_sketches(indexed(distinct), distinct), distinct, docs, size)
+    roots = components(edges).select(F.col("node").alias("set"), "root")
     postings = distinct.select("set", "n", "first").mapInArrow(_postings(often), "token long, chunk int, set long, n int, place int")
     postings = postings.repartition(n, "token", "chunk").sortWithinPartitions("token", "chunk", "set")
     shared = save(postings.mapInArrow(_lists, _LIST))
@@ -292,8 +310,11 @@ def links(docs: DataFrame, distinct: DataFrame, often, size: int = SHINGLE, tile
     stars = shared.where("set <> hub and 5 * n >= 4 * hub_n and 5 * hub_n >= 4 * n").groupBy("set", "hub").agg(F.count("*").alias("tally"))
     # of each set the pair that shares most elements; the others only where that leaves lists open
     stars = stars.groupBy("set").agg(F.max_by("hub", F.struct("tally", "hub")).alias("hub"))
-    stars = _near_sketches(stars.select(F.col("hub").alias("a"), F.col("set").alias("b")), distinct)
-    edges = _verified(stars, distinct, docs, size)
+    stars = save(stars.select(F.col("hub").alias("a"), F.col("set").alias("b")))
+    for end in ("a", "b"):
+        stars = attach(stars, roots.withColumnsRenamed({"set": end, "root": f"root_{end}"}), [end], "left", NARROW_ROWS)
+    stars = stars.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    edges = edges.unionByName(_verified(_near_sketches(stars, distinct), distinct, docs, size))
     roots = components(edges).select(F.col("node").alias("set"), "root")
     mixed = save(attach(shared.select("token", "set", "n", "place"), roots, ["set"], "left", NARROW_ROWS).withColumn("root", F.coalesce("root", "set")))
     open_ = save(mixed.groupBy("token").agg(F.count("*").alias("entries"), (F.min("root") != F.max("root")).alias("open")).where("open").select("token", "entries"))
@@ -322,7 +343,7 @@ def _keep_one(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     often = docs.sparkSession.sparkContext.broadcast(_often(texts, size))
     prints = docs.select(id_.alias("id"), key.alias("key"), binary.alias("text")).mapInArrow(_sets(size, often), _SET + docs.schema[id_col].dataType.simpleString())
     low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("low")
-    distinct = save(prints.groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "small", "sketch", "first")], low))
+    distinct = save(prints.groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "small", "sketch", "first")], F.min("fp").alias("fp"), low))
     parts = links(texts, distinct, often, size).withColumnRenamed("node", "set")
     rooted = attach(distinct.select("set", "low"), parts, ["set"], "left", NARROW_ROWS).select("low", F.coalesce("root", "set").alias("root"))
     keys = save(rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("key")).distinct())

@@ -58,6 +58,30 @@ def test_stage_is_brute_force_jaccard(spark):
     assert corpus_pipeline.dedup_near(spark, docs.limit(0), "").count() == 0
 
 
+def test_stage_goes_through_the_byte_position_index(spark, monkeypatch):
+    """What the index links and the sets confirm is not looked for again."""
+    rng = random.Random(8)
+    base = words(rng, 3000).split()
+    texts = [" ".join(base[:-i] if i else base) for i in range(4)] + [words(rng, 60) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    pairs, asked, links, verified = [], [], nearcopies.indexed, nearcopies._verified
+
+    def index(distinct):
+        found = links(distinct)
+        pairs.extend((r["a"], r["b"]) for r in found.collect())
+        return found
+
+    def verify(found, *rest):
+        asked.append(found.count())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(nearcopies, "indexed", index)
+    monkeypatch.setattr(nearcopies, "_verified", verify)
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == brute_force(list(enumerate(texts))) == {0, *range(4, 10)}
+    names = {nearcopies.name_of(nearcopies.shingle_set(t.encode())) for t in texts[:4]}
+    assert len(pairs) == 3 and {x for p in pairs for x in p} == names and asked == [3, 0, 0]
+
+
 @pytest.mark.parametrize("tile", [2, 5])
 def test_tiles_and_often(spark, monkeypatch, tile):
     monkeypatch.setattr(nearcopies, "OFTEN", 2)
