@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from nearwise.llm import minhash, packing, quality, simhash, substrings, toxicity
+from nearwise.plans.tables import work_dir
 from tests.llm.conftest import SCHEMA, rows_of, words
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -463,6 +466,26 @@ def test_every_word_counts(spark, monkeypatch):
         assert few.keys() == all_held.keys() and all(np.allclose(few[k], all_held[k], rtol=0, atol=1e-9) for k in few)
 
 
+def test_words_are_handed_out_for_one_model(spark, monkeypatch, labelled):
+    """Rows with a model are read with that one only, whatever is held and however often they are there; a run leaves
+    no tables behind that nothing reads."""
+    texts = [(i % 150, f"alpha beta {'gamma' if i % 4 < (2 if i % 3 else 3) else 'delta'} w{i % 5}", int(i % 3 == 0)) for i in range(150)]
+    df = spark.createDataFrame(texts + texts[:9], "id long, text string, y int").repartition(3)
+    rows = df.select(F.col("text").cast("binary").alias("text"), (F.when(F.col("id") % 2 == 0, 0).otherwise(2) + F.col("y")).alias("group"))
+    known = toxicity.evidence(*toxicity.counted(rows)).cache()
+    keyed = toxicity._keyed(df, "id", "text")
+    of = lambda rows: {(r["key"], r["more"], r["model"]): r["x"] for r in toxicity.measures(rows, known, toxicity.LEAST).collect()}
+    every = of(keyed)
+    monkeypatch.setattr(toxicity, "MAX_HELD", 0)
+    mine = of(keyed.withColumn("model", F.pmod("id", F.lit(3)).cast("int")))
+    assert len(every) == 450 and len(mine) == 150 and {m for *_, m in mine} == {0, 1, 2}
+    assert all(np.allclose(mine[k], every[k], rtol=0, atol=1e-9) for k in mine)
+    work = Path(urlparse(work_dir(spark)).path).parent
+    before = len(list(work.iterdir()))
+    assert toxicity.score(*labelled).count() == labelled[0].count()
+    assert len(list(work.iterdir())) - before == 5  # labels, evidence, the curve's ids and keys, measures
+
+
 def test_toxicity(labelled, odd, odd_rows, none):
     docs, labels = labelled
     known = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null and doc_id is not null").collect()}
