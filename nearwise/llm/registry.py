@@ -7,7 +7,7 @@ from pathlib import Path
 
 import corpus_pipeline
 
-from . import fixity, lines, minhash, mixing, neighbours, packing, quality, simhash, substrings, toxicity
+from . import fixity, lines, minhash, mixing, neighbours, packing, quality, simhash, substrings, toxicity, whitening
 
 
 def queries() -> dict:
@@ -40,6 +40,7 @@ def _queries() -> dict:
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_fingerprints": minhash.op10_fingerprints,
+        "op11_whitening": whitening.op11_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
