@@ -17,8 +17,8 @@ sorts a part's hashes into buckets, one row of packed numbers a bucket. What is
 known there and sent once, so a hash in a third of all documents costs its bucket one entry a part. A
 bucket finds the hashes that occurred twice and answers the part with their places, packed again; the
 answers of a part come together once more and give one row for each of its documents. The texts' bytes are
-summed first: there is a bucket for every BUCKET_BYTES of them, and at least one a shuffle partition, so what a
-task holds at once does not grow with the corpus. Documents are known by 128 bits of hash of id and text. Text is
+summed first: there is a bucket for every BUCKET_BYTES of them, and at least one a shuffle partition; reducers
+take their buckets one at a time, so what a task holds at once does not grow with the corpus. Documents are known by 128 bits of hash of id and text. Text is
 exchanged only for documents that may have repeats: their keys' bitmap (4 MB, whatever the corpus) is broadcast;
 keys that fall together only cost an exchange.
 
@@ -196,7 +196,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], finish: Callable, most: int | No
         yield out
 
 
-def _by_document(rows: list[tuple]) -> pa.RecordBatch | None:
+def as_u4(places: np.ndarray) -> bytes:
+    return places.astype("<u4").tobytes()
+
+
+def _by_document(rows: list[tuple], encode: Callable[[np.ndarray], bytes]) -> pa.RecordBatch | None:
     """A part's answers -> (key, more, places) of its documents that have any, and of those named."""
     if not rows:
         return None
@@ -208,13 +212,15 @@ def _by_document(rows: list[tuple]) -> pa.RecordBatch | None:
     doc = np.searchsorted(starts, at, "right") - 1
     wanted = np.union1d(np.unique(doc), named)
     low, high = np.searchsorted(doc, wanted), np.searchsorted(doc, wanted, "right")
-    places = [(at[a:b] - starts[d]).astype("<u4").tobytes() for d, a, b in zip(wanted.tolist(), low.tolist(), high.tolist(), strict=True)]
+    places = [encode(at[a:b] - starts[d]) for d, a, b in zip(wanted.tolist(), low.tolist(), high.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(keys[wanted, 0]), pa.array(keys[wanted, 1]), pa.array(places, pa.binary())], ["key", "more", "places"])
 
 
-def repeats(rows: DataFrame, ask: Callable, buckets: int) -> DataFrame:
+def repeats(rows: DataFrame, ask: Callable, buckets: int, encode: Callable[[np.ndarray], bytes] = as_u4) -> DataFrame:
     """ask: batch -> (keys, starts, places, hashes, more hash, documents to name) of each part -> (key,
-    more, places): of every document the places whose hashes occur at least twice among all rows."""
+    more, places): of every document the places whose hashes occur at least twice among all rows. Buckets are dealt to
+    the session's reducers, which read them one at a time."""
+    reducers = partitions(rows.sparkSession)
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,10 +229,10 @@ def repeats(rows: DataFrame, ask: Callable, buckets: int) -> DataFrame:
 
     asked = rows.mapInArrow(asking, _ROW)
     spread = F.when(F.col("bucket") < 0, F.pmod("origin", F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
-    asked = asked.repartition(buckets, spread).sortWithinPartitions("bucket")
+    asked = asked.repartition(reducers, spread).sortWithinPartitions("bucket")
     answered = asked.mapInArrow(lambda batches: _grouped(batches, _answers, -1), _ANSWER)
-    answered = answered.repartition(buckets, "origin").sortWithinPartitions("origin")
-    return answered.mapInArrow(lambda batches: _grouped(batches, _by_document), "key long, more long, places binary")
+    answered = answered.repartition(reducers, "origin").sortWithinPartitions("origin")
+    return answered.mapInArrow(lambda batches: _grouped(batches, lambda parts: _by_document(parts, encode)), "key long, more long, places binary")
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], bytes]]:
