@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearwise.plans.tables import save
 
-__all__ = ["WORD", "BROADCAST_ROWS", "attach", "batches_of", "n_words", "partitions", "row_key", "save", "table"]
+__all__ = ["WORD", "BROADCAST_ROWS", "attach", "batches_of", "n_words", "partitions", "row_key", "save", "table", "tidy_shuffles"]
 
 #: A word is a run of characters other than space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,17 +30,25 @@ def partitions(spark: SparkSession) -> int:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is written inside goes to workers in batches of that many rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def batches_of(spark: SparkSession, rows: int):
+    """What is written inside goes to workers in batches of that many rows."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def tidy_shuffles(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind once it is written."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def row_key(id_: Column, text: Column) -> Column:
     """128 bits of hash of a row's id and text, as 32 digits."""
     halves = F.xxhash64(id_, text), F.xxhash64(F.lit("more"), text, id_)

@@ -7,7 +7,7 @@ from pathlib import Path
 
 import corpus_pipeline
 
-from . import fixity, lines, minhash, mixing, neighbours, packing, quality, search, simhash, substrings, toxicity, whitening
+from . import fixity, lines, minhash, mixing, neighbours, packing, quality, search, simhash, substrings, suffixes, toxicity, whitening
 
 
 def queries() -> dict:
@@ -41,6 +41,7 @@ def _queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_fingerprints": minhash.op10_fingerprints,
         "op11_whitening": whitening.op11_whitening,
+        "op12_suffix_dedup": suffixes.op12_suffix_dedup,
         "op13_search": search.op13_search,
         "pipeline": corpus_pipeline.run,
     }
@@ -53,5 +54,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": lines.OP4_SQL,
         "op5_merkle_audit": fixity.OP5_SQL,
         "op8_neighbours": neighbours.OP8_SQL,
+        "op12_suffix_dedup": suffixes.OP12_SQL,
         "op13_search": search.OP13_SQL,
     }
