@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearwise.functions.geometry import rect
 from nearwise.functions.helpers import round_half_up_from_zero
 
+from nearwise.plans.tables import save
+
 from .index import axis_histogram
 from .layout import parents
+from .ranges import asof_join, prefix_sums
 
 
 def cell(v: Column, size: float) -> Column:
@@ -74,40 +76,95 @@ def regrid(size: float, most: int, least_capacity: int) -> float:
     return max(size / -(-(rate**0.5) // 1), size * 1e-6) if rate > 1 else size
 
 
-def assign_partitions(cells: DataFrame, least: int, most: int) -> DataFrame:
+def assign_partitions(cells: DataFrame, least: int, most: int, ranges: int | None = None) -> DataFrame:
     """Cells in order of (cx, cy), dealt to partitions: a new one begins where the current one has `least`
-    points or would exceed `most`. The rule looks back at where its partition began, so it is one pass
-    over the cells (not the points), a batch at a time in one task that holds two numbers. The cells are counted
-    before they meet there."""
-
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held = -1, 0
-        for batch in batches:
-            ids = []
-            for n in batch["n"].tolist():
-                if held == 0 or held >= least or held + n > most:
-                    part, held = part + 1, n
-                else:
-                    held += n
-                ids.append(part)
-            yield batch.assign(part_id=pd.Series(ids, index=batch.index, dtype="int64"))
-
-    ordered = cells.select("cx", "cy", "n").repartition(1).sortWithinPartitions("cx", "cy")
-    return ordered.mapInPandas(sweep, "cx long, cy long, n long, part_id long")
+    points or would exceed `most`.
+
+    Where a partition that begins at a cell would end depends on prefix sums only, so an as-of join finds for every
+    cell the one where the next partition would begin. Which cells really begin one is the chain of these from the first cell
+    on, followed by doubling: known beginnings jump 1, 2, 4 ... partitions ahead, so the number of rounds is the
+    logarithm of the number of partitions, each a join on whole cell numbers."""
+    one = F.lit(1).cast("long")
+    rows = save(prefix_sums(cells.select("cx", "cy", "n"), ["cx", "cy"], {"i": one, "before": F.col("n")}, ranges))
+    points, count = rows.agg(F.sum("n"), F.count("*")).first()
+    spark = cells.sparkSession
+    # a partition from i on ends before the first cell with `least` points before it, and before the first that ends beyond `most`
+    ends = F.explode(F.array(F.struct(F.lit(True).alias("full"), (F.col("before") + least).alias("reach")), F.struct(F.lit(False).alias("full"), (F.col("before") + most + 1).alias("reach"))))
+    asked = rows.select("i", ends.alias("e")).select("i", "e.full", "e.reach")
+    marks = rows.select(F.col("i").alias("j"), "before").unionByName(spark.createDataFrame([(count, points or 0)], "j long, before long"))
+    met = asof_join(asked, marks, "reach", "before", forward=True, ranges=ranges).select("i", F.when(F.col("full"), F.col("match.j")).otherwise(F.col("match.j") - 1).alias("to"))
+    jump = met.groupBy("i").agg(F.min("to").alias("to")).where("to IS NOT NULL").select("i", F.greatest("to", F.col("i") + 1).alias("to"))
+    jump = save(jump.where(F.col("to") < count))
+    begins = [save(rows.where("i = 0").select("i"))]
+    while True:
+        known = begins[0]
+        for b in begins[1:]:
+            known = known.unionByName(b)
+        ahead = save(known.join(jump, "i").select(F.col("to").alias("i")))
+        if ahead.isEmpty():
+            break
+        begins.append(ahead)
+        jump = save(jump.join(jump.select(F.col("i").alias("to"), F.col("to").alias("further")), "to").select("i", F.col("further").alias("to")))
+    marked = rows.join(known.withColumn("begins", one), "i", "left").withColumn("begins", F.coalesce("begins", F.lit(0).cast("long")))
+    numbered = prefix_sums(marked.select("cx", "cy", "n", "begins"), ["cx", "cy"], {"part_id": F.col("begins")}, ranges)
+    return numbered.select("cx", "cy", "n", (F.col("part_id") + F.col("begins") - 1).alias("part_id"))
+
+
+def room(executors: int, cores: int, memory: int, max_bytes: int = 0) -> int:
+    """Bytes of points that a partition may hold: 300 MB of an executor are set aside, then half of 0.6 x 0.5 of the rest is
+    for the points of its cores."""
+    per_core = int(-(-0.5 * (memory - 300_000_000) * 0.6 * 0.5 // cores))
+    return per_core if max_bytes <= 0 else min(per_core, max_bytes)
 
 
 def capacity(n: int, executors: int, cores: int, memory: int, point_bytes: int, max_bytes: int = 0) -> dict[str, int]:
-    """How many points a partition holds, from executor memory: 300 MB are set aside, then half of 0.6 x 0.5
-    of the rest is for a core's points; partitions are at least enough for all points and at most one
-    fewer than a multiple of all cores."""
-    per_core = int(-(-0.5 * (memory - 300_000_000) * 0.6 * 0.5 // cores))
-    room = per_core if max_bytes <= 0 else min(per_core, max_bytes)
-    fewest = max(1, -(-n * point_bytes // room))
+    """How many points a partition holds, from executor memory (`room`): partitions are at least enough for all
+    points and at most one fewer than a multiple of all cores."""
+    fewest = max(1, -(-n * point_bytes // room(executors, cores, memory, max_bytes)))
     all_cores = executors * cores
     largest = max(fewest, -(-fewest // all_cores) * all_cores - 1)
     return {"min_partitions": fewest, "max_partitions": largest, "min_points": n // largest, "max_points": -(-n // fewest)}
 
 
+def point_bytes(points: DataFrame, *payload: str, sample: float = 1.0, overhead: int = 24) -> int:
+    """Bytes of a row on average, rounded up: what `overhead` says for id and coordinates, and the payload's text."""
+    rows = points.sample(sample, seed=7) if sample < 1 else points
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in payload), F.lit(overhead))
+    total, n = rows.agg(F.sum(width.cast("long")), F.count("*")).first()
+    return -(-total // n) if n else overhead
+
+
+def plan_layout(points: DataFrame, size: float, *, executors: int, cores: int, memory: int, payload: Sequence[str] = (), max_bytes: int = 0, sample: float = 1.0) -> dict:
+    """A layout from what the table holds: `capacity` from the number of points and their measured width, and `grid_dim`,
+    a finer cell size if the fullest cell has more points than the least partition should."""
+    cells = histogram(points, size)
+    n, fullest = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    plan = capacity(n, executors, cores, memory, point_bytes(points, *payload, sample=sample), max_bytes)
+    return plan | {"fullest": fullest, "grid_dim": regrid(size, fullest, plan["min_points"])}
+
+
+def planned_partitions(points: DataFrame, size: float, **resources) -> DataFrame:
+    """cx, cy, n, part_id: cells of the planned size, dealt to partitions of the planned capacity."""
+    plan = plan_layout(points, size, **resources)
+    return assign_partitions(histogram(points, plan["grid_dim"]), max(1, plan["min_points"]), max(1, plan["max_points"]))
+
+
+def refined(points: DataFrame, size: float, most: int, levels: int = 8) -> DataFrame:
+    """level, cx, cy, n and extents: cells of `size`, of which those with more than `most` points are cut into cells of half the size,
+    and so on for at most `levels` levels. Only the points of overfull cells are counted again."""
+    rows, done = points.select("x", "y"), None
+    for level in range(levels + 1):
+        own = save(histogram(rows, size / 2**level))
+        over = F.col("n") > most if level < levels else F.lit(False)
+        kept = own.where(~over).withColumn("level", F.lit(level))
+        done = kept if done is None else done.unionByName(kept)
+        full = own.where(over).select("cx", "cy")
+        if level == levels or full.isEmpty():
+            break
+        rows = with_cells(rows, size / 2**level).join(full, ["cx", "cy"], "left_semi").select("x", "y")
+    return done
+
+
 def estimate_nodes(n: Column, index: str) -> Column:
     """Nodes of an index over n points with 4 points a node."""
     if index == "quadtree":

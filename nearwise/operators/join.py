@@ -10,6 +10,11 @@ right side's density there, as where the sides lie apart; it stops, and its plac
 the leaves all places have a bound of their own. Places then meet points by equi-joins on leaves, a point
 beyond its place's bound is dropped at once, and the k nearest are kept by rank, which Spark limits before
 its exchange. Bounds use true extents, so the result is exact; ties go to the smaller right id.
+
+Of a place on the right where more rows lie than an asker can take, only the least ids are kept, so a place with
+half of all rows costs its neighbours k pairs each. Where a row's own id is left out and that id repeats on the right,
+the place asks together with its id: nodes count without the id's points, so the bounds are no wider than those of
+other places, and nodes with nothing else are dropped.
 """
 
 from __future__ import annotations
@@ -42,11 +47,6 @@ def as_points(df: DataFrame, on: tuple[str, str, str] = ("id", "x", "y")) -> Dat
     return rows.where(finite[0] & finite[1])
 
 
-def _places(points: DataFrame) -> DataFrame:
-    """The distinct places of points, as px and py."""
-    return points.select(F.col("x").alias("px"), F.col("y").alias("py")).distinct()
-
-
 def _right(points: DataFrame) -> DataFrame:
     return points.select(F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y"))
 
@@ -55,9 +55,25 @@ def _d2() -> Column:
     return dist2(F.col("px"), F.col("py"), F.col("right_x"), F.col("right_y")).alias("d2")
 
 
-def _pruned(pairs: DataFrame, asker: Sequence[str], box: Column, k: int) -> DataFrame:
+def _limited(points: DataFrame, wanted: int, apart: bool = False) -> tuple[DataFrame, int]:
+    """The points without those of a place that no asker for `wanted` can take, and their number: beyond the least ids, or
+    with `apart`, when askers leave out one id each, beyond the least ids of which none has more than `wanted`. Places are
+    counted first; where none has more, nothing is exchanged for it."""
+    upto = 2 * wanted if apart else wanted
+    most, n = points.groupBy("x", "y").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (most or 0) <= upto:
+        return points, n or 0
+    for place, least in ((["x", "y", "id"], wanted), (["x", "y"], upto)) if apart else ((["x", "y"], upto),):
+        points = points.withColumn("at", F.row_number().over(Window.partitionBy(*place).orderBy("id"))).where(F.col("at") <= least).drop("at")
+    points = save(points)
+    return points, points.count()
+
+
+def _pruned(pairs: DataFrame, asker: Sequence[str], box: Column, k: int, own: DataFrame | None = None) -> DataFrame:
     """Pairs of an asker with nodes (node, n, node_box) -> those that may hold one of its k nearest, with
-    `bound` and `met`, the number of the asker's nodes before the pruning."""
+    `bound`. `own` (node, me, mine) has how many of a node's points bear the asker's id `me`, which do not count."""
+    if own is not None:
+        pairs = pairs.join(own, ["node", "me"], "left").withColumn("n", F.col("n") - F.coalesce("mine", F.lit(0))).where(F.col("n") > 0).drop("mine")
     own = Window.partitionBy(*asker)
     pairs = pairs.withColumns({"gap": rect_gap2(box, F.col("node_box")), "reach": rect_reach2(box, F.col("node_box"))})
     pairs = pairs.withColumn("held", F.sum("n").over(own.orderBy("reach")))
@@ -75,22 +91,24 @@ def _down(pairs: DataFrame, level: DataFrame, keep: Sequence[str]) -> DataFrame:
     return pairs.select(*keep, F.col("node").alias("up")).join(level, "up").drop("up")
 
 
-def candidates(left_cells: DataFrame, right_levels: list[DataFrame], bits: list[int], k: int, spread: int | None = None) -> list[DataFrame]:
+def candidates(left_cells: DataFrame, right_levels: list[DataFrame], bits: list[int], k: int, spread: int | None = None, own: list[DataFrame] | None = None) -> list[DataFrame]:
     """Left cells (node, box) and the right side's levels, root first; `bits`: of each step down. For each
     level the pairs of left cells with the nodes (left_node, left_box, node, n, node_box, bound) that may hold one of
     a cell's points' k nearest, of the cells that stop there: with more than `spread` nodes, or at the leaves
-    (the last level), where all do that are left. Without `spread` only the last level has pairs."""
-    asks = left_cells.select(F.col("node").alias("left_node"), F.col("box").alias("left_box"))
+    (the last level), where all do that are left. Without `spread` only the last level has pairs. With `own`, the levels'
+    counts by id, cells have an id `me` whose points do not count."""
+    cell = ["left_node", "me"] if own else ["left_node"]
+    asks = left_cells.select(F.col("node").alias("left_node"), F.col("box").alias("left_box"), *cell[1:])
     pairs = asks.crossJoin(F.broadcast(right_levels[0].select("node", "n", F.col("box").alias("node_box"))))  # the root is one row
     stopped = []
     for depth, level in enumerate(right_levels):
         if depth:
-            pairs = _down(pairs, _level(level, bits[depth - 1]), ("left_node", "left_box"))
-        pairs = _pruned(pairs, ["left_node"], F.col("left_box"), k)
+            pairs = _down(pairs, _level(level, bits[depth - 1]), (*cell, "left_box"))
+        pairs = _pruned(pairs, cell, F.col("left_box"), k, own[depth] if own else None)
         if spread is None or depth == len(right_levels) - 1:
             stopped.append(pairs)
             continue
-        pairs = save(pairs.withColumn("met", F.count("*").over(Window.partitionBy("left_node"))))
+        pairs = save(pairs.withColumn("met", F.count("*").over(Window.partitionBy(*cell))))
         stopped.append(pairs.where(F.col("met") > spread).drop("met"))
         pairs = pairs.where(F.col("met") <= spread).drop("met")
     return stopped
@@ -112,7 +130,8 @@ def leaf_size(n: int, points: DataFrame, k: int, per_leaf: int, grid_dim: float
 
 def meetings(places: DataFrame, right: DataFrame, k: int, kind: str, n_places: int, n_right: int, per_leaf: int) -> DataFrame:
     """px, py, bound and the right points (right_id, right_x, right_y) of the leaves that may hold one of the
-    place's k nearest: what the cell join compares."""
+    place's k nearest: what the cell join compares. Places with an id `me` ask for points with other ids."""
+    who = ["px", "py", "me"] if "me" in places.columns else ["px", "py"]
     plane = layout(right, kind, n_right, per_leaf)
     right = right.withColumn("path", plane.path(F.col("x"), F.col("y")))
     levels, bits, depth = [save(nodes(right, plane.depth))], [], plane.depth
@@ -121,21 +140,52 @@ def meetings(places: DataFrame, right: DataFrame, k: int, kind: str, n_places: i
         levels.append(parents(levels[-1], step))
         bits.append(step)
         depth -= step
-    levels, bits = levels[::-1], bits[::-1]
-    own = layout(places.toDF("x", "y"), "kdtree", n_places, LEFT_CELL)
-    asks = save(places.withColumn("left_node", own.path(F.col("px"), F.col("py"))))
-    cells = asks.groupBy(F.col("left_node").alias("node")).agg(rect(F.min("px"), F.min("py"), F.max("px"), F.max("py")).alias("box"))
+    levels, bits, mine = levels[::-1], bits[::-1], None
+    if "me" in who:
+        asked = places.select(F.col("me").alias("id")).distinct()
+        mine = [save(right.join(asked, "id").groupBy(F.col("path").alias("node"), F.col("id").alias("me")).agg(F.count("*").alias("mine")))]
+        for step in bits[::-1]:
+            mine.append(mine[-1].groupBy(F.shiftright("node", step).alias("node"), "me").agg(F.sum("mine").alias("mine")))
+        mine = mine[::-1]
+    cut = layout(places.select(F.col("px").alias("x"), F.col("py").alias("y")), "kdtree", n_places, LEFT_CELL)
+    asks = save(places.withColumn("left_node", cut.path(F.col("px"), F.col("py"))))
+    cells = asks.groupBy(F.col("left_node").alias("node"), *who[2:]).agg(rect(F.min("px"), F.min("py"), F.max("px"), F.max("py")).alias("box"))
     found = None
-    for depth, stopped in enumerate(candidates(cells, levels, bits, k, SPREAD)):
+    for depth, stopped in enumerate(candidates(cells, levels, bits, k, SPREAD, mine)):
         if depth < len(levels) - 1 and stopped.isEmpty():
             continue
         point = rect(F.col("px"), F.col("py"), F.col("px"), F.col("py"))
-        pairs = _pruned(asks.join(stopped.drop("left_box", "bound"), "left_node").drop("left_node"), ["px", "py"], point, k)
+        pairs = asks.join(stopped.drop("left_box", "bound"), ["left_node", *who[2:]]).drop("left_node")  # whose counts are without `me`
+        pairs = _pruned(pairs, who, point, k)
         for below in range(depth + 1, len(levels)):
-            pairs = _pruned(_down(pairs, _level(levels[below], bits[below - 1]), ("px", "py")), ["px", "py"], point, k)
-        pairs = pairs.select("px", "py", "node", "bound")
+            pairs = _pruned(_down(pairs, _level(levels[below], bits[below - 1]), who), who, point, k, mine[below] if mine else None)
+        pairs = pairs.select(*who, "node", "bound")
         found = pairs if found is None else found.unionByName(pairs)
-    return found.join(right.select(F.col("path").alias("node"), F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y")), "node").drop("node")
+    met = found.join(right.select(F.col("path").alias("node"), F.col("id").alias("right_id"), F.col("x").alias("right_x"), F.col("y").alias("right_y")), "node").drop("node")
+    return met.where(_not_own()) if mine else met
+
+
+def _not_own() -> Column:
+    return ~F.col("right_id").eqNullSafe(F.col("me"))
+
+
+def _lists(places: DataFrame, r: DataFrame, wanted: int, who: list[str], index: str, grid_dim: float | None, max_bytes: int, direct_pairs: int, per_leaf: int) -> DataFrame:
+    """The askers `who` with `list`, their `wanted` nearest right points in order."""
+    r, n_right = _limited(r, wanted, len(who) > 2)
+    if index == "brute" and n_right > DIRECT_ROWS:
+        raise ValueError(f"brute force takes at most {DIRECT_ROWS} right rows")
+    n_places = places.count()
+    if n_right <= DIRECT_ROWS and (index == "brute" or n_right * n_places <= direct_pairs):
+        pairs = places.crossJoin(F.broadcast(_right(r))).withColumn("d2", _d2())
+        pairs = pairs.where(_not_own()) if len(who) > 2 else pairs
+    else:
+        size = leaf_size(n_right, r, wanted, per_leaf, grid_dim, max_bytes)
+        pairs = meetings(places, r, wanted, index, n_places, n_right, size).withColumn("d2", _d2()).where(F.col("d2") <= F.col("bound"))
+    near = Window.partitionBy(*who).orderBy("d2", "right_id")
+    top = pairs.select(*who, "d2", "right_id", "right_x", "right_y").withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= wanted)
+    one = F.struct("rank", F.sqrt("d2").alias("distance"), F.col("right_id").alias("id"), F.col("right_x").alias("x"), F.col("right_y").alias("y"))
+    lists = top.groupBy(*who).agg(F.array_sort(F.collect_list(one)).alias("ranked"))  # `wanted` at most
+    return lists.select(*who, F.transform("ranked", lambda n: F.struct(n.distance.alias("distance"), n.id.alias("id"), n.x.alias("x"), n.y.alias("y"))).alias("list"))
 
 
 def knn_join(
@@ -156,30 +206,26 @@ def knn_join(
     if index not in INDEXES:
         raise ValueError(f"index must be one of {INDEXES}")
     r = as_points(right, right_on)
-    places = _places(as_points(left, left_on))
-    n_right, wanted = r.count(), k
-    if exclude_self:
-        most = r.where(F.col("id").isNotNull()).groupBy("id").count().agg(F.max("count")).first()[0]
-        wanted = k + (most or 0)
-    if index == "brute" and n_right > DIRECT_ROWS:
-        raise ValueError(f"brute force takes at most {DIRECT_ROWS} right rows")
-    n_places = places.count()
-    if n_right <= DIRECT_ROWS and (index == "brute" or n_right * n_places <= direct_pairs):
-        pairs = places.crossJoin(F.broadcast(_right(r))).withColumn("d2", _d2())
-    else:
-        size = leaf_size(n_right, r, wanted, per_leaf, grid_dim, partition_max_bytes)
-        pairs = meetings(places, r, wanted, index, n_places, n_right, size).withColumn("d2", _d2()).where(F.col("d2") <= F.col("bound"))
-    near = Window.partitionBy("px", "py").orderBy("d2", "right_id")
-    top = pairs.select("px", "py", "d2", "right_id", "right_x", "right_y").withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= wanted)
-    one = F.struct("rank", F.sqrt("d2").alias("distance"), F.col("right_id").alias("id"), F.col("right_x").alias("x"), F.col("right_y").alias("y"))
-    lists = top.groupBy("px", "py").agg(F.array_sort(F.collect_list(one)).alias("ranked"))  # `wanted` at most
-    lists = lists.select("px", "py", F.transform("ranked", lambda n: F.struct(n.distance.alias("distance"), n.id.alias("id"), n.x.alias("x"), n.y.alias("y"))).alias("list"))
     rows = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"), *[F.col(f"`{c}`").alias(a) for c, a in zip(left_on, ("left_id", "left_x", "left_y"), strict=True)])
-    same = (F.col("left_x").cast("double") == F.col("px")) & (F.col("left_y").cast("double") == F.col("py"))
-    found = F.coalesce("list", F.array().cast(lists.schema["list"].dataType))
+    asking = [(rows, k)]
     if exclude_self:
-        found = F.slice(F.filter(found, lambda n: ~n.id.eqNullSafe(F.col("left_id")) | n.id.isNull()), 1, k)
-    rows = rows.join(lists, same, "left").withColumn("found", found)
+        # an id that the right side has once costs one neighbour more; one that repeats there asks for itself
+        repeated = save(r.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1").select(F.col("id").alias("twin")))
+        asking = [(rows.join(repeated, F.col("left_id") == F.col("twin"), "left_anti"), k + 1)]
+        if not repeated.isEmpty():
+            asking.append((rows.join(repeated, F.col("left_id") == F.col("twin"), "left_semi"), k))
+    done = None
+    for at, (some, wanted) in enumerate(asking):
+        who = ["px", "py", "me"] if at else ["px", "py"]
+        places = as_points(some, ("left_id", "left_x", "left_y")).select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("id").alias("me"))
+        lists = _lists(places.select(*who).distinct(), r, wanted, who, index, grid_dim, partition_max_bytes, direct_pairs, per_leaf)
+        same = (F.col("left_x").cast("double") == F.col("px")) & (F.col("left_y").cast("double") == F.col("py"))
+        found = F.coalesce("list", F.array().cast(lists.schema["list"].dataType))
+        if exclude_self and not at:
+            found = F.slice(F.filter(found, lambda n: ~n.id.eqNullSafe(F.col("left_id")) | n.id.isNull()), 1, k)
+        some = some.join(lists, same & (F.col("left_id") == F.col("me")) if at else same, "left").select("row", "left_id", found.alias("found"))
+        done = some if done is None else done.unionByName(some)
+    rows = done
     if output == "exploded":
         rows = rows.select("left_id", F.posexplode("found").alias("at", "one"))
         return rows.select("left_id", (F.col("at") + 1).alias("rank"), F.col("one.id").alias("right_id"), F.col("one.distance").alias("distance"))

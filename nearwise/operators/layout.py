@@ -59,7 +59,8 @@ def layout(points: DataFrame, kind: str, n: int, per_leaf: int) -> Layout:
     if kind == "quadtree":
         b = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
         return Layout(depth if b[0] is not None else 0, [], [tuple(map(float, b)) if b[0] is not None else (0.0, 0.0, 0.0, 0.0)])
-    sample = points.select("x", "y").sample(fraction=min(1.0, 2 * SAMPLE / max(1, n)), seed=7).limit(SAMPLE).toPandas()
+    # the least of random numbers, so that all files have their share
+    sample = points.select("x", "y", F.rand(7).alias("draw")).where(F.col("draw") <= min(1.0, 2 * SAMPLE / max(1, n))).orderBy("draw").limit(SAMPLE).toPandas()
     groups, splits = [sample], []
     for d in range(min(depth, KD_DEPTH)):
         axis, below = "xy"[d % 2], []

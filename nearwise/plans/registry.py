@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearwise.functions import geometry as g
 from nearwise.functions import helpers as h
-from nearwise.operators import grid, index, join
+from nearwise.operators import grid, index, join, ranges
 from nearwise.plans import tables
 from nearwise.sources import points as text
 
@@ -23,6 +23,8 @@ VIEWS = {
     "cus": ("customer", "c_custkey", "c_acctbal", "CAST(c_nationkey AS DOUBLE) * CAST(400 AS DOUBLE)"),
     "prt": ("part", "p_partkey", "CAST(p_size AS DOUBLE) * CAST(2 AS DOUBLE)", "p_retailprice"),
     "rep": ("customer", "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey % 7 END", "CAST(c_nationkey % 5 AS DOUBLE) * CAST(1500 AS DOUBLE)", "CAST(c_nationkey AS DOUBLE) * CAST(300 AS DOUBLE)"),
+    "hot": ("part", "p_partkey", "CASE WHEN p_partkey % 2 = 0 THEN CAST(3000 AS DOUBLE) ELSE CAST(p_size AS DOUBLE) * CAST(200 AS DOUBLE) END", "CASE WHEN p_partkey % 2 = 0 THEN CAST(4000 AS DOUBLE) ELSE p_retailprice * CAST(5 AS DOUBLE) END"),
+    "trj": ("part", "CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 40 END", "CAST(p_size AS DOUBLE) * CAST(2 AS DOUBLE)", "p_retailprice"),
     "nat": ("nation", "CAST(n_nationkey AS BIGINT)", "CAST(n_nationkey AS DOUBLE) * CAST(300 AS DOUBLE)", "CAST(n_regionkey AS DOUBLE) * CAST(2000 AS DOUBLE)"),
     "emb": ("embeddings", "vec_id", "CAST(embedding[{0}] AS DOUBLE)", "CAST(embedding[{1}] AS DOUBLE)"),
 }
@@ -74,6 +76,21 @@ _knn("knn_self_join", "prt", "prt", 4, direct_pairs=0)
 _knn("knn_self_join_others", "prt", "prt", 4, direct_pairs=0, exclude_self=True)
 
 
+_knn("knn_join_hot", "cus", "hot", 10, direct_pairs=0)
+
+
+@query(
+    "knn_self_join_tracks",
+    """SELECT left_id, rank, right_id, distance FROM (
+  SELECT left_id, right_id, sqrt(d2) AS distance, CAST(row_number() OVER (PARTITION BY i ORDER BY d2, right_id) AS INTEGER) AS rank
+  FROM (SELECT i, l.id AS left_id, r.id AS right_id, (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) AS d2 FROM (SELECT *, row_number() OVER () AS i FROM trj) l JOIN trj r ON l.id <> r.id))
+WHERE rank <= 4""",
+)
+def _(s, d):
+    """Points of tracks, whose ids repeat, among those of other tracks; a third of all rows are one track's."""
+    return join.knn_join(points(s, d, "trj"), points(s, d, "trj"), 4, output="exploded", direct_pairs=0, exclude_self=True)
+
+
 @query(
     "knn_join_repeats",
     """SELECT coalesce(left_id, -1) AS left_id, rank, right_id, distance FROM (
@@ -337,7 +354,18 @@ query("axis_bins_distinct", "SELECT count(DISTINCT floor((y - low) / 500.0::DOUB
 # -- planning, text and helpers -----------------------------------------------------------------------------
 
 
-@query("plan_capacity", "SELECT 1::BIGINT AS min_partitions, 19::BIGINT AS max_partitions, n // 19 AS min_points, n AS max_points FROM (SELECT count(*) AS n FROM cus)")
+#: For 4 executors of 5 cores and 4 GB: a core's share of memory, and partitions from it.
+_ROOM = "CAST(ceil(0.5::DOUBLE * (4000000000 - 300000000) * 0.6::DOUBLE * 0.5::DOUBLE / 5) AS BIGINT)"
+
+
+def _plan_sql(width: str, view: str = "cus", room: str = _ROOM) -> str:
+    return f"""
+w AS (SELECT count(*) AS n, greatest(1, (count(*) * {width} + {room} - 1) // {room}) AS fewest FROM {view}),
+plan AS (SELECT *, n // max_partitions AS min_points, (n + min_partitions - 1) // min_partitions AS max_points FROM (
+  SELECT n, CAST(fewest AS BIGINT) AS min_partitions, CAST(greatest(fewest, (fewest + 19) // 20 * 20 - 1) AS BIGINT) AS max_partitions FROM w))"""
+
+
+@query("plan_capacity", "SELECT min_partitions, max_partitions, min_points, max_points FROM plan /* cus */", _plan_sql("200").strip())
 def _(s, d):
     plan = grid.capacity(points(s, d, "cus").count(), executors=4, cores=5, memory=4_000_000_000, point_bytes=200)
     return s.createDataFrame([plan], "min_partitions long, max_partitions long, min_points long, max_points long")
