@@ -6,12 +6,14 @@ q in -127..127 and r its rounding residual. A tile of int8 products (exact in fl
 dimensions, float64 beyond) gives s_a s_b (q_a . q_b), which misses the inner product by at most
 |s_a q_a| |r_b| + |r_a| |b|. A pair survives if its upper bound reaches the query's k-th greatest lower
 bound in the tile; survivors are recomputed in double, component by component in order, from the original
-vectors. Each tile gives k results a query, and heaps merge the tiles' sorted lists. Nothing is missed.
+vectors. Each tile gives k results a query, and heaps merge the tiles' sorted lists. Nothing is missed: pairs whose
+products might overflow (norms whose product is 1e307 or more) have no bounds and all survive.
 
 Defined cases: vectors that are null, empty, zero, or have null or non-finite components take no part,
 nor do rows without id; rows of one id are rows of their own: each is a query (their results have one query_id, each
 with its own ranks) and each is a candidate of all but itself; only vectors of one length compare; ties go to the
-smaller id; other columns are ignored.
+smaller id; a product beyond a double is infinite, one whose sum meets infinities of both signs is NaN, which ranks
+before all others, as in SQL; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ def _valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """v, rows of doubles -> s * q, |s * q|, |r|, |v|, of which s * q is kept as q and s."""
     scale = np.abs(v).max(axis=1) / 127
@@ -44,6 +47,7 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q.astype(np.int8), scale, np.linalg.norm(v - q * scale[:, None], axis=1), np.linalg.norm(v, axis=1)
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def tile(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, step: int = STEP):
     """Yields for each query its row and its k best of the block but that row: ids and scores, best first."""
     vq, vs, vr, vn = quantise(vectors)
@@ -56,8 +60,10 @@ def tile(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids:
         near = (q.astype(exact) @ right).astype(float) * (s[:, None] * vs[None, :])
         # |s q| <= |v| + |r|; the last factor covers rounding in double
         slack = ((n + r)[:, None] * vr[None, :] + r[:, None] * vn[None, :]) * (1 + 1e-9) + (n[:, None] * vn[None, :]) * 1e-12
-        upper = near + slack
-        near -= slack
+        # products below 1e-300 are all alike here; where sums might overflow, nothing is known but by the product itself
+        upper, near = near + (slack + 1e-300), near - (slack + 1e-300)
+        unknown = ~((n[:, None] * vn[None, :] < 1e307) & np.isfinite(upper) & np.isfinite(near))
+        upper[unknown], near[unknown] = np.inf, -np.inf
         other = own[:, None] != rows[None, :]
         near[~other] = -np.inf
         floor = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(a), -np.inf)
@@ -65,7 +71,7 @@ def tile(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids:
         score = np.zeros(len(i))
         for c in range(a.shape[1]):
             score += a[i, c] * vectors[j, c]
-        order = np.lexsort((ids[j], -score, i))
+        order = np.lexsort((ids[j], -score, ~np.isnan(score), i))
         i, j, score = i[order], j[order], score[order]
         bounds = np.searchsorted(i, np.arange(len(a) + 1))
         for row in range(len(a)):
@@ -120,7 +126,7 @@ def _merge(k: int):
 
         def best():
             found = islice(heapq.merge(*lists), k)
-            return [(query, rank, id_, -score) for rank, (score, id_) in enumerate(found, 1)]
+            return [(query, rank, id_, -score if real else float("nan")) for rank, (real, score, id_) in enumerate(found, 1)]
 
         for batch in batches:
             rows = []
@@ -128,7 +134,7 @@ def _merge(k: int):
                 if row != last:
                     rows += best()
                     query, last, lists = q, row, []
-                lists.append([(-s, i) for s, i in zip(scores, ids, strict=True)])
+                lists.append([(s == s, -s if s == s else 0.0, i) for s, i in zip(scores, ids, strict=True)])
                 if len(lists) > 64:
                     lists = [list(islice(heapq.merge(*lists), k))]
             yield _rows(rows)

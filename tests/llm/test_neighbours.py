@@ -23,6 +23,20 @@ def brute(rows, k):
     return out
 
 
+def test_extreme_scales(spark):
+    """Large components overflow, small ones vanish, and both stand beside ordinary ones: no neighbour is missed."""
+    rng = np.random.default_rng(6)
+    for scales in ((1e160,), (1e-170,), (1e-310,), (1e160, 1.0, 1e-160, 1e-310, 1e300)):
+        rows = [(i, [float(c) * scales[i % len(scales)] for c in v]) for i, v in enumerate(rng.normal(size=(120, 8)))]
+        got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20).collect()
+        order = lambda s: (s == s, -s if s == s else 0.0)
+        want = Counter()
+        for q, a in rows[::20]:
+            scored = sorted((*order(sum_in_order(a, b)), i) for i, b in rows if i != q)
+            want.update((q, n, i) for n, (_, _, i) in enumerate(scored[:20], 1))
+        assert Counter((r["query_id"], r["rank"], r["vec_id"]) for r in got) == want
+
+
 def sum_in_order(a, b):
     total = 0.0
     for x, y in zip(a, b, strict=True):
