@@ -56,8 +56,10 @@ GROUPS, MODELS = 4, ((2, 3), (0, 1), (0, 1, 2, 3))
 #: The model that all documents are read with.
 ALL = 2
 MEASURES = 4
+#: Documents that counting workers get at once, whose counts are sent on together.
+COUNT_BATCH = 2000
 #: Rows of evidence that readers of documents hold; documents that workers get at once; how fine counts are told apart.
-MAX_HELD, BATCH, STEPS = 1 << 20, 2000, 8
+MAX_HELD, BATCH, STEPS = 1 << 20, 500, 8
 _KINDS = mix(np.arange(WHOLE + 1, dtype=np.uint64))
 
 
@@ -110,8 +112,9 @@ def counted(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     beginnings (key, n0 .. n3), and of what follows each, by model, the discounted counts of the classes (k) and
     the number of different ones (d). The first of the list is that of no bytes. Written."""
     sums = [F.sum(F.when(F.col("group") == g, F.col("seen")).otherwise(0)).alias(f"n{g}") for g in range(GROUPS)]
-    words = rows.mapInArrow(_count, "whole long, first long, size int, group int, seen long")
-    words = save(words.groupBy("whole", "first", "size").agg(*sums))
+    with batches_of(rows.sparkSession, COUNT_BATCH):
+        words = rows.mapInArrow(_count, "whole long, first long, size int, group int, seen long")
+        words = save(words.groupBy("whole", "first", "size").agg(*sums))
     above = [F.sum(c).alias(c) for c in _COUNTS]
     above += [F.sum(F.greatest(_n(MODELS[m], c) - CLASS_DISCOUNT, F.lit(0.0))).alias(f"k{m}{c}") for m in range(len(MODELS)) for c in (0, 1)]
     above += [F.count_if(_n(model) > 0).alias(f"d{m}") for m, model in enumerate(MODELS)]
