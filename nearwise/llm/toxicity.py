@@ -48,7 +48,7 @@ from .common import attach, batches_of, save
 from .logistic import Logistic, fit
 from .minhash import mix
 
-PREFIX, DISCOUNT, CLASS_DISCOUNT, LEAST, MAX_CURVE, TOXIC_AT, LABELS_BROADCAST = 8, 0.75, 3.0, 0.0, 20_000, 0.7, 300_000
+PREFIX, DISCOUNT, CLASS_DISCOUNT, LEAST, MAX_CURVE, TOXIC_AT, LABELS_BROADCAST, TABLE_BROADCAST = 8, 0.75, 3.0, 0.0, 20_000, 0.7, 300_000, 20_000
 #: The kind of a whole word; beginnings have their number of bytes.
 WHOLE, FILTER_BITS = PREFIX + 1, 25
 #: Counts by half and class; each half is read with the other's, and all documents with both.
@@ -174,7 +174,7 @@ def evidence(words: DataFrame, levels: list[DataFrame]) -> DataFrame:
         else:
             last = F.shiftrightunsigned("key", 8 * (kind - 1)).bitwiseAND(F.lit(255).cast("long")).cast("int")
             up = F.col("key").bitwiseAND(F.lit(_mask(kind - 1)).cast("long")).alias("up")
-            rows = attach(level.where(often).withColumn("up", up), ups, ["up"])
+            rows = attach(level.where(often).withColumn("up", up), ups, ["up"], limit=TABLE_BROADCAST)
             rows = rows.select("key", *_COUNTS, *_OWN, *_TYPES, *[(F.col(f"c{m}") + step(m, last)).alias(f"c{m}") for m in three])
             level = rows.select("key", *_COUNTS, *held, *[f"c{m}" for m in three])
         level = save(level)
@@ -185,7 +185,7 @@ def evidence(words: DataFrame, levels: list[DataFrame]) -> DataFrame:
         ended = words.where(often & (F.col("size") == kind if kind < PREFIX else F.col("size") >= PREFIX)).withColumn("up", F.col("first"))
         if kind:
             last = F.when(F.col("size") > PREFIX, 257).otherwise(256)
-            ended = attach(ended, ups, ["up"])
+            ended = attach(ended, ups, ["up"], limit=TABLE_BROADCAST)
             found.append(ended.select(F.lit(WHOLE).alias("kind"), F.col("whole").alias("key"), "first", _n(MODELS[-1]).alias("seen"), *[(F.col(f"c{m}") + step(m, last)).alias(f"e{m}") for m in three]))
     out = save(reduce(DataFrame.unionByName, found))
     discard(*written)
@@ -377,7 +377,7 @@ def _measures(rows: DataFrame, known: DataFrame, least: float) -> DataFrame:
     three = [f"e{m}" for m in range(len(MODELS))]
     last = asked.join(known.drop("seen"), ["kind", "key", "first"]).groupBy("whole", "own").agg(F.max_by(F.struct(*three), "kind").alias("e"))
     last = save(last.select("whole", F.col("own").alias("first"), "e.*").where(_clear(least)))
-    words = attach(words.select("at", "model", "times", "whole", "first"), last, ["whole", "first"])
+    words = attach(words.select("at", "model", "times", "whole", "first"), last, ["whole", "first"], limit=TABLE_BROADCAST)
     words = words.select("at", F.element_at(F.array(*three), F.col("model") + 1).alias("e"), "times").where(F.abs("e") >= least)
     parts = found.where("n > 0").select("at", "key", "more", "model", "n", "different", "part")
     both = parts.withColumns({"e": F.lit(None).cast("double"), "times": F.lit(None).cast("int")}).unionByName(words, allowMissingColumns=True)
