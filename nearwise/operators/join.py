@@ -20,6 +20,7 @@ other places, and nodes with nothing else are dropped.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from nearwise.functions.geometry import dist2, rect, rect_gap2, rect_reach2
 from nearwise.plans.tables import save
 
-from .layout import layout, nodes, parents
+from .layout import Layout, layout, nodes, parents
 
 #: Pairs up to which points are compared directly, and right rows up to which those are broadcast for it.
 DIRECT_PAIRS, DIRECT_ROWS = 1_000_000, 200_000
@@ -128,19 +129,37 @@ def leaf_size(n: int, points: DataFrame, k: int, per_leaf: int, grid_dim: float
     return max(per_leaf, k, 1)
 
 
-def meetings(places: DataFrame, right: DataFrame, k: int, kind: str, n_places: int, n_right: int, per_leaf: int) -> DataFrame:
+@dataclass
+class RightIndex:
+    """Points (id, x, y, path) and the levels of nodes above them, root first; `bits`: of each step down."""
+
+    points: DataFrame
+    plane: Layout
+    levels: list[DataFrame]
+    bits: list[int]
+
+
+def levels_of(leaves: DataFrame, depth: int) -> tuple[list[DataFrame], list[int]]:
+    """Of a written table of leaves (node, n, box): levels and bits, root first."""
+    levels, bits = [leaves], []
+    while depth:
+        bits.append(min(STEP, depth))
+        levels.append(parents(levels[-1], bits[-1]))
+        depth -= bits[-1]
+    return levels[::-1], bits[::-1]
+
+
+def right_index(right: DataFrame, kind: str, n_right: int, per_leaf: int) -> RightIndex:
+    plane = layout(right, kind, n_right, per_leaf)
+    right = right.withColumn("path", plane.path(F.col("x"), F.col("y")))
+    return RightIndex(right, plane, *levels_of(save(nodes(right, plane.depth)), plane.depth))
+
+
+def meetings(places: DataFrame, index: RightIndex, k: int, n_places: int) -> DataFrame:
     """px, py, bound and the right points (right_id, right_x, right_y) of the leaves that may hold one of the
     place's k nearest: what the cell join compares. Places with an id `me` ask for points with other ids."""
     who = ["px", "py", "me"] if "me" in places.columns else ["px", "py"]
-    plane = layout(right, kind, n_right, per_leaf)
-    right = right.withColumn("path", plane.path(F.col("x"), F.col("y")))
-    levels, bits, depth = [save(nodes(right, plane.depth))], [], plane.depth
-    while depth:
-        step = min(STEP, depth)
-        levels.append(parents(levels[-1], step))
-        bits.append(step)
-        depth -= step
-    levels, bits, mine = levels[::-1], bits[::-1], None
+    right, levels, bits, mine = index.points, index.levels, index.bits, None
     if "me" in who:
         asked = places.select(F.col("me").alias("id")).distinct()
         mine = [save(right.join(asked, "id").groupBy(F.col("path").alias("node"), F.col("id").alias("me")).agg(F.count("*").alias("mine")))]
@@ -169,18 +188,20 @@ def _not_own() -> Column:
     return ~F.col("right_id").eqNullSafe(F.col("me"))
 
 
-def _lists(places: DataFrame, r: DataFrame, wanted: int, who: list[str], index: str, grid_dim: float | None, max_bytes: int, direct_pairs: int, per_leaf: int) -> DataFrame:
+def _lists(places: DataFrame, r: DataFrame, built: RightIndex | None, wanted: int, who: list[str], index: str, grid_dim: float | None, max_bytes: int, direct_pairs: int, per_leaf: int) -> DataFrame:
     """The askers `who` with `list`, their `wanted` nearest right points in order."""
-    r, n_right = _limited(r, wanted, len(who) > 2)
+    r, n_right = _limited(r, wanted, len(who) > 2)  # a node's count beyond what is kept there changes no bound
     if index == "brute" and n_right > DIRECT_ROWS:
         raise ValueError(f"brute force takes at most {DIRECT_ROWS} right rows")
     n_places = places.count()
-    if n_right <= DIRECT_ROWS and (index == "brute" or n_right * n_places <= direct_pairs):
+    if built is not None:
+        pairs = meetings(places, replace(built, points=r), wanted, n_places).withColumn("d2", _d2()).where(F.col("d2") <= F.col("bound"))
+    elif n_right <= DIRECT_ROWS and (index == "brute" or n_right * n_places <= direct_pairs):
         pairs = places.crossJoin(F.broadcast(_right(r))).withColumn("d2", _d2())
         pairs = pairs.where(_not_own()) if len(who) > 2 else pairs
     else:
         size = leaf_size(n_right, r, wanted, per_leaf, grid_dim, max_bytes)
-        pairs = meetings(places, r, wanted, index, n_places, n_right, size).withColumn("d2", _d2()).where(F.col("d2") <= F.col("bound"))
+        pairs = meetings(places, right_index(r, index, n_right, size), wanted, n_places).withColumn("d2", _d2()).where(F.col("d2") <= F.col("bound"))
     near = Window.partitionBy(*who).orderBy("d2", "right_id")
     top = pairs.select(*who, "d2", "right_id", "right_x", "right_y").withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= wanted)
     one = F.struct("rank", F.sqrt("d2").alias("distance"), F.col("right_id").alias("id"), F.col("right_x").alias("x"), F.col("right_y").alias("y"))
@@ -189,7 +210,7 @@ def _lists(places: DataFrame, r: DataFrame, wanted: int, who: list[str], index:
 
 
 def knn_join(
-    left: DataFrame, right: DataFrame, k: int, *, left_on=("id", "x", "y"), right_on=("id", "x", "y"), index: str = "kdtree", grid_dim: float | None = None,
+    left: DataFrame, right: DataFrame | RightIndex, k: int, *, left_on=("id", "x", "y"), right_on=("id", "x", "y"), index: str = "kdtree", grid_dim: float | None = None,
     partition_max_bytes: int = 0, exclude_self: bool = False, output: str = "nested", direct_pairs: int = DIRECT_PAIRS, per_leaf: int = PER_LEAF,
 ) -> DataFrame:
     """For every left row the k nearest right rows: all left columns and `neighbors`, an array of (distance,
@@ -200,12 +221,13 @@ def knn_join(
     with the left row's id are left out. Left rows without finite coordinates, or when right has none, keep an
     empty list; such right rows are left out. `index` chooses how cells are laid out, never the result; nor do
     `grid_dim` and `partition_max_bytes`, from which the leaves' size follows (`leaf_size`). "brute" compares all
-    pairs and is refused beyond DIRECT_ROWS right rows."""
+    pairs and is refused beyond DIRECT_ROWS right rows. A `RightIndex` (as of `stored.Stored.open`) is used as it is laid out."""
     if k < 1:
         raise ValueError("k must be at least 1")
     if index not in INDEXES:
         raise ValueError(f"index must be one of {INDEXES}")
-    r = as_points(right, right_on)
+    built = right if isinstance(right, RightIndex) else None
+    r = built.points if built else as_points(right, right_on)
     rows = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"), *[F.col(f"`{c}`").alias(a) for c, a in zip(left_on, ("left_id", "left_x", "left_y"), strict=True)])
     asking = [(rows, k)]
     if exclude_self:
@@ -218,7 +240,7 @@ def knn_join(
     for at, (some, wanted) in enumerate(asking):
         who = ["px", "py", "me"] if at else ["px", "py"]
         places = as_points(some, ("left_id", "left_x", "left_y")).select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("id").alias("me"))
-        lists = _lists(places.select(*who).distinct(), r, wanted, who, index, grid_dim, partition_max_bytes, direct_pairs, per_leaf)
+        lists = _lists(places.select(*who).distinct(), r, built, wanted, who, index, grid_dim, partition_max_bytes, direct_pairs, per_leaf)
         same = (F.col("left_x").cast("double") == F.col("px")) & (F.col("left_y").cast("double") == F.col("py"))
         found = F.coalesce("list", F.array().cast(lists.schema["list"].dataType))
         if exclude_self and not at:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearwise.functions import geometry as g
 from nearwise.functions import helpers as h
-from nearwise.operators import grid, index, join, ranges
+from nearwise.operators import grid, index, join, ranges, stored
 from nearwise.plans import tables
 from nearwise.sources import points as text
 
@@ -91,6 +91,25 @@ def _(s, d):
     return join.knn_join(points(s, d, "trj"), points(s, d, "trj"), 4, output="exploded", direct_pairs=0, exclude_self=True)
 
 
+def _updated(s, d):
+    """An index of customers, of which some go, others move and suppliers come, opened anew."""
+    at, cus = tables.work_dir(s), points(s, d, "cus")
+    made = stored.Stored.create(cus, at)
+    made.delete(cus.where("id % 7 = 0"))
+    made.insert(points(s, d, "sup").withColumn("id", F.col("id") + 10_000_000))
+    moved = cus.where("id % 50 = 1")
+    made.delete(moved)
+    made.insert(moved.withColumn("x", F.col("x") + 1000))
+    return stored.Stored.open(s, at)
+
+
+_UPDATED = """u AS (
+  SELECT id, CASE WHEN id % 50 = 1 THEN x + 1000 ELSE x END AS x, y FROM cus WHERE id % 7 <> 0 OR id % 50 = 1
+  UNION ALL SELECT id + 10000000, x, y FROM sup)"""
+query("knn_after_updates", knn_sql("prt", "u", 5) + " /* cus sup */", _UPDATED)(lambda s, d: join.knn_join(points(s, d, "prt"), _updated(s, d).index(), 5, output="exploded"))
+query("points_after_updates", "SELECT id, x, y FROM u /* cus sup */", _UPDATED)(lambda s, d: _updated(s, d).points().select("id", "x", "y"))
+
+
 @query(
     "knn_join_repeats",
     """SELECT coalesce(left_id, -1) AS left_id, rank, right_id, distance FROM (

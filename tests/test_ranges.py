@@ -101,7 +101,7 @@ def test_hot_place_costs_k_pairs(spark):
     few, n = join._limited(points, 10)
     assert n == 2010 == few.count()
     asked = places.select(F.col("x").alias("px"), F.col("y").alias("py"))
-    pairs = join.meetings(asked, few, 10, "kdtree", 400, n, 32).withColumn("d2", join._d2()).where("d2 <= bound").count()
+    pairs = join.meetings(asked, join.right_index(few, "kdtree", n, 32), 10, 400).withColumn("d2", join._d2()).where("d2 <= bound").count()
     assert pairs < 50 * 400 * 10
     got = join.knn_join(places, points, 10, direct_pairs=0).collect()
     for row in got[:40]:
