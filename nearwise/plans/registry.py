@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearwise.functions import geometry as g
 from nearwise.functions import helpers as h
-from nearwise.operators import grid, index, join, ranges, stored
+from nearwise.operators import grid, index, join, overlaps, ranges, stored
 from nearwise.plans import tables
 from nearwise.sources import points as text
 
