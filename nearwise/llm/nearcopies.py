@@ -194,7 +194,7 @@ def _ended(batches: Iterator) -> Iterator:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by list and tile: the pairs of different components that may be alike."""
     kept = np.empty((0, 16), np.int64)
-    for batch in (*batches, None):
+    for batch in _ended(batches):
         if batch is not None:
             numbers = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:8]], axis=1)
             sketches = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.int64).reshape(-1, 8)
@@ -238,16 +238,19 @@ def _near_sketches(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def _compared(size: int):
     """Rows: a, chunk, whether b's, name, text, sorted: each chunk begins with the text of a -> the pairs of a with the
-    others that are alike."""
+    others that are alike. A row like the one before it is passed over."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
+        at, own, before = None, None, None
         for batch in batches:
             a, chunk, other, name = (batch.column(c).to_pylist() for c in range(4))
             found = ([], [])
             for i, text in enumerate(batch.column(4)):
-                if (a[i], chunk[i]) != at:
-                    at, own = (a[i], chunk[i]), None
+                if (a[i], chunk[i], other[i], name[i]) == before:
+                    continue
+                before = a[i], chunk[i], other[i], name[i]
+                if before[:2] != at:
+                    at, own = before[:2], None
                 if not other[i]:
                     own = shingle_set(text.as_py(), size) if own is None else own
                 elif own is not None and alike(own, shingle_set(text.as_py(), size)):
@@ -269,15 +272,14 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int)
     rows = attach(docs, save(asked), ["key"], limit=NARROW_ROWS).select("a", "chunk", "other", "name", "text")
     # rows with one id and text would come as often as they are there
     rows = rows.mapInArrow(_once, rows.schema)
-    rows = rows.repartition(partitions(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "other")
+    rows = rows.repartition(partitions(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "other", "name")
     return save(rows.mapInArrow(_compared(size), "a long, b long").distinct())
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows that a task has with the same first four values, one."""
-    seen = set()
+    """Of a batch's rows with the same first four values, one; those that other batches have go after the sort."""
     for batch in batches:
-        keep = []
+        seen, keep = set(), []
         for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
             keep.append(row not in seen)
             seen.add(row)
