@@ -12,6 +12,7 @@ from nearwise.functions import helpers as h
 from nearwise.operators import grid, index, join, overlaps, ranges, stored
 from nearwise.plans import tables
 from nearwise.sources import points as text
+from nearwise.streaming import recent
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -370,6 +371,51 @@ query("axis_histogram", "SELECT CAST(floor((x - low) / 500.0::DOUBLE) AS BIGINT)
 
 query("axis_bins_distinct", "SELECT count(DISTINCT floor((y - low) / 500.0::DOUBLE)) AS bins FROM cus, (SELECT min(y) AS low FROM cus)")(lambda s, d: grid.distinct_bins(points(s, d, "cus"), "y", 500))
 
+# -- time ---------------------------------------------------------------------------------------------------
+
+_AT = {"asks_on": ("event_id", "value", "y", "ts"), "points_on": ("event_id", "value", "y", "ts")}
+#: For each error the three nearest clicks of the six hours before it: by value and user, no further than 60.
+_RECENT = {"within": 6 * 3600, "radius": 60}
+
+
+def _recent_sql(clock: str, due: str) -> str:
+    return f"""
+WITH e AS (SELECT event_id AS id, event_type, value AS x, CAST(user_id AS DOUBLE) * CAST(3 AS DOUBLE) AS y, epoch_us(ts) AS t FROM events WHERE event_type IN ('error', 'click')),
+m AS ({clock}),
+p AS (SELECT a.id AS left_id, c.id AS right_id, (a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) AS d2
+  FROM e a JOIN e c ON c.t <= a.t AND c.t > a.t - 21600000000, m WHERE a.event_type = 'error' AND c.event_type = 'click' AND {due})
+SELECT left_id, rank, right_id, sqrt(d2) AS distance
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY d2, right_id) AS INTEGER) AS rank FROM p WHERE d2 <= 3600) WHERE rank <= 3"""
+
+
+def _events(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = rows.withColumn("y", F.col("user_id").cast("double") * 3)
+    return rows.where("event_type = 'error'"), rows.where("event_type = 'click'")
+
+
+@query("knn_recent", _recent_sql("SELECT 0 AS now", "TRUE"))
+def _(s, d):
+    return recent.knn_recent(*_events(s.read.parquet(f"{d}/events.parquet")), 3, **_RECENT, **_AT).drop("asked_at")
+
+
+@query("knn_recent_stream", _recent_sql("SELECT max(t) // 1000 * 1000 AS now FROM e", "(a.t // 600000000 + 1) * 600000000 <= m.now"))
+def _(s, d):
+    """The same from streams, as far as their end has passed the asks' ten minutes."""
+    at, here = tables.work_dir(s), f"{d}/events.parquet"
+    schema, before = s.read.parquet(here).schema, s.conf.get(recent.PROVIDER)
+    # a pattern, because a stream reads no path of a single file
+    sides = [_events(s.readStream.schema(schema).parquet(f"{here}*"))[i] for i in (0, 1)]
+    s.conf.set(recent.PROVIDER, recent.ROCKS)
+    try:
+        found = recent.stream_knn_recent(*sides, 3, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/found/batch={n}"), tick=600, **_RECENT, **_AT)
+        found.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(recent.PROVIDER, before)
+    given = "left_id long, asked_at timestamp, rank int, right_id long, distance double"
+    s.createDataFrame([], given).write.mode("append").parquet(f"{at}/found/batch=-1")
+    return s.read.schema(given).parquet(f"{at}/found").drop("batch", "asked_at")
+
+
 # -- planning, text and helpers -----------------------------------------------------------------------------
 
 
