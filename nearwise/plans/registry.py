@@ -11,6 +11,7 @@ from nearwise.functions import geometry as g
 from nearwise.functions import helpers as h
 from nearwise.operators import grid, index, join, overlaps, ranges, stored
 from nearwise.plans import tables
+from nearwise.sources import curve
 from nearwise.sources import points as text
 from nearwise.streaming import recent
 
@@ -134,6 +135,22 @@ def _(s, d):
     return join.knn_point_query(points(s, d, "cus"), 4000, 4100, 10)
 
 
+def _on_curve(s, d):
+    """The folder of all part and customer points, in files along the curve."""
+    at = tables.work_dir(s)
+    curve.write_curve(points(s, d, "cus").unionByName(points(s, d, "prt").withColumn("id", -F.col("id"))), at)
+    return at
+
+
+_CURVE = "c AS (SELECT id, x, y FROM cus UNION ALL SELECT -id, x, y FROM prt)"
+query("curve_box", "SELECT id, x, y FROM c WHERE x BETWEEN 20 AND 2000 AND y BETWEEN 800 AND 1600 /* cus prt */", _CURVE)(lambda s, d: curve.read_box(s, _on_curve(s, d), 20, 800, 2000, 1600))
+query(
+    "curve_nearest",
+    "SELECT CAST(row_number() OVER (ORDER BY d2, right_id) AS INTEGER) AS rank, right_id, sqrt(d2) AS distance FROM (SELECT id AS right_id, (x - 60.0::DOUBLE) * (x - 60.0::DOUBLE) + (y - 1100.0::DOUBLE) * (y - 1100.0::DOUBLE) AS d2 FROM c) ORDER BY d2, right_id LIMIT 25 /* cus prt */",
+    _CURVE,
+)(lambda s, d: curve.nearest(s, _on_curve(s, d), 60, 1100, 25))
+
+
 @query("topk_per_group", "SELECT * FROM (SELECT l_suppkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_quantity) AS INTEGER) AS rank, l_extendedprice, l_orderkey, l_linenumber FROM lineitem) WHERE rank <= 3")
 def _(s, d):
     rows = s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
