@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearwise.functions import geometry as g
 from nearwise.functions import helpers as h
-from nearwise.operators import grid, index, join, overlaps, ranges, stored
+from nearwise.operators import grid, index, join, overlaps, ranges, sketches, stored
 from nearwise.plans import tables
 from nearwise.sources import curve
 from nearwise.sources import points as text
@@ -388,6 +389,23 @@ query("axis_histogram", "SELECT CAST(floor((x - low) / 500.0::DOUBLE) AS BIGINT)
 
 query("axis_bins_distinct", "SELECT count(DISTINCT floor((y - low) / 500.0::DOUBLE)) AS bins FROM cus, (SELECT min(y) AS low FROM cus)")(lambda s, d: grid.distinct_bins(points(s, d, "cus"), "y", 500))
 
+_GROWS = 1.01 / 0.99
+_ESTIMATE = f"round(CAST(sign(x) AS DOUBLE) * pow({_GROWS!r}::DOUBLE, floor(ln(abs(x)) / {math.log(_GROWS)!r}::DOUBLE)) * 1.01::DOUBLE, 6)"
+
+
+@query(
+    "cell_quantiles",
+    f"""SELECT level, cx, cy, max(n) AS n, max(CASE WHEN i = greatest(1, ceil(0.5::DOUBLE * n)) THEN e END) AS median, max(CASE WHEN i = greatest(1, ceil(0.99::DOUBLE * n)) THEN e END) AS high
+FROM (SELECT *, row_number() OVER (PARTITION BY level, cx, cy ORDER BY v) AS i, count(*) OVER (PARTITION BY level, cx, cy) AS n FROM (
+  SELECT level, CAST(floor(floor(x / 1000.0::DOUBLE) / (2 ** level)) AS BIGINT) AS cx, CAST(floor(floor(y / 1000.0::DOUBLE) / (2 ** level)) AS BIGINT) AS cy, x AS v, CASE WHEN x = 0 THEN 0 ELSE {_ESTIMATE} END AS e
+  FROM cus, (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS level))) GROUP BY level, cx, cy""",
+)
+def _(s, d):
+    """Median and 99th percentile of balances by cell and level, 1 % off at most."""
+    found = sketches.cell_estimates(sketches.cell_sketches(points(s, d, "cus"), 1000, 3, value="x"), (0.5, 0.99))
+    return found.select("level", "cx", "cy", "n", F.round(F.get("quantiles", 0), 6).alias("median"), F.round(F.get("quantiles", 1), 6).alias("high"))
+
+
 # -- time ---------------------------------------------------------------------------------------------------
 
 _AT = {"asks_on": ("event_id", "value", "y", "ts"), "points_on": ("event_id", "value", "y", "ts")}
