@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearwise.functions import geometry as g
 from nearwise.functions import helpers as h
-from nearwise.operators import grid, index, join, overlaps, ranges, sketches, stored
+from nearwise.operators import approximate, grid, index, join, overlaps, ranges, sketches, stored
 from nearwise.plans import tables
 from nearwise.sources import curve
 from nearwise.sources import points as text
@@ -113,6 +113,16 @@ query("knn_after_updates", knn_sql("prt", "u", 5) + " /* cus sup */", _UPDATED)(
 query("points_after_updates", "SELECT id, x, y FROM u /* cus sup */", _UPDATED)(lambda s, d: _updated(s, d).points().select("id", "x", "y"))
 
 
+@query("knn_approximate_recall", "SELECT CAST(count(*) AS BIGINT) * 10 AS n, TRUE AS recalled FROM prt")
+def _(s, d):
+    """How many neighbours the exact join finds, and whether the approximate one finds nine in ten of them, by distance."""
+    l, r = points(s, d, "prt"), points(s, d, "cus")
+    exact = join.knn_join(l, r, 10, output="exploded").groupBy("left_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+    near = approximate.approximate_knn_join(l, r, 10).select(F.col("left_id").alias("who"), "distance")
+    hits = exact.join(near, (F.col("left_id") == F.col("who")) & (F.col("distance") <= F.col("far")), "left").groupBy("left_id", "n").agg(F.count("who").alias("hits"))
+    return hits.agg(F.sum("n").alias("n"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("recalled"))
+
+
 @query(
     "knn_join_repeats",
     """SELECT coalesce(left_id, -1) AS left_id, rank, right_id, distance FROM (
