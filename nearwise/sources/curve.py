@@ -12,6 +12,7 @@ first among equals; a table without rows gives none; `k` beyond the rows gives a
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,27 +21,43 @@ from nearwise.functions.geometry import dist2
 
 #: Halvings of the extents; bytes of a row group (Spark's default is 128 MB, which a small rectangle would read whole).
 BITS, GROUP_BYTES = 20, 1 << 20
+#: Bits that are looked up together, from 4 * 4^TURN numbers.
+TURN = 3
 _ABOUT = "x string, y string, n long, min_x double, min_y double, max_x double, max_y double"
 
 
-def hilbert(i: Column, j: Column, bits: int = BITS) -> Column:
-    """The place on the curve of cell (i, j), whose numbers have `bits` bits. From the top bit down each pair of bits is a
-    quarter; the way that the curve runs through it is turned by a swap of the axes, a flip of both, or none."""
-    bit = lambda v, at: F.call_function("shiftright", v, at).bitwiseAND(F.lit(1).cast("long"))
+@lru_cache
+def _turns(bits: int) -> list[int]:
+    """For each way that the curve runs (0 to 3: swap of the axes, flip of both) and each pair of numbers of `bits` bits: the
+    place on that stretch of the curve times 4, plus the way that it runs on."""
+    out = []
+    for way in range(4):
+        for pair in range(4**bits):
+            i, j, swap, flip, key = pair >> bits, pair & (2**bits - 1), way >> 1, way & 1, 0
+            for at in range(bits - 1, -1, -1):
+                # each pair of bits is a quarter; in the two low ones the axes are swapped, in one of them also flipped
+                a, b = i >> at & 1 ^ flip, j >> at & 1 ^ flip
+                first, second = (b, a) if swap else (a, b)
+                key = key * 4 + (first * 3 ^ second)
+                swap, flip = swap ^ (second == 0), flip ^ (second == 0 and first == 1)
+            out.append(key * 4 + swap * 2 + flip)
+    return out
 
-    def step(so_far: Column, at: Column) -> Column:
-        a, b = bit(i, at).bitwiseXOR(so_far.flip), bit(j, at).bitwiseXOR(so_far.flip)
-        first, second = F.when(so_far.swap == 1, b).otherwise(a), F.when(so_far.swap == 1, a).otherwise(b)
-        low = second == 0
-        return F.struct(
-            (so_far.key * 4 + (first * 3).bitwiseXOR(second)).alias("key"),
-            F.when(low, 1 - so_far.swap).otherwise(so_far.swap).alias("swap"),
-            F.when(low & (first == 1), 1 - so_far.flip).otherwise(so_far.flip).alias("flip"),
-        )
 
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("key"), zero.alias("swap"), zero.alias("flip"))
-    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda done: done.key)
+def hilbert(i: Column, j: Column, bits: int = BITS) -> Column:
+    """The place on the curve of cell (i, j), whose numbers have `bits` bits. From the top down TURN bits of each are looked up
+    together. Each look-up has the one before as its way only, so the expression stays short; `i` and `j` should be columns
+    of their own, because they are named in all of them."""
+    key, before, left = F.lit(0).cast("long"), None, bits
+    while left:
+        some = min(left, (left - 1) % TURN + 1)
+        left -= some
+        part = lambda v: F.call_function("shiftright", v, F.lit(left)).bitwiseAND(F.lit(2**some - 1).cast("long")).cast("int")  # noqa: B023, E731
+        at = part(i) * 2**some + part(j)
+        table = F.expr(f"array({', '.join(map(str, _turns(some)))})")
+        before = F.get(table, at if before is None else before.bitwiseAND(F.lit(3)) * 4**some + at)
+        key = key * 4**some + F.shiftright(before, 2)
+    return key
 
 
 def write_curve(points: DataFrame, path: str, *, on: tuple[str, str] = ("x", "y"), files: int | None = None, group_bytes: int = GROUP_BYTES) -> None:
@@ -57,10 +74,10 @@ def write_curve(points: DataFrame, path: str, *, on: tuple[str, str] = ("x", "y"
         share = (v / 2 - F.lit((low or 0.0) / 2)) / F.lit(wide) if wide > 0 else F.lit(0.0)
         return F.least(F.floor(share * last), F.lit(last)).cast("long")
 
-    key = hilbert(cell(x, box[0], box[2]), cell(y, box[1], box[3])).alias("key")
     row = F.struct(*[F.col(f"`{c}`") for c in points.columns])
     hashed = [F.col(f"`{f.name}`") for f in points.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    placed = rows.select(key, F.xxhash64(*hashed).alias("spread"), row.alias("row"))
+    placed = rows.select(cell(x, box[0], box[2]).alias("i"), cell(y, box[1], box[3]).alias("j"), F.xxhash64(*hashed).alias("spread"), row.alias("row"))
+    placed = placed.select(hilbert(F.col("i"), F.col("j")).alias("key"), "spread", "row")
     parts = files or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = placed.repartitionByRange(parts, "key", "spread").sortWithinPartitions("key", "spread").select("row.*")
     placed.write.option("parquet.block.size", group_bytes).parquet(f"{path}/points")

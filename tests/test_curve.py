@@ -55,3 +55,24 @@ def test_cases(spark, tmp_path):
             assert [(r["rank"], r["right_id"]) for r in got] == [(at, i) for at, (_, i) in enumerate(want, 1)]
     with pytest.raises(ValueError):
         curve.nearest(spark, path, float("nan"), 0.0, 1)
+
+
+def stepwise(i, j, bits):
+    """The curve by single bits."""
+    key = swap = flip = 0
+    for at in range(bits - 1, -1, -1):
+        a, b = i >> at & 1 ^ flip, j >> at & 1 ^ flip
+        first, second = (b, a) if swap else (a, b)
+        key = key * 4 + (first * 3 ^ second)
+        swap, flip = (1 - swap, 1 - flip if first else flip) if second == 0 else (swap, flip)
+    return key
+
+
+def test_curve_is_looked_up(spark):
+    """As by single bits, but in generated code: nothing is called for each bit of each row."""
+    rng = random.Random(5)
+    for bits in (1, 2, 7, 20, 30):
+        cells = spark.createDataFrame([(rng.randrange(2**bits), rng.randrange(2**bits)) for _ in range(200)], "i long, j long")
+        keys = cells.select("i", "j", curve.hilbert(F.col("i"), F.col("j"), bits).alias("k"))
+        assert all(r["k"] == stepwise(r["i"], r["j"], bits) for r in keys.collect())
+        assert "lambda" not in keys._jdf.queryExecution().toString()
