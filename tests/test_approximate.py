@@ -42,3 +42,14 @@ def test_cases(spark):
     assert pairs(approximate_knn_join(frame([]), frame(right), 2)) == pairs(approximate_knn_join(frame(left), frame([]), 2)) == []
     with pytest.raises(ValueError):
         approximate_knn_join(frame(left), frame(right), 0)
+
+
+def test_recall_among_copies(spark):
+    """Places with more rows than a window holds are met like others."""
+    rng = random.Random(6)
+    places = [(rng.uniform(0, 1000), rng.uniform(0, 1000)) for _ in range(300)]
+    right = [(at * 60 + copy, *place) for at, place in enumerate(places) for copy in range(60)]
+    left = [(i, rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(200)]
+    got = pairs(approximate_knn_join(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), 10))
+    want = exact(left, right, 10)
+    assert len(got) == len(want) and len(set(want) & set(got)) >= 0.97 * len(want)
