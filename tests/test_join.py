@@ -193,3 +193,13 @@ def test_distance_pairs_reads_no_key_in_one_task(spark, tmp_path):
     spark.range(5000).selectExpr("id AS c_custkey", "CAST(id AS DOUBLE) AS c_acctbal", "1 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     found = queries()["distance_pairs"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum(F.abs(F.col("left_id") - F.col("right_id")) - F.col("d"))).collect()
     assert sum(x[1] for x in found) == 15_000_000 and len(found) > 1 and all(x[2] == 0 for x in found)
+
+
+def test_range_join_cuts_full_cells(spark, monkeypatch):
+    """All points in one cell: no task has most of the pairs."""
+    monkeypatch.setattr(join, "TILE", 32)
+    left, right = spark.range(300).selectExpr("id", "id / 1000D AS x", "0D AS y"), spark.range(300).selectExpr("id", "id / 1000D AS x", "0.5D AS y")
+    found = range_join(left, right, 10)
+    assert found.distinct().count() == 90_000
+    own = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(own) > 1 and max(x["count"] for x in own) < 45_000
