@@ -6,6 +6,7 @@ import random
 from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 
 from nearwise.streaming import recent
@@ -93,3 +94,56 @@ def test_state_store_is_asked_for(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "p"))
     with pytest.raises(ValueError):
         recent.stream_knn_recent(stream, stream, 1, print, within=1, radius=1)
+
+
+class Handle:
+    """State and timers of one key in memory."""
+
+    def __init__(self):
+        self.lists, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        handle = self
+
+        class State:
+            exists = lambda _: bool(handle.lists.get(name))
+            get = lambda _: iter(handle.lists[name])
+            put = lambda _, rows: handle.lists.update({name: rows})
+            appendList = lambda _, rows: handle.lists.update({name: handle.lists.get(name, []) + rows})
+            clear = lambda _: handle.lists.pop(name, None)
+
+        return State()
+
+    def getValueState(self, name, schema):
+        return self.getListState(name, schema)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.getCurrentWatermarkInMs = lambda: now
+
+
+def test_a_cell_answers_in_few_frames(monkeypatch):
+    """One timer, and one frame for all asks that are due, or one for each share of the pairs."""
+    rng, minute = random.Random(7), 60_000_000
+    rows = [(rng.randrange(300) * minute + rng.randrange(minute), i, rng.uniform(0, 9), rng.uniform(0, 9), i % 3 == 0) for i in range(900)]
+    frame = pd.DataFrame(rows, columns=["t", "id", "x", "y", "asking"])
+    asks, points = [r for r in rows if r[4]], [r for r in rows if not r[4]]
+    want = set()
+    for t, i, x, y, _ in asks:
+        near = sorted(((x - p[2]) ** 2 + (y - p[3]) ** 2, p[1]) for p in points if t - 60 * minute < p[0] <= t)
+        want |= {(i, j) for d2, j in [n for n in near if n[0] <= 16][:3]}
+    for most in (1 << 20, 5000):
+        monkeypatch.setattr(recent, "PAIRS", most, raising=False)
+        cell, handle = recent._Cell(3, 60 * minute, minute, 4), Handle()
+        cell.init(handle)
+        assert list(cell.handleInputRows(("k",), iter([frame]), Clock(0))) == []
+        assert len(handle.timers) == 1 and handle.timers[0] <= min(r[0] for r in asks) // 1000 + 60_000
+        frames = list(cell.handleExpiredTimer(("k",), Clock(301 * 60_000), None))
+        assert {(i, j) for f in frames for i, j in zip(f["left_id"], f["right_id"])} == want
+        assert len(frames) == 1 if most > 5000 else 1 < len(frames) < 60
+        assert list(cell.handleExpiredTimer(("k",), Clock(301 * 60_000), None)) == []
+        assert len(handle.timers) == 2 and handle.timers[1] > 301 * 60_000
