@@ -203,3 +203,16 @@ def test_range_join_cuts_full_cells(spark, monkeypatch):
     assert found.distinct().count() == 90_000
     own = found.groupBy(F.spark_partition_id()).count().collect()
     assert len(own) > 1 and max(x["count"] for x in own) < 45_000
+
+
+def test_equal_pairs_keeps_equal_places_together(spark):
+    """Rows of a place lie beside each other in a tile, those of one with more rows than a tile fill many."""
+    left = [(i, 1.0, 5.0 if i % 2 else float(i % 7)) for i in range(210)]
+    right = [(i, 1.0, float(i % 40)) for i in range(400)]
+    l, r = spark.createDataFrame(left, "left_id long, ly double, lx double"), spark.createDataFrame(right, "right_id long, ry double, rx double")
+    found = join.equal_pairs(l, r, "ly", "ry", tile=32, near=(("lx",), ("rx",)))
+    assert found.columns == ["left_id", "ly", "lx", "right_id", "ry", "rx"]
+    parts = found.select("left_id", "right_id", "lx", "rx").rdd.glom().collect()
+    assert sorted((x[0], x[1]) for part in parts for x in part) == [(i, j) for i in range(210) for j in range(400)]
+    runs = sum(a[2:] != b[2:] for part in parts for a, b in zip(part, part[1:]))
+    assert runs < 84_000 / 8 and sum(map(bool, parts)) > 1
