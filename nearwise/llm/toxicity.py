@@ -15,7 +15,8 @@ the mean of the three greatest, and its log-likelihoods' difference over all its
 For that curve, labelled documents of either half are read with the counts of the other half, so no document is
 judged by counts it is part of; at most `max_curve` labelled documents are used.
 
-Counts are written tables; likelihoods are found by joins, level by level. All documents are read with the counts of
+Counts are written tables; likelihoods are found by joins, of all levels together: each level's own would fill the driver with
+plans and their threads. All documents are read with the counts of
 both halves, those of the curve once more with the other half's, with a bitmap of fixed size (4 MB) of what is known
 and the evidence of what most documents have, at most MAX_HELD rows of it (17 MB; 6 MB more for the halves). A word
 whose deepest beginning in the bitmap is among those rows is resolved where it is read and summed there. All others
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from nearwise.plans.tables import discard
 
-from .common import attach, batches_of, save
+from .common import attach, batches_of, save, tidy_shuffles
 from .logistic import Logistic, fit
 from .minhash import mix
 
@@ -103,100 +104,94 @@ def _n(model: tuple[int, ...], toxic: int | None = None) -> Column:
 
 
 _COUNTS = [f"n{g}" for g in range(GROUPS)]
-_OWN = [f"k{m}{c}" for m in range(len(MODELS)) for c in (0, 1)]
-_TYPES = [f"d{m}" for m in range(len(MODELS))]
 
 
-def counted(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows: text (binary), group -> words (whole, first, size, n0 .. n3) and for each number of bytes the
-    beginnings (key, n0 .. n3), and of what follows each, by model, the discounted counts of the classes (k) and
-    the number of different ones (d). The first of the list is that of no bytes. Written."""
+def _part(first: Column, kind: Column) -> Column:
+    """The beginning of that many bytes."""
+    return first.bitwiseAND(F.get(F.array(*[F.lit(_mask(k)).cast("long") for k in range(PREFIX + 1)]), kind))
+
+
+def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows: text (binary), group -> words (whole, first, size, n0 .. n3) and the beginnings of all numbers of bytes,
+    none included (kind, key, n0 .. n3), and of what follows each, by model, the discounted counts of the classes (k) and
+    the number of different ones (d). All levels are summed together, so the number of jobs is small. Written."""
     sums = [F.sum(F.when(F.col("group") == g, F.col("seen")).otherwise(0)).alias(f"n{g}") for g in range(GROUPS)]
     with batches_of(rows.sparkSession, COUNT_BATCH):
         words = rows.mapInArrow(_count, "whole long, first long, size int, group int, seen long")
         words = save(words.groupBy("whole", "first", "size").agg(*sums))
     above = [F.sum(c).alias(c) for c in _COUNTS]
+    starts = words.select(F.explode(F.sequence(F.lit(1), F.least("size", F.lit(PREFIX)))).alias("kind"), "first", *_COUNTS)
+    starts = starts.groupBy("kind", _part(F.col("first"), F.col("kind")).alias("key")).agg(*above)
     above += [F.sum(F.greatest(_n(MODELS[m], c) - CLASS_DISCOUNT, F.lit(0.0))).alias(f"k{m}{c}") for m in range(len(MODELS)) for c in (0, 1)]
     above += [F.count_if(_n(model) > 0).alias(f"d{m}") for m, model in enumerate(MODELS)]
-    levels, level = [], None
-    for kind in range(PREFIX, -1, -1):
-        # longer beginnings, and words that end here
-        part = F.col("first").bitwiseAND(F.lit(_mask(kind)).cast("long")).alias("key")
-        ends = words.where(F.col("size") == kind if kind < PREFIX else F.col("size") >= PREFIX).select(part, *_COUNTS)
-        if level is not None:
-            ends = ends.unionByName(level.select(F.col("key").bitwiseAND(F.lit(_mask(kind)).cast("long")).alias("key"), *_COUNTS))
-        level = save(ends.groupBy("key").agg(*above))
-        levels.append(level)
-    return words, levels[::-1]
-
-
-def _follows(words: DataFrame, levels: list[DataFrame]) -> list[float]:
+    # after a beginning come longer ones, and words that end there
+    ends = words.select(F.least("size", F.lit(PREFIX)).alias("kind"), F.col("first").alias("key"), *_COUNTS)
+    ends = ends.unionByName(starts.select((F.col("kind") - 1).alias("kind"), _part(F.col("key"), F.col("kind") - 1).alias("key"), *_COUNTS))
+    with tidy_shuffles(rows.sparkSession):
+        return words, save(ends.groupBy("kind", "key").agg(*above))
+
+
+def _last() -> Column:
+    """Of a beginning: its last byte."""
+    return F.expr("cast(shiftrightunsigned(key, 8 * (kind - 1)) & 255L as int)")
+
+
+def _follows(words: DataFrame, nodes: DataFrame) -> list[float]:
     """The lowest order: after how many different beginnings each byte, or a word's end (256), comes, as shares;
     and the share of each of the rests of longer words (257)."""
-    lasts = [words.select(F.when(F.col("size") > PREFIX, 257).otherwise(256).cast("long").alias("last"))]
-    for kind, level in enumerate(levels[1:], 1):
-        lasts.append(level.select(F.shiftrightunsigned("key", 8 * (kind - 1)).bitwiseAND(F.lit(255).cast("long")).alias("last")))
-    found = Counter({r["last"]: r["count"] for r in reduce(DataFrame.unionByName, lasts).groupBy("last").count().collect()})  # 258 rows at most
+    lasts = words.select(F.when(F.col("size") > PREFIX, 257).otherwise(256).alias("last")).unionByName(nodes.where("kind > 0").select(_last().alias("last")))
+    found = Counter({r["last"]: r["count"] for r in lasts.groupBy("last").count().collect()})  # 258 rows at most
     total = max(1, found.total() - found[257])
     return [*(found[b] / total for b in range(257)), 1 / (found[257] + 1)]
 
 
-def evidence(words: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def evidence(words: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of counts: kind, key, first, seen, e0, e1, e2: how many documents have it, and for each model the evidence of a word that is known (kind WHOLE), or
     whose last known beginning this is. What no class has more than CLASS_DISCOUNT times has, by the formulas,
     exactly the evidence of something unknown after the same beginning, and so has all that follows it: such rows
-    are counted above, but need none here. Written."""
-    follows = F.array(*map(F.lit, _follows(words, levels)))
+    are counted above, but need none here. The steps of all levels are found together, then summed along each beginning from
+    its first byte on. Written."""
+    follows = F.array(*map(F.lit, _follows(words, nodes)))
     three = range(len(MODELS))
     often = (_n(MODELS[-1], 0) > CLASS_DISCOUNT) | (_n(MODELS[-1], 1) > CLASS_DISCOUNT)
 
-    def rests(m: int) -> tuple[list[Column], Column, Column]:
-        """After a beginning: the classes' discounted mass, the shared one's, and all counts."""
-        n = [_n(MODELS[m], c) for c in (0, 1)]
-        own = [F.greatest(F.when(n[c] > 0, 1 - F.col(f"k{m}{c}") / n[c]).otherwise(1.0), F.lit(1e-6)) for c in (0, 1)]
-        return own, F.when(n[0] + n[1] > 0, DISCOUNT * F.col(f"d{m}") / (n[0] + n[1])).otherwise(1.0), n[0] + n[1]
-
-    # of a beginning, what its followers' steps need: counts and rests of the classes, of both
-    held = []
+    # of a beginning, what its followers' steps need: counts and rests (the discounted mass) of the classes, of both
+    held, unknown = [], []
     for m, model in enumerate(MODELS):
-        own, shared, _ = rests(m)
-        held += [F.greatest(_n(model, c), F.lit(1.0)).alias(f"t{m}{c}") for c in (0, 1)] + [own[c].alias(f"r{m}{c}") for c in (0, 1)] + [shared.alias(f"r{m}"), _n(model).alias(f"t{m}")]
+        n = [_n(model, c) for c in (0, 1)]
+        own = [F.greatest(F.when(n[c] > 0, 1 - F.col(f"k{m}{c}") / n[c]).otherwise(1.0), F.lit(1e-6)) for c in (0, 1)]
+        shared = F.when(n[0] + n[1] > 0, DISCOUNT * F.col(f"d{m}") / (n[0] + n[1])).otherwise(1.0)
+        held += [F.greatest(n[c], F.lit(1.0)).alias(f"t{m}{c}") for c in (0, 1)] + [own[c].alias(f"r{m}{c}") for c in (0, 1)] + [shared.alias(f"r{m}"), _n(model).alias(f"t{m}")]
+        unknown.append(F.log(own[1] / own[0]).alias(f"u{m}"))
 
-    def step(m: int, last: Column) -> Column:
-        shared = F.greatest(_n(MODELS[m]) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"t{m}"), F.lit(1.0)) + F.col(f"r{m}") * F.get(follows, last)
+    def step(m: int) -> Column:
+        shared = F.greatest(_n(MODELS[m]) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"t{m}"), F.lit(1.0)) + F.col(f"r{m}") * F.get(follows, F.col("last"))
         own = [F.greatest(_n(MODELS[m], c) - CLASS_DISCOUNT, F.lit(0.0)) / F.col(f"t{m}{c}") + F.col(f"r{m}{c}") * shared for c in (0, 1)]
         return F.when(F.col(f"t{m}") > 0, F.log(own[1] / own[0])).otherwise(0.0)
 
-    found, ups, written = [], None, []
-    for kind, level in enumerate(levels):
-        if kind == 0:
-            level = level.select("key", *_COUNTS, *held, *[F.lit(0.0).alias(f"c{m}") for m in three])
-        else:
-            last = F.shiftrightunsigned("key", 8 * (kind - 1)).bitwiseAND(F.lit(255).cast("long")).cast("int")
-            up = F.col("key").bitwiseAND(F.lit(_mask(kind - 1)).cast("long")).alias("up")
-            rows = attach(level.where(often).withColumn("up", up), ups, ["up"], limit=TABLE_BROADCAST)
-            rows = rows.select("key", *_COUNTS, *_OWN, *_TYPES, *[(F.col(f"c{m}") + step(m, last)).alias(f"c{m}") for m in three])
-            level = rows.select("key", *_COUNTS, *held, *[f"c{m}" for m in three])
-        level = save(level)
-        written.append(level)
-        unknown = [(F.col(f"c{m}") + F.log(F.col(f"r{m}1") / F.col(f"r{m}0"))).alias(f"e{m}") for m in three]
-        found.append(level.select(F.lit(kind).alias("kind"), "key", F.col("key").alias("first"), _n(MODELS[-1]).alias("seen"), *unknown))
-        ups = level.drop(*_COUNTS).withColumnRenamed("key", "up")
-        ended = words.where(often & (F.col("size") == kind if kind < PREFIX else F.col("size") >= PREFIX)).withColumn("up", F.col("first"))
-        if kind:
-            last = F.when(F.col("size") > PREFIX, 257).otherwise(256)
-            ended = attach(ended, ups, ["up"], limit=TABLE_BROADCAST)
-            found.append(ended.select(F.lit(WHOLE).alias("kind"), F.col("whole").alias("key"), "first", _n(MODELS[-1]).alias("seen"), *[(F.col(f"c{m}") + step(m, last)).alias(f"e{m}") for m in three]))
-    out = save(reduce(DataFrame.unionByName, found))
-    discard(*written)
+    ups = nodes.where(often | (F.col("kind") == 0)).select(F.col("kind").alias("up_kind"), F.col("key").alias("up"), *held)
+    longer = nodes.where(often & (F.col("kind") > 0)).withColumns({"first": F.col("key"), "up_kind": F.col("kind") - 1, "last": _last()})
+    longer = longer.withColumn("up", _part(F.col("key"), F.col("up_kind"))).select("kind", "key", "first", "up_kind", "up", "last", *_COUNTS, *unknown)
+    ended = words.where(often).select(F.lit(WHOLE).alias("kind"), F.col("whole").alias("key"), "first", F.least("size", F.lit(PREFIX)).alias("up_kind"), F.col("first").alias("up"), F.when(F.col("size") > PREFIX, 257).otherwise(256).alias("last"), *_COUNTS)
+    steps = longer.unionByName(ended, allowMissingColumns=True).join(ups, ["up_kind", "up"])
+    steps = save(steps.select("kind", "key", "first", "up_kind", "up", _n(MODELS[-1]).alias("seen"), *[step(m).alias(f"s{m}") for m in three], *[f"u{m}" for m in three]))
+    longer = steps.where(F.col("kind") < WHOLE)
+    along = longer.select(F.col("kind").alias("of"), F.col("key").alias("whole"), F.explode(F.sequence(F.lit(1), "kind")).alias("kind"))
+    along = along.withColumn("key", _part(F.col("whole"), F.col("kind"))).join(longer, ["kind", "key"])
+    # one step of each length, added in their order, so that reruns agree to the last bit
+    sums = [reduce(lambda c, k: c + F.coalesce(F.max(F.when(F.col("kind") == k, F.col(f"s{m}"))), F.lit(0.0)), range(1, PREFIX + 1), F.lit(0.0)).alias(f"c{m}") for m in three]  # noqa: B023
+    ends = [F.max(F.when(F.col("kind") == F.col("of"), F.col(c))).alias(c) for c in ("seen", *[f"u{m}" for m in three])]
+    with tidy_shuffles(words.sparkSession):
+        summed = save(along.groupBy(F.col("of").alias("kind"), F.col("whole").alias("key")).agg(*sums, *ends))
+    root = nodes.where("kind = 0").select("kind", "key", F.col("key").alias("first"), _n(MODELS[-1]).alias("seen"), *[u.alias(f"e{m}") for m, u in enumerate(unknown)])
+    longer = summed.select("kind", "key", F.col("key").alias("first"), "seen", *[(F.col(f"c{m}") + F.col(f"u{m}")).alias(f"e{m}") for m in three])
+    ups = summed.select(F.col("kind").alias("up_kind"), F.col("key").alias("up"), *[f"c{m}" for m in three])
+    ended = steps.where(F.col("kind") == WHOLE).join(ups, ["up_kind", "up"]).select("kind", "key", "first", "seen", *[(F.col(f"c{m}") + F.col(f"s{m}")).alias(f"e{m}") for m in three])
+    out = save(root.unionByName(longer).unionByName(ended))
+    discard(steps, summed)
     return out
 
 
-def _part(first: Column, kind: Column) -> Column:
-    """The beginning of that many bytes."""
-    return first.bitwiseAND(F.element_at(F.array(*[F.lit(_mask(k)).cast("long") for k in range(1, PREFIX + 1)]), kind))
-
-
 def _clear(least: float) -> Column:
     return F.greatest(*[F.abs(F.col(f"e{m}")) for m in range(len(MODELS))]) >= least
 
@@ -420,9 +415,9 @@ def score(
     known = save(known.groupBy(id_.alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y")))
     half = F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")
     learned = attach(rows.select("id", "text"), known, ["id"], "inner", LABELS_BROADCAST)
-    words, levels = counted(learned.select("text", (half * 2 + F.col("y")).alias("group")))
-    table = evidence(words, levels)
-    discard(words, *levels)
+    words, nodes = counted(learned.select("text", (half * 2 + F.col("y")).alias("group")))
+    table = evidence(words, nodes)
+    discard(words, nodes)
     sample = save(known.orderBy(F.xxhash64(F.lit("curve"), F.col("id")), "id").limit(max_curve))
     curve_rows = rows.join(F.broadcast(sample), "id").select("id", "y", "key", "more", half.alias("model"), "text")
     found = measures(rows.select("key", "more", F.lit(ALL).alias("model"), "text").unionByName(curve_rows.drop("id", "y")), table, least)
