@@ -1,22 +1,25 @@
 """Approximate neighbours from windows along shifted Hilbert curves.
 
-Both sides' places are ordered along a curve; a left place meets the `window` right places on either side of its position. What a
-curve tears apart, another one, shifted by a part of the extents, often keeps together: the k nearest of all curves' windows
-are the answer. Every right place is on every curve, once, however many rows lie there; it stands for its k least ids, which are all that
-can be neighbours. Positions are prefix sums over ranges of the curve, and windows meet in
-equi-joins on blocks of positions, each of `window` right places, so work grows with the left places times shifts times window,
-whatever the density. Recall depends on the data; a test measures it against the exact join (at least 0.9 with the defaults).
+The right side's places are ordered along a curve and cut into windows of `window` places; what a curve tears apart, another
+one, shifted by a part of the extents, often keeps together. FAN neighbouring windows form a node, FAN nodes the next, up to the
+top, each with the extents of its places. From there a left place goes down to the BEAM nearest nodes of each level, by their
+gaps, and at the bottom meets the places of its BEAM windows; the k nearest of all curves' windows are the answer. So a place finds its
+windows wherever it lies, also far from points that are dense by themselves, as beside a line, where its own position on the
+curve tells little. Every right place is on every curve, once, however many rows lie there; it stands for its k least ids,
+which are all that can be neighbours. Positions are prefix sums over ranges of the curve, nodes and windows meet in equi-joins, so work
+grows with the left places times shifts times BEAM times (window + FAN times the levels), whatever the density. Recall depends on
+the data; tests measure it against the exact join (at least 0.9 with the defaults).
 
 Defined cases: rows without finite coordinates are left out on both sides; equal right rows (id and place) are one; left rows
 at one place, or with one id, have each their own rows; ties go to the smaller right id, a null one first; fewer than k right
-rows are all found if the window holds their places; an empty side gives no rows."""
+rows are all found if the windows hold their places; an empty side gives no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearwise.functions.geometry import dist2
+from nearwise.functions.geometry import dist2, rect, rect_gap2, rect_reach2
 from nearwise.plans.tables import save
 from nearwise.sources.curve import hilbert
 
@@ -24,6 +27,8 @@ from .join import as_points
 from .ranges import prefix_sums
 
 BITS = 30
+#: Bits of the number of windows or nodes that form a node above; nodes of a level, and windows, that a place goes on with.
+FAN_BITS, BEAM = 4, 4
 
 
 def approximate_knn_join(left: DataFrame, right: DataFrame, k: int, *, left_on=("id", "x", "y"), right_on=("id", "x", "y"), shifts: int = 3, window: int | None = None) -> DataFrame:
@@ -35,28 +40,38 @@ def approximate_knn_join(left: DataFrame, right: DataFrame, k: int, *, left_on=(
     # of a place no more than its k least ids can be neighbours; null first, as among equals
     least = r.withColumn("at", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("at") <= k)
     least = save(least.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("id"))).alias("ids")))
-    asked = l.select("x", "y").distinct().withColumn("n", F.lit(0))
-    both = save(least.select("x", "y", F.size("ids").alias("n")).unionByName(asked))
-    low_x, low_y, high_x, high_y = both.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    found = None
-    for shift in range(shifts):
+    n_places, low_x, low_y, high_x, high_y = least.agg(F.count("*"), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
 
-        def cell(c: str, low: float | None, high: float | None) -> Column:
-            # halves, because the width of finite extents may be beyond a double; a shifted curve is twice as wide
-            half = high / 2 - low / 2 if low is not None else 0.0
-            share = (F.col(c) / 2 - F.lit(low / 2)) / F.lit(half) if half > 0 else F.lit(0.0)
-            return F.least(F.floor((share + shift / shifts) / 2 * 2**BITS), F.lit(2**BITS - 1)).cast("long")  # noqa: B023
+    def cell(c: str, low: float | None, high: float | None) -> Column:
+        # halves, because the width of finite extents may be beyond a double; a shifted curve is twice as wide
+        half = high / 2 - low / 2 if low is not None else 0.0
+        share = (F.col(c) / 2 - F.lit(low / 2)) / F.lit(half) if half > 0 else F.lit(0.0)
+        return F.least(F.floor((share + F.col("shift") / shifts) / 2 * 2**BITS), F.lit(2**BITS - 1)).cast("long")
 
-        placed = both.withColumns({"i": cell("x", low_x, high_x), "j": cell("y", low_y, high_y)})
-        placed = placed.select(hilbert(F.col("i"), F.col("j"), BITS).alias("key"), "x", "y", "n")
-        placed = save(prefix_sums(placed, ["key", "x", "y", "n"], {"pos": F.when(F.col("n") > 0, 1).otherwise(0).cast("long")}))
-        block = lambda at: F.floor(at / wide).cast("long")
-        asks = placed.where("n = 0").select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("pos").alias("at"))
-        asks = asks.withColumn("block", F.explode(F.sequence(block(F.col("at") - wide), block(F.col("at") + wide - 1))))
-        places = placed.where("n > 0").select(F.col("x").alias("qx"), F.col("y").alias("qy"), "n", "pos", block(F.col("pos")).alias("block"))
-        met = asks.join(places, "block").where((F.col("pos") >= F.col("at") - wide) & (F.col("pos") < F.col("at") + wide))
-        met = met.select("px", "py", "qx", "qy", "n", dist2(*map(F.col, ("px", "py", "qx", "qy"))).alias("d2"))
-        found = met if found is None else found.unionByName(met)
+    every = F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))).alias("shift")
+    placed = least.select("x", "y", F.size("ids").alias("n"), every).withColumns({"i": cell("x", low_x, high_x), "j": cell("y", low_y, high_y)})
+    placed = placed.select("shift", hilbert(F.col("i"), F.col("j"), BITS).alias("key"), F.col("x").alias("qx"), F.col("y").alias("qy"), "n")
+    placed = prefix_sums(placed, ["shift", "key", "qx", "qy"], {"pos": F.lit(1).cast("long")})
+    placed = save(placed.select("shift", F.floor((F.col("pos") - F.col("shift") * n_places) / wide).cast("long").alias("node"), "qx", "qy", "n"))
+    levels = [save(placed.groupBy("shift", "node").agg(rect(F.min("qx"), F.min("qy"), F.max("qx"), F.max("qy")).alias("box")))]
+    left_over = -(-n_places // wide)
+    while left_over > 1 << FAN_BITS:
+        edges = rect(*[f(f"box.{c}") for f, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))])
+        levels.append(save(levels[-1].groupBy("shift", F.shiftright("node", FAN_BITS).alias("node")).agg(edges.alias("box"))))
+        left_over = -(-left_over >> FAN_BITS)
+    asks = l.select(F.col("x").alias("px"), F.col("y").alias("py")).distinct()
+    point = rect(F.col("px"), F.col("py"), F.col("px"), F.col("py"))
+    nearest = Window.partitionBy("px", "py", "shift").orderBy(rect_gap2(point, F.col("box")), rect_reach2(point, F.col("box")), "node")
+    pairs = asks.crossJoin(F.broadcast(levels[-1]))  # the top has a few nodes for each shift
+    for depth in range(len(levels) - 1, -1, -1):
+        pairs = pairs.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= BEAM).select("px", "py", "shift", "node")
+        if depth:
+            pairs = save(pairs).withColumnRenamed("node", "up")
+            pairs = pairs.join(levels[depth - 1].withColumn("up", F.shiftright("node", FAN_BITS)), ["shift", "up"]).drop("up")
+    met = pairs.join(placed, ["shift", "node"]).withColumn("d2", dist2(*map(F.col, ("px", "py", "qx", "qy"))))
+    # a place holds at least one id, so of a shift no more than the k nearest places count, and those as near as the last
+    found = met.withColumn("at", F.rank().over(Window.partitionBy("px", "py", "shift").orderBy("d2"))).where(F.col("at") <= k)
+    found = found.select("px", "py", "qx", "qy", "n", "d2")
     own = Window.partitionBy("px", "py")
     # places up to the distance within which k ids are held; of those at one distance all, since ids decide
     found = found.distinct().withColumn("held", F.sum("n").over(own.orderBy("d2"))).withColumn("bound", F.min(F.when(F.col("held") >= k, F.col("d2"))).over(own))

@@ -53,3 +53,13 @@ def test_recall_among_copies(spark):
     got = pairs(approximate_knn_join(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), 10))
     want = exact(left, right, 10)
     assert len(got) == len(want) and len(set(want) & set(got)) >= 0.97 * len(want)
+
+
+def test_recall_beside_dense_lines(spark):
+    """Points on lines, close to each other and far from who asks: their order along a curve says little about the asker."""
+    rng = random.Random(8)
+    right = [(i, round(rng.uniform(0, 10000), 2), 400.0 * (i % 4)) for i in range(8000)]
+    left = [(i, rng.uniform(2, 400), rng.uniform(500, 700)) for i in range(150)]
+    got = pairs(approximate_knn_join(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), 10))
+    want = {(i, j) for i, _, j in exact(left, right, 10)}
+    assert len(got) == len(want) and len(want & {(i, j) for i, _, j in got}) >= 0.9 * len(want)
