@@ -216,3 +216,22 @@ def test_equal_pairs_keeps_equal_places_together(spark):
     assert sorted((x[0], x[1]) for part in parts for x in part) == [(i, j) for i in range(210) for j in range(400)]
     runs = sum(a[2:] != b[2:] for part in parts for a, b in zip(part, part[1:]))
     assert runs < 84_000 / 8 and sum(map(bool, parts)) > 1
+
+
+def test_equal_pairs_exchange_grows_with_rows(spark):
+    """Four times the rows of one key are sixteen times the pairs; what is exchanged grows like the rows."""
+
+    def exchanged() -> int:
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    sent = []
+    for n in (600, 2400):
+        l, r = spark.range(n).selectExpr("id AS left_id", "1 AS ly"), spark.range(n).selectExpr("id AS right_id", "1 AS ry")
+        before = exchanged()
+        found = join.equal_pairs(l, r, "ly", "ry", tile=16).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.col("left_id") * n + F.col("right_id")).alias("s")).collect()
+        sent.append(exchanged() - before)
+        assert sum(x["n"] for x in found) == n * n and sum(x["s"] for x in found) == n * n * (n * n - 1) // 2 and len(found) > 1
+    assert sent[1] < 6 * sent[0]
